@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import Memo, byte_alphabet, map_text, newer_search, tokenizer_file
+from strandline.llm.common import Memo, Splitter, byte_alphabet, map_text, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Field numbers and values of the sentencepiece model format.  Fixed values.
@@ -86,14 +86,12 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str | None = None):
         import public_tokenizers
-        import regex
         import sentencepiece
 
         self.pattern = pattern or public_tokenizers.PATTERN
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
-        self.split = regex.compile(self.pattern).findall
-        self.newer = newer_search()
+        self.pre_tokens = Splitter(self.pattern)
         ordered = sorted(self.ranks.items(), key=lambda x: x[1])
         self.rank_of = [rank for _, rank in ordered]
         self.token_of = {rank: token for token, rank in ordered}
@@ -106,7 +104,6 @@ class ByteBpe:
             text: rank for text, (_, rank), ids in zip(whole, ordered, self.model.encode(whole, num_threads=1), strict=True) if len(ids) != 1
         }
         self.memo = Memo(self._ids)
-        self._library = None
 
     def _ids(self, piece: str) -> bytes:
         """The ids of a pre-token, as little-endian unsigned 32-bit integers."""
@@ -115,19 +112,6 @@ class ByteBpe:
             return struct.pack("<I", self.direct[mapped])
         return np.array([self.rank_of[i - 1] for i in self.model.encode(mapped)], "<u4").tobytes()
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """The matches of the pattern, each of which is encoded by itself."""
-        if self.newer(text):
-            return self._split_by_library(text)
-        return self.split(text)
-
-    def _split_by_library(self, text: str) -> list[str]:
-        from tokenizers import Regex, pre_tokenizers
-
-        if self._library is None:
-            self._library = pre_tokenizers.Split(Regex(self.pattern), behavior="removed", invert=True)
-        return [x for x, _ in self._library.pre_tokenize_str(text)]
-
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pre_tokens(text)))
 

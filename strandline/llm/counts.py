@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import Memo, byte_alphabet, map_text, newer_search, tokenizer_file
+from strandline.llm.common import Memo, Splitter, byte_alphabet, map_text, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -37,8 +37,7 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.newer = newer_search()
+        self.split = Splitter(public_tokenizers.PATTERN)
         self.letters = byte_alphabet()
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
@@ -53,15 +52,13 @@ class Counter:
                 texts.append(bytes(back[c] for c in piece).decode())
             except (KeyError, UnicodeDecodeError):
                 continue  # a part of a character never is a pre-token
-        alone = [x for x in texts if not self.newer(x) and self.split(x) == [x]]
+        alone = [x for x in texts if self.split(x) == [x]]
         return [x for x, e in zip(alone, self.library.encode_batch(alone, add_special_tokens=False), strict=True) if len(e.ids) == 1]
 
     def _merged(self, piece: str) -> int:
         return len(self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
 
     def count(self, text: str) -> int:
-        if self.newer(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
         if self.special is None or not self.special.search(text):
             return sum(map(self.memo.__getitem__, self.split(text)))
         parts = self.special.split(text)
