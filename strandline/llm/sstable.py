@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Memo, by_bytes, byte_alphabet, fresh_path, tokenizer_file
+from strandline.llm.common import Memo, Splitter, by_bytes, byte_alphabet, fresh_path, tokenizer_file
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -251,7 +251,7 @@ class WordBpe:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        self.split = Splitter(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         # Latin-1 texts without special strings: normalising is lower-casing (white space is dropped anyway).
         self.odd = regex.compile(r"[^\x00-\xFF]|<\|").search
         self.letters = byte_alphabet()
