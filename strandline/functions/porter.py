@@ -7,13 +7,14 @@ import re
 
 #: Words outside these lengths are left alone.
 SHORTEST, LONGEST = 3, 64
-_C, _V = "[^aeiou]", "[aeiouy]"
-_CONS, _VOWELS = f"{_C}[^aeiouy]*", f"{_V}[aeiou]*"
-_MORE_THAN_0 = re.compile(f"^(?:{_CONS})?{_VOWELS}{_CONS}")
-_EXACTLY_1 = re.compile(f"^(?:{_CONS})?{_VOWELS}{_CONS}(?:{_VOWELS})?$")
-_MORE_THAN_1 = re.compile(f"^(?:{_CONS})?{_VOWELS}{_CONS}{_VOWELS}{_CONS}")
-_HAS_VOWEL = re.compile(f"^(?:{_CONS})?{_V}")
-_SHORT_END = re.compile(f"^{_CONS}{_V}[^aeiouwxy]$")
+# A y is a consonant at the beginning and after a vowel.
+_CONS, _VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_TO_VOWELS = f"(?:{_CONS}{_VOWELS}|[aeiou]+)"
+_MORE_THAN_0 = re.compile(f"^{_TO_VOWELS}{_CONS}")
+_EXACTLY_1 = re.compile(f"^{_TO_VOWELS}{_CONS}(?:{_VOWELS})?$")
+_MORE_THAN_1 = re.compile(f"^{_TO_VOWELS}{_CONS}{_VOWELS}{_CONS}")
+_HAS_VOWEL = re.compile("^(?:.*[aeiou]|.+y)")
+_SHORT_END = re.compile(f"^{_CONS}[aeiouy][^aeiouwxy]$")
 # Suffixes and replacements of the second, third and fourth step.  Fixed values.
 _SECOND = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble", "alli": "al",

@@ -169,7 +169,7 @@ def recall(index: Index, plans: Mapping[str, Plan], limit: int = 50, offset: int
 def _hydrated(index: Index, page: DataFrame) -> DataFrame:
     about = index.documents.select("branch_id", "rowid", "id", "date", "role", "text")
     return about.join(page.select("query_id", "branch_id", "rowid", "rank", "score"), ["branch_id", "rowid"]).select(
-        "query_id", "rank", "id", "date", "role", "score", "text", "branch_id", "rowid"
+        "query_id", "branch_id", "rowid", "rank", "id", "date", "role", "score", "text"
     )
 
 
