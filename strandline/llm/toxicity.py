@@ -5,8 +5,9 @@ wide and styled letters, letters of other scripts that look like Latin ones, and
 digits or signs put for letters all become the plain letter; what is no letter
 becomes a space.  One Aho-Corasick automaton finds the entries of the lexicon at
 the beginnings of words (a stem, with whatever ending) or as whole words, and the
-exception phrases that void an entry inside them.  A match has to have letters in
-the original for half of its characters, so that a number isn't read as a word.
+exception phrases that void an entry inside them.  Of the characters of
+a matched word a third have to be letters in the original, so that a number isn't
+read as a word.
 
 The evidence of a text is the sum of the weights of its matches; the score is a
 logistic function of the evidence and of the evidence by length.
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 
 from strandline.llm.common import keep_rows, map_text
 
-SAMPLE_ROWS = 12_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_ROWS = 8_000
+SAMPLE_CHARS = 24_000_000
 #: An entry is learned from this many toxic rows at least, if they have it this many times as often as clean rows.
 SUPPORT = 5
 LIFT = 10.0
@@ -123,7 +124,8 @@ class Lexicon:
         """Beginning, end and weight of the heaviest entry at each word that has one."""
         best: dict[int, tuple[int, float]] = {}
         voided = []
-        for end, (size, weight) in self.automaton.iter(f" {fold(text)} "):
+        folded = f" {fold(text)} "
+        for end, (size, weight) in self.automaton.iter(folded):
             begin = end - size + 1  # of the blank before the word, that is the word's place in the text
             if weight == 0.0:
                 voided.append((begin, end))
@@ -131,9 +133,9 @@ class Lexicon:
                 best[begin] = (end, weight)
         out = []
         for begin, (end, weight) in sorted(best.items()):
-            source = text[begin : end if end <= len(text) else len(text)].rstrip()
-            if 2 * sum(map(str.isalpha, source)) >= len(source) and not any(a <= begin and end <= b for a, b in voided):
-                out.append((begin, end, weight))
+            word = text[begin : folded.index(" ", begin + 1) - 1]
+            if 3 * sum(map(str.isalpha, word)) >= len(word) and not any(a <= begin and end <= b for a, b in voided):
+                out.append((begin, min(end, begin + len(word)), weight))
         return out
 
     def features(self, text: str) -> tuple[float, float]:
@@ -149,23 +151,49 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + by_evidence * evidence + by_length * rate))))
 
 
-def _learned(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Entries that toxic rows have far more often than clean rows, and their log odds."""
+def _learned(found: list[np.ndarray], labels: list[int], names: list[str]) -> dict[str, float]:
+    """Entries that toxic rows have far more often than clean rows, and their log odds.
+
+    ``found`` has the numbers of each row's candidates, ``names`` their texts.
+    """
+    toxic, clean = sum(labels), len(labels) - sum(labels)
     if not toxic or not clean:
         return {}
-    often = Counter()
-    for entries in toxic:
-        often.update(entries)
-    often = {x: n for x, n in often.items() if n >= SUPPORT}
-    seldom = Counter()
-    for entries in clean:
-        seldom.update(often.keys() & entries)
-    out = {}
-    for entry, n in often.items():
-        rate, other = n / len(toxic), (seldom[entry] + 1) / len(clean)
-        if rate >= LIFT * other:
-            out[entry] = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((seldom[entry] + 0.5) / (len(clean) + 1))
-    return out
+    none = np.zeros(0, np.int64)
+    often, seldom = (
+        np.bincount(np.concatenate([none, *(f for f, y in zip(found, labels, strict=True) if y == kind)]), minlength=len(names)) for kind in (1, 0)
+    )
+    odds = np.log((often + 0.5) / (toxic + 1)) - np.log((seldom + 0.5) / (clean + 1))
+    chosen = (often >= SUPPORT) & (often / toxic >= LIFT * (seldom + 1) / clean)
+    return {names[i]: float(odds[i]) for i in np.flatnonzero(chosen)}
+
+
+def _candidates(rows: list[tuple[str, int]]) -> tuple[list[np.ndarray], list[str]]:
+    """For each row the numbers of its candidates, that is of entries which ``SUPPORT`` toxic rows have, and their texts.
+
+    Entries are numbers by their hash here, eight bytes each, so that memory stays
+    far below that of the sample's distinct words and stems.
+    """
+
+    def hashed(text: str) -> np.ndarray:
+        return np.unique(np.fromiter(map(hash, _entries_of(fold(text))), np.int64))
+
+    toxic = [hashed(text) for text, label in rows if label]
+    values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *toxic]), return_counts=True)
+    values = values[counts >= SUPPORT]
+    names = [""] * len(values)
+    for text, label in rows:
+        if label:
+            for entry in _entries_of(fold(text)):
+                at = int(np.searchsorted(values, hash(entry)))
+                if at < len(values) and values[at] == hash(entry):
+                    names[at] = entry
+    held = iter(toxic)
+    found = []
+    for text, label in rows:
+        own = next(held) if label else hashed(text)
+        found.append(np.flatnonzero(np.isin(values, own, assume_unique=True)))
+    return found, names
 
 
 def _lexicon(learned: dict[str, float]) -> dict[str, float]:
@@ -218,20 +246,21 @@ def fit(labelled: Iterable[tuple[str, int]]) -> Lexicon:
     that the other half taught, so that they don't trust what was learned by heart.
     """
     rows = _different(sorted(labelled))
-    entries = [(_entries_of(fold(text)), label) for text, label in rows]
+    labels = [y for _, y in rows]
+    found, names = _candidates(rows)
 
-    def taught(some: list[tuple[set[str], int]]) -> dict[str, float]:
-        return _lexicon(_learned([e for e, y in some if y], [e for e, y in some if not y]))
+    def taught(part: slice) -> dict[str, float]:
+        return _lexicon(_learned(found[part], labels[part], names))
 
     parameters = PRIOR
-    if len({y for _, y in rows}) == 2 and len(rows) >= 40:
-        features, labels = [], []
+    if len(set(labels)) == 2 and len(rows) >= 40:
+        features, sides = [], []
         for half in (0, 1):
-            own = Lexicon(taught(entries[1 - half :: 2]))
+            own = Lexicon(taught(slice(1 - half, None, 2)))
             features += [own.features(text) for text, _ in rows[half::2]]
-            labels += [y for _, y in rows[half::2]]
-        parameters = _logistic(np.array(features), np.array(labels, float))
-    return Lexicon(taught(entries), parameters)
+            sides += labels[half::2]
+        parameters = _logistic(np.array(features), np.array(sides, float))
+    return Lexicon(taught(slice(None)), parameters)
 
 
 def _hashed(column: str):
