@@ -277,35 +277,28 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     without any id one row stays too.  The rows are written once with their
     fingerprints, and read again for the choice.
     """
-    key, same = unused(df, "fingerprint_bits"), "kept_id"
+    key, same, bits, count = (unused(df, name) for name in ("fingerprint_bits", "kept_id", "kept_fp", "kept_n"))
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(key, T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x or "") for x in batch.column(text_col).to_pylist()]
-            bits = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*names, key])
+            column = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, key])
 
     rows = written(df.mapInArrow(run, schema), "documents")
     fps = rows.select(F.col(id_col).alias("doc_id"), F.col(key).alias("fp"))
-    chosen = classes(fps).where("doc_id <=> component_id").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    # Without ids a component's rows are equally good: the least fingerprint stands for it.
-    chosen = written(chosen.withColumnsRenamed({"doc_id": same, "fp": "kept_fp"}), "kept")
-    nameless = chosen.where(F.col(same).isNull())
+    chosen = written(classes(fps).where("doc_id <=> component_id").groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "kept")
+    nameless = chosen.where("doc_id IS NULL")
     if not nameless.isEmpty():
-        least = components_of_nameless(nameless)
-        chosen = written(chosen.where(F.col(same).isNotNull()).unionByName(least), "kept")
-    joined = rows.join(chosen, F.col(id_col).eqNullSafe(F.col(same)) & (F.col(key) == F.col("kept_fp")))
-    once = joined.where("n = 1")
-    again = joined.where("n > 1")
-    if not chosen.where("n > 1").isEmpty():
-        once = once.unionByName(again.dropDuplicates([id_col, key]))
-    return once.select(*names)
-
-
-def components_of_nameless(nameless: DataFrame) -> DataFrame:
-    """Of the rows without id, one fingerprint of each component."""
-    roots = components(links(nameless.select(F.col("kept_fp").alias("fp")).distinct()))
-    lesser = roots.where("node <> root").select(F.col("node").alias("kept_fp"))
-    return nameless.join(lesser, "kept_fp", "left_anti").select(*nameless.columns)
+        # Without ids a component's rows are equally good: the least fingerprint stands for it.
+        roots = components(links(nameless.select("fp").distinct()))
+        lesser = roots.where("node <> root").select(F.col("node").alias("fp"))
+        chosen = chosen.where("doc_id IS NOT NULL").unionByName(nameless.join(lesser, "fp", "left_anti"))
+    named = chosen.select(F.col("doc_id").alias(same), F.col("fp").alias(bits), F.col("n").alias(count))
+    joined = rows.join(named, F.col(id_col).eqNullSafe(F.col(same)) & (F.col(key) == F.col(bits)))
+    if chosen.where("n > 1").isEmpty():
+        return joined.select(*names)
+    once, again = joined.where(F.col(count) == 1), joined.where(F.col(count) > 1)
+    return once.unionByName(again.dropDuplicates([id_col, key])).select(*names)
