@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import dropped, join_counted, map_text, unused, written
+from strandline.llm.common import join_counted, map_text, unused, written
 from strandline.llm.components import components
 
 SHINGLE = 4

@@ -28,7 +28,6 @@ import math
 import pickle
 
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
