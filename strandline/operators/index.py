@@ -2,16 +2,19 @@
 
 ``postings`` has a row for each document, term and column (0: tokens, 1: stems)
 with the places in an array and the document's length, so that a term's frequency
-is an array's size and scoring needs no join to ``documents``.  Texts stay in
+is an array's size and scoring needs no join to ``documents``; ``head`` marks one
+posting of each document.  Texts stay in
 ``documents`` and are joined only to the rows of a page.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,7 @@ PARTS = T.StructType(
         T.StructField("col", T.IntegerType()),
         T.StructField("places", T.ArrayType(T.IntegerType())),
         T.StructField("dl", T.IntegerType()),
+        T.StructField("head", T.BooleanType()),
     ]
 )
 
@@ -93,8 +97,8 @@ def build(docs: DataFrame, unique_ids: bool = False) -> Index:
     plain = one.mapInArrow(_normalised, one.schema).where("text <> ''")
     documents = plain.withColumn("ts", F.coalesce("ts", F.lit(""))).withColumns({"date": F.substring("ts", 1, 10), "content_hash": content_hash(F.col("text"))})
     postings = plain.select("branch_id", "rowid", "recency", "text").mapInArrow(_postings, PARTS)
-    # A document's length is on each of its postings; one that has no terms at all counts with length 0.
-    lengths = postings.groupBy("branch_id", "rowid").agg(F.first("dl").alias("dl")).groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
+    # Each document's first posting is its head, so lengths sum up without a shuffle by document; one without terms has length 0.
+    lengths = postings.where("head").groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
     counts = plain.groupBy("branch_id").agg(F.count("*").alias("n"))
     stats = counts.join(lengths, "branch_id", "left").select("branch_id", "n", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
     return Index(documents, postings, stats)
@@ -111,19 +115,37 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            columns: list[list] = [[] for _ in PARTS.names]
-            for branch, rowid, recency, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            terms: list[str] = []
+            places: list[list[int]] = []
+            sizes, lengths = [], []  # postings of each document by column, and its length
+            for text in part.column("text").to_pylist():
                 found = index_tokens(text)
-                length = len(found[TOKENS]) + len(found[STEMS])
+                lengths.append(len(found[TOKENS]) + len(found[STEMS]))
                 for col in (TOKENS, STEMS):
-                    places: dict[str, list[int]] = defaultdict(list)
+                    at_of: dict[str, list[int]] = defaultdict(list)
                     for at, term in enumerate(found[col]):
-                        places[term].append(at)
-                    for term, at in places.items():
-                        for column, value in zip(columns, (branch, rowid, recency, term, col, at, length), strict=True):
-                            column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=PARTS.names)
+                        at_of[term].append(at)
+                    terms += at_of
+                    places += at_of.values()
+                    sizes.append(len(at_of))
+            # What is the same for all postings of a document is repeated by column.
+            counts = np.array(sizes, np.int64)
+            row = np.repeat(np.repeat(np.arange(part.num_rows), 2), counts)
+            head = np.zeros(len(row), bool)
+            head[np.flatnonzero(np.diff(row, prepend=-1))] = True
+            ends = np.cumsum([len(p) for p in places], dtype=np.int32)
+            flat = np.fromiter(itertools.chain.from_iterable(places), np.int32, int(ends[-1]) if len(ends) else 0)
+            columns = [
+                part.column("branch_id").take(pa.array(row)),
+                part.column("rowid").take(pa.array(row)),
+                part.column("recency").take(pa.array(row)),
+                pa.array(terms, pa.string()),
+                pa.array(np.repeat(np.tile(np.array([TOKENS, STEMS], np.int32), part.num_rows), counts)),
+                pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends].astype(np.int32)), pa.array(flat)),
+                pa.array(np.array(lengths, np.int32)[row]),
+                pa.array(head),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=PARTS.names)
 
 
 def vocabulary(index: Index) -> DataFrame:
@@ -137,6 +159,12 @@ def statistics(index: Index) -> DataFrame:
     return index.documents.agg(F.count("*").alias("documents"), F.count_distinct("content_hash").alias("contents")).crossJoin(sizes)  # one row each
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read, dealt out to all cores if its files make fewer tasks; a large one never is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def corpus_documents(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", branch: str = "corpus") -> DataFrame:
     """Rows for :func:`build` from a table of documents with integer ids: one branch, in the order of the ids."""
     return table.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as tx
 from strandline.metrics import reports, retrieval
 from strandline.operators import automatic, branch, expand, grep, ranking, recall
-from strandline.operators.index import TOKENS, Index, build, corpus_documents, vocabulary
+from strandline.operators.index import TOKENS, Index, build, corpus_documents, spread, vocabulary
 from strandline.plans.query import Phrase, Plan, plan
 from strandline.sources import corpora, traces
 from strandline.streaming import cadence
@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
