@@ -31,11 +31,11 @@ def _longest(word: str, suffixes) -> str | None:
 
 def _first_step(word: str) -> str:
     """Plurals, past forms and a final y."""
-    if word.endswith("sses") or word.endswith("ies"):
+    if len(word) > 3 and word.endswith("ies") or len(word) > 4 and word.endswith("sses"):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if len(word) > 3 and word.endswith("eed"):
         if _MORE_THAN_0.match(word[:-3]):
             word = word[:-1]
     else:
@@ -51,7 +51,7 @@ def _first_step(word: str) -> str:
 def _after_removal(word: str) -> str:
     if word.endswith(("at", "bl", "iz")):
         return word + "e"
-    if len(word) > 1 and word[-1] == word[-2] and re.match(r"[^aeiouylsz]", word[-1]):
+    if len(word) > 1 and word[-1] == word[-2] and re.match(r"[^aeioulsz]", word[-1]):
         return word[:-1]
     if _EXACTLY_1.match(word) and _SHORT_END.match(word):
         return word + "e"
