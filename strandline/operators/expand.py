@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 # Size of a page, neighbours by default and at most, and the largest number that a status may hold.
 PAGE, NEIGHBOURS, MOST, LARGEST = 16_000, 2, 20, 2**53 - 1
+# What a page says.
+STATUS = "\n[page offset={offset} returned={returned} total={total} nextOffset={following} hasMore={more}]"
+HEAD = "--- [{id}] {ts} {role}{requested}\n"
+MISSING = "No compacted entry with id {id}."
 
 
 def _status(offset: int, returned: int, total: int, following: int, more: bool) -> str:
-    return f"\n[page offset={offset} returned={returned} total={total} nextOffset={following} hasMore={str(more).lower()}]"
+    return STATUS.format(offset=offset, returned=returned, total=total, following=following, more=str(more).lower())
 
 
 RESERVE = len(_status(LARGEST, LARGEST, LARGEST, LARGEST, True))
 
 
 def _header(row: dict, requested: bool) -> str:
-    return f"--- [{row['id']}] {row['ts']} {row['role']}{' (requested)' if requested else ''}\n"
+    return HEAD.format(id=row["id"], ts=row["ts"], role=row["role"], requested=" (requested)" if requested else "")
 
 
 def neighbourhood(entries: DataFrame, targets: DataFrame, before: int = NEIGHBOURS, after: int = NEIGHBOURS) -> DataFrame:
@@ -63,7 +67,7 @@ def expand(entries: DataFrame, entry_id: str, before: int = NEIGHBOURS, after: i
     # One branch: a few rows around one place are all that is read of it.
     here = entries.where(F.col("id") == entry_id).agg(F.min("pos").alias("p")).first()["p"]
     if here is None:
-        return f"No compacted entry with id {entry_id}.", {}
+        return MISSING.format(id=entry_id), {}
     some = entries.select("pos", "id", "ts", "role", "readable")
     earlier = some.where(F.col("pos") < here).orderBy(F.col("pos").desc()).limit(before).collect()
     later = some.where(F.col("pos") >= here).orderBy("pos").limit(after + 1).collect()

@@ -143,31 +143,31 @@ class Structured:
 def literal(text: str, path: str) -> Phrase:
     """A text as one phrase of tokens; what the index wouldn't have whole is an error."""
     if "\0" in text or tx.BARRIER in text:
-        raise TypeError(f"{path}: NUL and the index's barrier are unsupported")
+        raise TypeError(f"{path} has a NUL or the index's barrier")
     # Barriers inside the text keep its runs apart; the last one is left out, as a run may go on in a document.
     tokens, _ = tx.index_tokens(tx.nfkc(text))
     if tokens and tokens[-1] == tx.BARRIER:
         tokens.pop()
     if not tokens:
-        raise TypeError(f"{path}: text produces zero indexed tokens")
+        raise TypeError(f"{path} has no tokens")
     for run, paired in ((m.group(), bool(m["han"])) for m in _LEX.finditer(text)):
         parts = [run] if paired else [p for p in _PIECE.split(run) if p]
         if any(len(p) < 2 for p in parts):
-            raise TypeError(f"{path}: single characters are not indexed")
+            raise TypeError(f"{path} has a single character, which no index has")
     return Phrase(" ".join(tokens), (TOKENS,))
 
 
 def structured_plans(query: Structured) -> tuple[Plan, list[Plan], Plan | None]:
     """The plan of the candidates, one for each preferred group, and that of the exclusions."""
     if not query.must and not query.prefer:
-        raise TypeError("must/prefer: at least one positive concept group is required")
+        raise TypeError("a query needs a group in must or prefer")
     if query.limit < 1:
-        raise TypeError("limit: expected a positive integer")
+        raise TypeError(f"{query.limit} rows can't be asked for")
 
     def groups(name: str, some: list[list[str]]) -> list[list[Branch]]:
         for i, group in enumerate(some):
             if not group:
-                raise TypeError(f"{name}[{i}].any_of: must contain at least one literal")
+                raise TypeError(f"{name}[{i}] is empty")
         return [[(literal(t, f"{name}[{i}].any_of[{j}]"),) for j, t in enumerate(group)] for i, group in enumerate(some)]
 
     must, prefer = groups("must", query.must), groups("prefer", query.prefer)

@@ -21,6 +21,10 @@ from strandline.operators.index import STEMS, TOKENS
 GROUPS, ALTERNATIVES, EXCLUSIONS = 5, 8, 5
 SURFACE_CHARS, TOTAL_CHARS = 256, 2_048
 BRANCHES, BRANCH_ATOMS, ATOM_CHARS, ALL_ATOMS, MATCH_UNITS = 4, 16, 4_096, 256, 32_768
+# The warnings that a page shows.
+CLAMPED = "Warning: {path} has more than {most} items; ignored {ignored}."
+DROPPED = "Warning: {surfaces} produced no searchable terms and {verb} ignored. Suggestion: use other words or history_grep."
+UNCOVERED = "Warning: {surface} → {terms}. Suggestion: revise query terms or use history_grep."
 
 BOTH = (TOKENS, STEMS)
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
@@ -90,37 +94,37 @@ def _units(text: str) -> int:
 def checked_text(value: object, path: str, most: int) -> str:
     """A trimmed text of bounded length without control characters."""
     if not isinstance(value, str):
-        raise QueryError("INVALID_TEXT", f"{path}: expected a string")
+        raise QueryError("INVALID_TEXT", f"{path} is no text")
     if _units(value) > 2 * most:
-        raise QueryError("LIMIT_EXCEEDED", f"{path}: text is too long")
+        raise QueryError("LIMIT_EXCEEDED", f"{path} is longer than {most} characters")
     if _SURROGATE.search(value):
-        raise QueryError("INVALID_TEXT", f"{path}: unpaired UTF-16 surrogate")
+        raise QueryError("INVALID_TEXT", f"{path} has half of a character")
     if _CONTROL.search(value):
-        raise QueryError("INVALID_TEXT", f"{path}: unsupported control character")
+        raise QueryError("INVALID_TEXT", f"{path} has a control character")
     value = value.strip(tx.SPACES)
     if not value:
-        raise QueryError("EMPTY_TEXT", f"{path}: empty text")
+        raise QueryError("EMPTY_TEXT", f"{path} is blank")
     if len(value) > most:
-        raise QueryError("LIMIT_EXCEEDED", f"{path}: text is too long")
+        raise QueryError("LIMIT_EXCEEDED", f"{path} is longer than {most} characters")
     return value
 
 
 def parse(source: object, clamp: bool = False) -> Query:
     """Validate a query; ``clamp`` leaves out items beyond a count instead of failing, and notes them."""
     if not isinstance(source, dict):
-        raise QueryError("INVALID_QUERY", "Expected a query object")
+        raise QueryError("INVALID_QUERY", "a query is an object with concepts")
     for name in source:
         if name not in ("concepts", "match", "exclude"):
-            raise QueryError("UNKNOWN_FIELD", f"Unknown query field: {name}")
+            raise QueryError("UNKNOWN_FIELD", f"a query has no field {name}")
     match = source.get("match") if source.get("match") is not None else "any"
     if match not in ("any", "all"):
-        raise QueryError("INVALID_MODE", "match must be any or all")
+        raise QueryError("INVALID_MODE", f"match is any or all, not {match!r}")
     clamped: list[tuple[str, int, list]] = []
     used = 0
 
     def items(value: object, path: str, least: int, most: int) -> list:
         if not isinstance(value, (list, tuple)) or len(value) < least or (len(value) > most and not clamp):
-            raise QueryError("INVALID_ARRAY", f"{path}: expected {least}..{most} items")
+            raise QueryError("INVALID_ARRAY", f"{path} takes {least} to {most} items")
         if len(value) > most:
             clamped.append((path, most, list(value[most:])))
         return list(value[:most])
@@ -130,7 +134,7 @@ def parse(source: object, clamp: bool = False) -> Query:
         found = checked_text(value, path, SURFACE_CHARS)
         used += len(found)
         if used > TOTAL_CHARS:
-            raise QueryError("LIMIT_EXCEEDED", "Total surface text is too long")
+            raise QueryError("LIMIT_EXCEEDED", f"all surfaces together are longer than {TOTAL_CHARS} characters")
         return found
 
     concepts = [
@@ -175,7 +179,7 @@ def branches_of(found: list[Span], phrases: bool = True) -> list[list[str]]:
 def _joined(word: str, parts: list[str]) -> str:
     parts = _unique(parts)
     if not parts:
-        raise QueryError("EMPTY_ANALYSIS", "Cannot compile an empty expression")
+        raise QueryError("EMPTY_ANALYSIS", "nothing is left to search for")
     return parts[0] if len(parts) == 1 else "(" + f" {word} ".join(parts) + ")"
 
 
@@ -193,11 +197,11 @@ class Compiler:
             try:
                 analysis = self.analyse(surface)
             except Exception as error:
-                raise QueryError("ANALYZER_FAILED", "The configured query analyzer failed") from error
+                raise QueryError("ANALYZER_FAILED", f"the analysis of {surface!r} failed") from error
             if not analysis:
-                raise QueryError("EMPTY_ANALYSIS", "A surface form produced no searchable terms")
+                raise QueryError("EMPTY_ANALYSIS", f"{surface!r} has no terms")
             if len(analysis) > BRANCHES:
-                raise QueryError("INVALID_ARRAY", f"analysis: expected 1..{BRANCHES} items")
+                raise QueryError("INVALID_ARRAY", f"{surface!r} has more than {BRANCHES} readings")
             branches = [self._branch(b) for b in analysis]
             texts = [_joined("AND", [p.text() for p in b]) for b in branches]
             own = {t: b for t, b in reversed(list(zip(texts, branches, strict=True)))}
@@ -206,14 +210,14 @@ class Compiler:
 
     def _branch(self, atoms: list[str]) -> Branch:
         if not 1 <= len(atoms) <= BRANCH_ATOMS:
-            raise QueryError("INVALID_ARRAY", f"analysis branch: expected 1..{BRANCH_ATOMS} items")
+            raise QueryError("INVALID_ARRAY", f"a reading takes 1 to {BRANCH_ATOMS} atoms, not {len(atoms)}")
         out = []
         for atom in atoms:
             self.atoms += 1
             if self.atoms > ALL_ATOMS:
-                raise QueryError("LIMIT_EXCEEDED", "Too many expanded atoms")
-            if checked_text(atom, "analyzed atom", ATOM_CHARS) != atom:
-                raise QueryError("INVALID_ANALYSIS", "An index atom has outer whitespace")
+                raise QueryError("LIMIT_EXCEEDED", f"a query takes {ALL_ATOMS} atoms at most")
+            if checked_text(atom, "an atom", ATOM_CHARS) != atom:
+                raise QueryError("INVALID_ANALYSIS", f"the atom {atom!r} begins or ends with a blank")
             out.append(Phrase(atom))
         return tuple(_unique(out))
 
@@ -239,7 +243,7 @@ def compile_query(query: Query, analyse=None) -> Plan:
         text, exclude = compiler.group(query.exclude)
         expression = f"({expression} NOT {text})"
     if _units(expression) > MATCH_UNITS:
-        raise QueryError("LIMIT_EXCEEDED", "Compiled MATCH is too long")
+        raise QueryError("LIMIT_EXCEEDED", f"the expression is longer than {MATCH_UNITS} units")
     return Plan(list(groups.values()), exclude, query.match, expression=expression)
 
 
@@ -257,16 +261,15 @@ def plan(source: object) -> Plan:
     kept = [g for g in ([s for s in group if spans[s]] for group in concepts) if g]
     query = Query(kept, raw.match, [s for s in exclude if spans[s]]) if kept else Query(concepts, raw.match, exclude)
     out = compile_query(query, lambda s: branches_of(spans[s]))
-    out.warnings = [f"Warning: {path} has more than {most} items; ignored {_data(ignored)}." for path, most, ignored in raw.clamped]
+    out.warnings = [CLAMPED.format(path=path, most=most, ignored=_data(ignored)) for path, most, ignored in raw.clamped]
     dropped = [s for s in spans if not spans[s]]
     if dropped:
-        verb = "was" if len(dropped) == 1 else "were"
-        out.warnings.append(f"Warning: {_data(dropped)} produced no searchable terms and {verb} ignored. Suggestion: use other words or history_grep.")
+        out.warnings.append(DROPPED.format(surfaces=_data(dropped), verb="was" if len(dropped) == 1 else "were"))
     for surface, found in spans.items():
         covered = {i for _, a, b in found for i in range(a, b)}
         if found and any(_MEANINGFUL.match(c) and i not in covered for i, c in enumerate(surface)):
             terms = _unique(t for t, _, _ in found)
-            out.warnings.append(f"Warning: {_data(surface)} → {_data(terms)}. Suggestion: revise query terms or use history_grep.")
+            out.warnings.append(UNCOVERED.format(surface=_data(surface), terms=_data(terms)))
     out.snippet_terms = [(t, False) for t in _unique(t for g in query.concepts for s in g for t, _, _ in spans[s])]
     return out
 

@@ -12,6 +12,7 @@ HEADER = (
     "Use history_expand with an id to verify exact details before relying on them; search more with history_recall using other wording. "
     "Dates = message dates, not event dates. Rows (escaped JSON):\n"
 )
+TITLE = "History recall page: "
 TAG = "compacted-history-hints"
 NO_MATCHES = (
     'No matches. Rephrase, use fewer words per surface, or match="any"; history_grep searches raw text. No match ≠ never said.'
@@ -40,11 +41,11 @@ def hints(rows: Sequence[dict], header: str = HEADER) -> str | None:
 def check_page(limit: int, offset: int) -> None:
     for value, name in ((limit, "limit"), (offset, "offset")):
         if isinstance(value, bool) or not isinstance(value, int):
-            raise ValueError(f"{name} must be an integer")
+            raise ValueError(f"{name} is a whole number, not {value!r}")
     if not 1 <= limit <= MOST:
-        raise ValueError(f"limit must be an integer from 1 to {MOST}")
+        raise ValueError(f"a page has 1 to {MOST} rows, not {limit}")
     if not 0 <= offset < 2**53:
-        raise ValueError("offset must be a nonnegative safe integer")
+        raise ValueError(f"a page can't begin at {offset}")
 
 
 def page(rows: Sequence[dict], total: int, limit: int = MOST, offset: int = 0, warnings: Sequence[str] = ()) -> tuple[str, dict]:
@@ -62,7 +63,7 @@ def page(rows: Sequence[dict], total: int, limit: int = MOST, offset: int = 0, w
             "hasMore": more, "budgetChars": PAGE, "budgetExceeded": exceeded,
         }
         body = "\n".join(lines) + "\n" if lines else BEYOND if total else NO_MATCHES
-        return f"History recall page: {safe_json(details)}\n{header}{body}", details
+        return f"{TITLE}{safe_json(details)}\n{header}{body}", details
 
     lines: list[str] = []
     for row in rows[:limit]:

@@ -48,7 +48,7 @@ def golden(spark):
         ),
         "dotted": closed(
             msg("exact", "deploy to 10.0.0.1 done"), msg("sibling", "deploy to 10.0.0.2 done"), msg("ten", "version 10 released"),
-            msg("domain", "see api.irisrinne.party"), msg("fullwidth", "ping １０．０．０．１ failed"),
+            msg("domain", "see api.lighthouse.party"), msg("fullwidth", "ping １０．０．０．１ failed"),
         ),
         "stems": closed(msg("booked", "booked tickets"), msg("booking", "booking records"), msg("base", "book unrelated")),
         "order": closed(msg("old", "quasar old"), msg("best", "quasar nebula"), msg("recent", "quasar recent"), msg("tool", "quasar nebula", "toolResult")),
@@ -70,7 +70,7 @@ CASES = {
     ],
     "dotted": [
         ({"concepts": [["10.0.0.1"]]}, {"exact", "fullwidth", "sibling", "ten"}), ({"concepts": [["10.0.0"]]}, {"exact", "fullwidth", "sibling", "ten"}),
-        ({"concepts": [["irisrinne.party"]]}, {"domain"}), ({"concepts": [["api.irisrinne.party"]]}, {"domain"}),
+        ({"concepts": [["lighthouse.party"]]}, {"domain"}), ({"concepts": [["api.lighthouse.party"]]}, {"domain"}),
     ],
     "stems": [({"concepts": [["booked"]]}, {"booked"}), ({"concepts": [["book"]]}, {"booked", "booking", "base"})],
     "order": [({"concepts": [["quasar"], ["nebula"]]}, {"best", "recent", "old"}), ({"concepts": [["quasar"], ["nebula"]], "match": "all"}, {"best"})],
