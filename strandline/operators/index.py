@@ -39,18 +39,23 @@ PARTS = T.StructType(
 
 @dataclass
 class Index:
-    """An index over branches.  ``size`` of the whole is a count away, so nothing is collected."""
+    """An index over branches.  ``branches`` is how many there are, where that is known: statistics of few are broadcast."""
 
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
+    branches: int | None = None
 
     def cached(self) -> Index:
-        """The same index kept in memory, and on disk where that is short."""
-        self.documents.persist()
-        self.postings.persist()
-        self.stats.persist()
-        return self
+        """The same index kept in memory, and on disk where that is short.
+
+        Postings are sorted by term within their partitions, so that a query skips
+        the batches in which none of its terms can be.
+        """
+        kept = Index(self.documents, self.postings.sortWithinPartitions("term"), self.stats, self.branches)
+        for part in (kept.documents, kept.postings, kept.stats):
+            part.persist()
+        return kept
 
     def released(self) -> None:
         for part in (self.documents, self.postings, self.stats):
@@ -73,7 +78,7 @@ class Index:
         """
         more = build(docs, unique_ids=True)
         sums = self.stats.unionByName(more.stats).groupBy("branch_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-        return Index(self.documents.unionByName(more.documents), self.postings.unionByName(more.postings), sums)
+        return Index(self.documents.unionByName(more.documents), self.postings.unionByName(more.postings), sums, self.branches)
 
 
 def latest_by_id(docs: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def latest_by_id(docs: DataFrame) -> DataFrame:
     return found.select("branch_id", "rowid", "id", "d.role", "d.ts", "d.recency", "d.text")
 
 
-def build(docs: DataFrame, unique_ids: bool = False) -> Index:
+def build(docs: DataFrame, unique_ids: bool = False, branches: int | None = None) -> Index:
     """An index of rows (branch_id, pos, id, role, ts, text; recency is ``pos`` unless given).
 
     The latest row of an id wins before empty texts are left out, so a later empty
@@ -101,7 +106,7 @@ def build(docs: DataFrame, unique_ids: bool = False) -> Index:
     lengths = postings.where("head").groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
     counts = plain.groupBy("branch_id").agg(F.count("*").alias("n"))
     stats = counts.join(lengths, "branch_id", "left").select("branch_id", "n", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    return Index(documents, postings, stats)
+    return Index(documents, postings, stats, branches)
 
 
 def _normalised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {TOKENS: 1.0, STEMS: 0.5}
 #: Rows of query tables that are broadcast at most; more join by shuffle.
 BROADCAST_ROWS = 200_000
+#: Terms that go to the scan as a filter at most.
+PUSHED_TERMS = 2_000
 #: The order of results.
 BEST_FIRST = ("score", "ts", "recency", "rowid")
 
@@ -51,6 +53,8 @@ class QueryTables:
     branches: DataFrame
     needs: DataFrame
     rows: int
+    phrases: int
+    terms: list[str]
 
 
 def query_tables(spark: SparkSession, plans: Mapping[str, Plan]) -> QueryTables:
@@ -75,36 +79,45 @@ def query_tables(spark: SparkSession, plans: Mapping[str, Plan]) -> QueryTables:
         spark.createDataFrame(branches, "query_id string, phrase int, branch int, grp int, size int, negative boolean"),
         spark.createDataFrame(needs, "query_id string, groups int"),
         len(tokens) + len(branches),
+        len(phrases),
+        sorted({row[2] for row in tokens}),
     )
 
 
-def phrase_frequencies(index: Index, tokens: DataFrame, rows: int, phrases: bool = True) -> DataFrame:
-    """How often (weighted, ``f``) each phrase stands in each document that has it."""
+def phrase_frequencies(index: Index, tables: QueryTables) -> DataFrame:
+    """How often (weighted, ``f``) each phrase stands in each document that has it.
+
+    The postings of the query terms are dealt out by document once; what follows by
+    document, here and in :func:`hits`, is done where they are.
+    """
+    postings = index.postings
+    if len(tables.terms) <= PUSHED_TERMS:
+        # As a filter the terms reach the scan, which skips row groups (or cached batches) without any of them.
+        postings = postings.where(F.col("term").isin(tables.terms))
     found = (
-        index.postings.join(small(tokens, rows), "term")
+        postings.join(small(tables.tokens, tables.rows), "term")
         .withColumn("w", F.when(F.col("col") == TOKENS, F.col("w0")).otherwise(F.col("w1")))
         .where("w > 0")
+        # Places are only needed where tokens have to stand side by side: shifted back to the phrase's start.
+        .withColumn("s", F.when(F.col("k") > 1, F.transform("places", lambda p: p - F.col("i"))))
+        .select("phrase", "branch_id", "rowid", "recency", "dl", "col", "w", "k", F.struct("i", "s", F.size("places").alias("n")).alias("t"))
+        .repartition("branch_id", "rowid")
     )
-    alone = found.where("k = 1").select("phrase", "branch_id", "rowid", "recency", "dl", (F.col("w") * F.size("places")).alias("f"))
-    # Phrases of several tokens: shift each token's places back to the phrase's start and keep the common ones.
-    starts = F.transform("places", lambda p: p - F.col("i"))
-    gathered = (
-        found.where("k > 1")
-        .groupBy("phrase", "branch_id", "rowid", "recency", "dl", "col", "w", "k")
-        .agg(F.collect_list(F.struct("i", starts.alias("s"))).alias("l"))
-        .where(F.size("l") == F.col("k"))
-    )
+    gathered = found.groupBy("phrase", "branch_id", "rowid", "recency", "dl", "col", "w", "k").agg(F.collect_list("t").alias("l"))
     common = F.aggregate(F.slice("l", 2, 1 << 30), F.element_at("l", 1)["s"], lambda a, x: F.array_intersect(a, x["s"]))
-    together = gathered.select("phrase", "branch_id", "rowid", "recency", "dl", (F.col("w") * F.size(common)).alias("f")).where("f > 0")
-    return alone.unionByName(together).groupBy("phrase", "branch_id", "rowid").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"), F.first("recency").alias("recency"))
+    times = F.when(F.col("k") == 1, F.element_at("l", 1)["n"]).otherwise(F.size(common))
+    counted = gathered.where(F.size("l") == F.col("k")).select("phrase", "branch_id", "rowid", "recency", "dl", (F.col("w") * times).alias("f"))
+    return counted.where("f > 0").groupBy("phrase", "branch_id", "rowid").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"), F.first("recency").alias("recency"))
 
 
-def weights(index: Index, frequencies: DataFrame) -> DataFrame:
+def weights(index: Index, frequencies: DataFrame, phrases: int) -> DataFrame:
     """The weight of each phrase in each document that has it."""
     counts = frequencies.groupBy("phrase", "branch_id").agg(F.count("*").alias("df"))
     branch = index.stats.select("branch_id", "n", (F.col("length") / F.col("n")).alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = counts.join(branch, "branch_id").select("phrase", "branch_id", "avgdl", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
+    if index.branches is not None:
+        known = small(known, phrases * index.branches)
     length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     return frequencies.join(known, ["phrase", "branch_id"]).select(
         "phrase", "branch_id", "rowid", "recency", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + length)).alias("weight")
@@ -119,7 +132,7 @@ def hits(index: Index, plans: Mapping[str, Plan], eligible: int | None = None) -
     """
     spark = index.postings.sparkSession
     tables = query_tables(spark, plans)
-    scored = weights(index, phrase_frequencies(index, tables.tokens, tables.rows))
+    scored = weights(index, phrase_frequencies(index, tables), tables.phrases)
     if eligible is not None and eligible >= 0:
         scored = scored.where(F.col("recency") < eligible)
     by_branch = (

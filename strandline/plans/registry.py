@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
     """The index over ``documents``; its ids are unique."""
-    return build(corpus_documents(table(spark, sf_dir, "documents")), unique_ids=True)
+    return build(corpus_documents(table(spark, sf_dir, "documents")), unique_ids=True, branches=1)
 
 
 # ---------------------------------------------------------------- SQL parts
@@ -139,7 +139,7 @@ def _tokens_only(index: Index) -> Index:
     postings = index.postings.where((F.col("col") == TOKENS) & (F.col("term") != tx.BARRIER))
     lengths = postings.groupBy("branch_id", "rowid").agg(F.sum(F.size("places")).cast("int").alias("dl"))
     total = lengths.groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
-    return Index(index.documents, postings.drop("dl").join(lengths, ["branch_id", "rowid"]), index.stats.drop("length").join(total, "branch_id"))
+    return Index(index.documents, postings.drop("dl").join(lengths, ["branch_id", "rowid"]), index.stats.drop("length").join(total, "branch_id"), 1)
 
 
 @register(
@@ -175,7 +175,7 @@ _BOOLEAN = {
 def recall_any_all_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents three boolean queries find in tokens."""
     index = corpus_index(spark, sf_dir)
-    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats)
+    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats, 1)
     found = recall.hits(index, {name: plan(q) for name, q in _BOOLEAN.items()})
     return found.join(index.documents.select("branch_id", "rowid", "id"), ["branch_id", "rowid"]).select("query_id", "id")
 
@@ -187,7 +187,7 @@ SELECT 'q' AS query_id, count(DISTINCT {_HASH})::BIGINT AS total FROM documents
 def recall_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many different contents a query finds."""
     index = corpus_index(spark, sf_dir)
-    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats)
+    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats, 1)
     found = recall.representatives(index, recall.hits(index, {"q": plan({"concepts": [["license", "licens", "reen"]]})}))
     return recall.totals(found)
 
@@ -228,7 +228,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = corpus_index(spark, sf_dir)
     plans = {name: Plan([[(Phrase(f"under the {name}", (TOKENS,)),)]]) for name in ("mit", "apache")}
     tables = recall.query_tables(spark, plans)
-    found = recall.phrase_frequencies(index, tables.tokens, tables.rows).groupBy("branch_id", "rowid").agg(F.sum("f").cast("long").alias("tf"))
+    found = recall.phrase_frequencies(index, tables).groupBy("branch_id", "rowid").agg(F.sum("f").cast("long").alias("tf"))
     return found.join(index.documents.select("branch_id", "rowid", "id"), ["branch_id", "rowid"]).select("id", "tf")
 
 
