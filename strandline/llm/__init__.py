@@ -9,6 +9,7 @@ module   operator
 licenses licence scan over a positional rare-token index (SQL only)
 bpe      byte-level BPE encoding and decoding
 simhash  near-duplicate components over 64-bit fingerprints
+similar  near duplicates by shared runs of words, the pipeline's stage
 langid   string-kernel language classification
 sstable  token-id output as sorted-string-table shards
 counts   token counts with a whole-token shortcut
