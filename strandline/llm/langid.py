@@ -20,6 +20,7 @@ isn't a letter as a space.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Callable
 
@@ -41,30 +42,29 @@ UNKNOWN = "und"
 #: Texts that are scored by one product, and n-grams of the landmarks that are features.
 BATCH = 256
 FEATURES = 12_000
-#: Letters of the landmarks that get codes of their own; the rest share one, as do all from OTHER on.
-CHARACTERS = 94
-OTHER = 0x2000
+#: Bits of the number of a cell in the table of features.
+CELLS = 20
+
+
+@functools.cache
+def _letter_codes() -> np.ndarray:
+    """For each code point itself if it is a letter, else a space."""
+    return np.array([p if chr(p).isalpha() else 0x20 for p in range(0x110000)], np.int64)
 
 
 class Kernel:
     """A fitted classifier: plain arrays, so that it is broadcast as it is."""
 
     def __init__(self, landmarks: list[str]):
-        points = np.concatenate([self._points(x) for x in landmarks])
-        found, counts = np.unique(points, return_counts=True)
-        letters = np.array([chr(min(p, 0x10FFFF)).isalpha() for p in found])
-        found, counts = found[letters & (found < OTHER)], counts[letters & (found < OTHER)]
-        known = np.sort(found[np.argsort(-counts, kind="stable")][:CHARACTERS])
-        # Code 0 is any other letter, code 1 whatever is between words.
-        self.code = np.array([0 if chr(p).isalpha() else 1 for p in range(OTHER)] + [0], np.int64)
-        self.code[known] = np.arange(2, len(known) + 2)
-        self.base = len(known) + 2
         present = [np.unique(self._grams(self._points(x))) for x in landmarks]
         seen, spread = np.unique(np.concatenate(present), return_counts=True)
-        seen = np.sort(seen[np.argsort(-spread, kind="stable")][:FEATURES])
-        self.slot = np.zeros(sum(self.base**n for n in range(1, ORDERS + 1)), np.int32)
-        self.slot[seen] = np.arange(1, len(seen) + 1)  # slot 0: no feature
-        self.width = len(seen) + 1
+        self.keys = np.r_[0, np.sort(seen[np.argsort(-spread, kind="stable")][:FEATURES])]  # slot 0: no feature
+        # A cell has the slot of its only n-gram, or -1 where several meet.
+        cells = self._cells(self.keys[1:])
+        self.table = np.zeros(1 << CELLS, np.int32)
+        self.table[cells] = np.arange(1, len(self.keys))
+        self.table[np.flatnonzero(np.bincount(cells, minlength=1 << CELLS) > 1)] = -1
+        self.width = len(self.keys)
         # A landmark's presence vector is divided by its length, so that a product is half of the kernel.
         matrix = self._presence(landmarks)
         self.marks = (matrix / np.sqrt(np.maximum(1, matrix.sum(1, keepdims=True)))).T.copy()
@@ -75,19 +75,29 @@ class Kernel:
         return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
     def _grams(self, points: np.ndarray) -> np.ndarray:
-        """Codes of all n-grams; each order has a range of its own."""
-        codes = self.code[np.minimum(points, OTHER)]
-        out, grams, above = [codes], codes, 0
+        """All n-grams: their code points side by side, none of which is 0."""
+        codes = _letter_codes()[points]
+        out, grams = [codes], codes
         for order in range(1, ORDERS):
-            grams = grams[:-1] * self.base + codes[order:]
-            above += self.base**order
-            out.append(grams + above)
+            grams = grams[:-1] | codes[order:] << (21 * order)
+            out.append(grams)
         return np.concatenate(out)
 
+    @staticmethod
+    def _cells(grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        """The feature that each n-gram is, 0 for others."""
+        slots = self.table[self._cells(grams)]
+        met = np.flatnonzero(slots < 0)
+        slots[met] = np.minimum(np.searchsorted(self.keys, grams[met]), len(self.keys) - 1)
+        return np.where(self.keys[slots] == grams, slots, 0)
+
     def _presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width), np.float32)
         for row, text in zip(out, texts, strict=True):
-            row[self.slot[self._grams(self._points(text))]] = 1
+            row[self._slots(self._grams(self._points(text)))] = 1
         out[:, 0] = 0
         return out
 

@@ -100,6 +100,25 @@ def test_kernel_is_that_of_shared_ngrams():
             assert value == pytest.approx(len(own & grams(mark)) / (len(own) * len(grams(mark))) ** 0.5, abs=1e-6)
 
 
+def test_languages_of_other_scripts_are_told_apart():
+    """Languages with words of the same lengths, of which only the letters beyond U+2000 differ."""
+    pick = random.Random(12)
+    alphabets = {"h1": range(0x4E00, 0x4E60), "h2": range(0x5200, 0x5260), "ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xAC60)}
+
+    def line(language, words):
+        return " ".join("".join(chr(pick.choice(alphabets[language])) for _ in range(3)) for _ in range(words))
+
+    model = langid.fit([(line(x, 60), x) for x in alphabets for _ in range(30)], 40)
+    names = [x for x in alphabets for _ in range(20)]
+    assert model.predict([line(x, 30) for x in names])[0] == names
+
+
+def test_signs_beyond_latin_are_blanks():
+    kernel = langid.Kernel(["ab cd", "bc \u6f22\u5b57"])
+    assert kernel.kernel(["\u201cab\u201d\u2013cd"])[0].tolist() == kernel.kernel(['"ab"-cd'])[0].tolist()
+    assert kernel.kernel(["\u6f22\u5b57"])[0][1] > kernel.kernel(["\u6587\u66f8"])[0][1]
+
+
 # ---------------------------------------------------------------- decontamination
 
 
