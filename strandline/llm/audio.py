@@ -12,8 +12,8 @@ at the fullest offset the share of differing bits over the overlap decides.
 Searches take a stated set of queries against all recordings, in blocks: the
 queries' fingerprints are written to the shared folder by the executors, and each
 task reads block after block, one in memory at a time, so nothing is collected
-and no pairs are shuffled.  A recording's row has its best query and how many
-queries align with it, all of them counted.
+and no pairs are shuffled.  :func:`alignments` lists all queries that align with a
+recording; in :func:`search` its row has the best one and how many there are.
 
 Null, empty and too short recordings have no integers and align with nothing; a
 recording never is its own match, but another row with the same id is one if it
@@ -48,6 +48,8 @@ MOST_ERRORS = 0.2
 LEAST_OVERLAP = 8
 #: Queries of one block.
 BLOCK = 2_048
+#: Recordings whose lists of queries are held at once.
+LISTED = 256
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -200,12 +202,19 @@ def write_blocks(queries: DataFrame, id_col: str, block: int = BLOCK) -> list[st
     return [r["path"] for r in manifest.orderBy("path").collect()]
 
 
-def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
-    """All rows of ``found`` (id, prints) with their best query, the alignment, and ``n_matches``."""
+def _rank(votes: int, errors: float, other) -> tuple:
+    """Best first: more equal integers, fewer bit errors, the lesser id."""
+    return -votes, errors, other is None, other if other is not None else 0
+
+
+def _searched(found: DataFrame, is_query: Column, id_col: str, block: int, rows: int, fields: list, columns) -> DataFrame:
+    """All rows of ``found`` (id, prints), ``rows`` at once, with what ``columns`` makes of them and of their alignments.
+
+    ``columns`` gets the number of rows and an iterator of (row, query's id, offset, votes, bit errors).
+    """
     paths = write_blocks(found.where(is_query), id_col, block)
-    id_type = found.schema[id_col].dataType
-    fields = [(id_col, id_type), ("n_prints", T.LongType()), ("match_id", id_type), ("offset", T.LongType()), ("votes", T.LongType()), ("bit_errors", T.DoubleType()), ("n_matches", T.LongType())]
-    names = [n for n, _ in fields]
+    fields = [(id_col, found.schema[id_col].dataType), ("n_prints", T.LongType()), *fields]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def load(path: str) -> Block:
         store, file = _file_system(path)
@@ -215,27 +224,59 @@ def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = load(paths[0]) if len(paths) == 1 else None
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            own = [np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()]
-            best: list[tuple | None] = [None] * len(ids)
-            count = [0] * len(ids)
+
+        def hits(ids: list, own: list[np.ndarray]) -> Iterator[tuple]:
             for path in paths:
                 part = only or load(path)
                 for i, (rec, mine) in enumerate(zip(ids, own, strict=True)):
                     for query, shift, votes, errors in part.aligned(mine):
-                        other = part.ids[query]
-                        if other == rec:
-                            continue
-                        count[i] += 1
-                        rank = (-votes, errors, other is None, other if other is not None else 0)
-                        if best[i] is None or rank < best[i][0]:
-                            best[i] = (rank, other, shift, votes, errors)
-            columns = [ids, [len(x) for x in own], *([b[k] if b else None for b in best] for k in (1, 2, 3, 4)), count]
-            kinds = [batch.schema.field(0).type, pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return found.select(id_col, "prints").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+                        if part.ids[query] != rec:
+                            yield i, part.ids[query], shift, votes, errors
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                ids = piece.column(0).to_pylist()
+                own = [np.frombuffer(x or b"", "<u4") for x in piece.column(1).to_pylist()]
+                made = columns(len(ids), hits(ids, own), piece.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in own], pa.int64()), *made], names=[n for n, _ in fields])
+
+    return found.select(id_col, "prints").mapInArrow(run, schema)
+
+
+def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    """All rows of ``found`` (id, prints) with the first of their :func:`alignments`, and ``n_matches``."""
+    id_type = found.schema[id_col].dataType
+    fields = [("match_id", id_type), ("offset", T.LongType()), ("votes", T.LongType()), ("bit_errors", T.DoubleType()), ("n_matches", T.LongType())]
+
+    def columns(n: int, hits: Iterator[tuple], kind: pa.DataType) -> list[pa.Array]:
+        best: list[tuple | None] = [None] * n
+        count = [0] * n
+        for i, other, shift, votes, errors in hits:
+            count[i] += 1
+            rank = _rank(votes, errors, other)
+            if best[i] is None or rank < best[i][0]:
+                best[i] = (rank, other, shift, votes, errors)
+        kinds = (kind, pa.int64(), pa.int64(), pa.float64())
+        return [*(pa.array([x[k] if x else None for x in best], t) for k, t in enumerate(kinds, 1)), pa.array(count, pa.int64())]
+
+    return _searched(found, is_query, id_col, block, 1 << 30, fields, columns)
+
+
+def alignments(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    """All rows of ``found`` (id, prints) with ``matches``: every query that aligns, with offset, votes and bit errors, the best first."""
+    item = T.StructType([T.StructField("match_id", found.schema[id_col].dataType), T.StructField("offset", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("bit_errors", T.DoubleType())])
+
+    def columns(n: int, hits: Iterator[tuple], kind: pa.DataType) -> list[pa.Array]:
+        lists: list[list[tuple]] = [[] for _ in range(n)]
+        for i, other, shift, votes, errors in hits:
+            lists[i].append((other, shift, votes, errors))
+        names = ("match_id", "offset", "votes", "bit_errors")
+        items = [[dict(zip(names, x, strict=True)) for x in sorted(own, key=lambda x: _rank(x[2], x[3], x[0]))] for own in lists]
+        kinds = (kind, pa.int64(), pa.int64(), pa.float64())
+        return [pa.array(items, pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))]
+
+    return _searched(found, is_query, id_col, block, LISTED, [("matches", T.ArrayType(item))], columns)
 
 
 # ---------------------------------------------------------------- recordings for tests

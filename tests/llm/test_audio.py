@@ -78,6 +78,24 @@ def test_search_is_that_of_all_pairs(spark):
     assert audio.matches(table.limit(0)).collect() == []
 
 
+def test_alignments_list_every_query(spark):
+    recordings = [tune(1), tune(1), (tune(1) * 0.7).astype(np.int16), tune(1)[8 * audio.HOP :], tune(2), np.zeros(100, np.int16)]
+    rows = [(20 * i, r.astype("<i2").tobytes()) for i, r in enumerate(recordings)] + [(None, recordings[0].tobytes())]
+    prints = audio.recording_prints(spark.createDataFrame(rows, "rec_id long, audio binary").repartition(2))
+    own = {i: audio.prints(np.frombuffer(a, "<i2")) for i, a in rows}
+    query = F.col("rec_id") % 20 == 0
+    found = {r["rec_id"]: r for r in audio.alignments(prints, query, block=2).collect()}
+    best = {r["rec_id"]: r for r in audio.search(prints, query, block=2).collect()}
+    assert set(found) == set(best) == set(own)
+    for i in own:
+        hits = {q: h for q in own if q is not None and q != i and (h := slow_alignment(own[i], own[q]))}
+        order = sorted(hits, key=lambda q: (-hits[q][1], hits[q][2], q))
+        matches = [(m["match_id"], m["offset"], m["votes"], round(m["bit_errors"], 6)) for m in found[i]["matches"]]
+        assert matches == [(q, *hits[q]) for q in order]
+        assert (best[i]["n_matches"], best[i]["match_id"]) == (len(order), order[0] if order else None)
+    assert len(found[0]["matches"]) >= 3 and found[100]["matches"] == []
+
+
 def test_melodies(spark):
     table = spark.createDataFrame([(1, [0.1, 0.5, None]), (2, []), (3, None)], "vec_id long, embedding array<float>")
     sizes = {r["vec_id"]: r["n"] for r in audio.melodies(table).select("vec_id", F.length("audio").alias("n")).collect()}
