@@ -83,21 +83,73 @@ def test_languages_need_no_ids_and_no_labels(spark, docs_of):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
 
 
-def test_kernel_is_that_of_shared_ngrams():
-    """Against sets of n-grams, where all letters and n-grams are features."""
+def grams_of(text):
+    """The n-grams of a lower-case text as strings."""
+    line = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return {line[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(line) - n + 1)}
+
+
+def slow_kernel(text, mark):
+    return len(grams_of(text) & grams_of(mark)) / (len(grams_of(text)) * len(grams_of(mark))) ** 0.5
+
+
+def test_kernel_is_that_of_shared_ngrams(monkeypatch):
     marks = ["abc ab", "bca c"]
-    kernel = langid.Kernel(marks)
-
-    def grams(text):
-        line = f" {text} "
-        return {line[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(line) - n + 1)}
-
-    known = grams(marks[0]) | grams(marks[1])
-    found = kernel.kernel(["abc", "cab b", "zzz"])
-    for row, text in zip(found, ["abc", "cab b", "zzz"], strict=True):
-        own = grams(text) & known
-        for value, mark in zip(row, marks, strict=True):
-            assert value == pytest.approx(len(own & grams(mark)) / (len(own) * len(grams(mark))) ** 0.5, abs=1e-6)
+    texts = ["abc", "cab b", "zzz", "abc, \u6f22\u5b57 bca " * 9]
+    for piece in (langid.PIECE, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)  # texts longer than a piece are cut, and no n-gram is lost
+        for row, text in zip(langid.Kernel(marks).kernel(texts), texts, strict=True):
+            assert row.tolist() == pytest.approx([slow_kernel(text, m) for m in marks], abs=1e-6)
+
+
+def test_predictions_are_those_of_a_ridge_over_sets_of_ngrams():
+    """The whole classifier worked out from Python sets, for three scripts; the sparse product has to give the same values."""
+    import numpy as np
+
+    pick = random.Random(4)
+    alphabets = {"cy": "абвгдежз", "ha": "漢字文語本日人大", "la": "abcdefgh"}
+    line = lambda x: " ".join("".join(pick.choice(alphabets[x]) for _ in range(pick.randrange(1, 5))) for _ in range(12))
+    names = [x for x in alphabets for _ in range(25)]
+    texts = [line(x) for x in names]
+    marks = texts[::5]
+    model = langid.Kernel(marks).fit(texts, names, marks)
+    square = np.array([[slow_kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(square)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    features = np.array([[slow_kernel(t, m) for m in marks] for t in texts]) @ root
+    target = np.array([[1.0 if x == y else -1.0 for y in sorted(alphabets)] for x in names])
+    mean = target.mean(0)
+    weights = np.linalg.solve(features.T @ features + langid.RIDGE * len(texts) * np.eye(features.shape[1]), features.T @ (target - mean))
+    new = [*(line(x) for x in alphabets for _ in range(10)), "abc 漢字", "zzz", "Ω" * 40]
+    expected = np.array([[slow_kernel(t, m) for m in marks] for t in new]) @ root @ weights + mean
+    found, known = model.values(new)
+    assert np.abs(found - expected).max() < 1e-4
+    every = set().union(*map(grams_of, marks))
+    assert known.tolist() == pytest.approx([len(grams_of(t) & every) / len(grams_of(t)) for t in new])
+    assert model.predict(new[:30])[0] == [x for x in alphabets for _ in range(10)]
+
+
+def test_texts_of_no_learned_language_are_rejected(docs_of):
+    pick = random.Random(5)
+    names = [pick.choice(list(SYLLABLES)) for _ in range(400)]
+    model = langid.fit([(invented(x, pick, pick.randrange(1, 40)), x) for x in names], 60)
+    clean = [invented(x, pick, n) for x in SYLLABLES for n in (1, 2, 5, 50, 500)]
+    strange = ["漢字かな交じり文です", "Привет, как дела", "qwx vfpl wqx", "Ω" * 500, "你好 " * 200]
+    kept = langid.known_language(docs_of([*clean, *strange, "12 !", None]), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(clean)))
+    # Without its limit the model would keep them, as a letter alone does.
+    assert langid.known_language(docs_of(strange), model, 0.0).count() == len(strange)
+
+
+def test_hot_ids_and_texts_neither_fill_nor_starve_the_sample(spark):
+    pick = random.Random(6)
+    texts = [(invented(x, pick, 10), x) for x in SYLLABLES for _ in range(300)]
+    for hot in (["same text in all these rows"] * 3_000, [f"other text {i} of one id" for i in range(3_000)]):
+        rows = [(100 if i % 3 else 101, t, "aa") for i, t in enumerate(hot)] + [(3 * i, t, g) for i, (t, g) in enumerate(texts)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        found = langid.sample(table, 90, 10**6, "doc_id", "text", "lang")
+        assert len(found) <= 90 + len(SYLLABLES) and len(set(found)) == len(found)
+        assert all(sum(g == x for _, g in found) >= 20 for x in SYLLABLES)
 
 
 def test_languages_of_other_scripts_are_told_apart():
