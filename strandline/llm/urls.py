@@ -9,22 +9,25 @@ then the whole digests must agree, and the longest rule wins (of equally long
 ones the one that sorts last; of a rule given twice, ``block``).
 
 The verdict depends on the URL alone, so equal URLs are judged once: they are
-counted before the expansion, and a URL that holds most of the pages is broadcast
-on the way back instead of shuffled.  Rules are broadcast up to ``BROADCAST_RULES``
-and joined by shuffle beyond.
+counted before the expansion.  Rows come back by URL, and one that holds more than
+1/4096 of them is broadcast on the way instead of shuffled, whether a rule fits it
+or not.  Null URLs take no part in any of this.  Rules are broadcast up to
+``BROADCAST_RULES`` and joined by shuffle beyond.
 
 Null URLs and those without ``://`` have an empty host and path, and no rule fits.
-An empty path starts with no path but the empty one.  Repeated pages are all kept.
+An empty path starts with no path but the empty one.  Repeated pages and ids are
+all kept; an empty table gives no rows, no rules give every page the default.  Only
+id and URL are read, so further columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_counted
+from strandline.llm.common import join_counted, written
 
 #: Host, path and verdict.  Fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -52,7 +55,9 @@ def path_of(url: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
     """Rules as a table: host, path, verdict."""
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    kind = "array<struct<host: string, path: string, verdict: string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
@@ -63,32 +68,50 @@ def expressions(host: Column, path: Column, labels: list[int], lengths: list[int
     return F.array_distinct(F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes])))
 
 
+def _numbered(rules: DataFrame, few: bool) -> DataFrame:
+    """Rules with ``place``, their order of precedence: the longest last, of equally long ones the one that sorts last.
+
+    Many rules are numbered range by range, and written, since the ranges of another run may differ.
+    """
+    order = [F.length("rule"), F.col("rule")]
+    if few:
+        return rules.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return written(rules.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "rules")
+
+
 def judged(
     pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT, broadcast_rules: int = BROADCAST_RULES
 ) -> DataFrame:
     """Id, ``host``, ``path``, ``rule`` (or null) and ``verdict`` of each row of ``pages``."""
-    known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
-        F.concat("host", "path").alias("rule"),
-        F.size(F.split("host", r"\.")).alias("labels"),
-        F.length("path").alias("length"),
-        "verdict",
+    given = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
+    known = given.groupBy(F.concat("host", "path").alias("rule")).agg(
+        F.max("verdict").alias("verdict"),  # of a rule given twice, block
+        F.collect_set(F.struct(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"))).alias("shapes"),
     )
-    shape = known.agg(F.collect_set("labels").alias("labels"), F.collect_set("length").alias("lengths"), F.count("*").alias("n")).first()
+    shape = known.select("rule", F.explode("shapes").alias("s")).agg(
+        F.collect_set("s.labels").alias("labels"), F.collect_set("s.length").alias("lengths"), F.count_distinct("rule").alias("n")
+    ).first()
+    named = _numbered(known.select("rule", "verdict"), shape["n"] <= broadcast_rules)
+    by_digest = named.select("place", F.sha2("rule", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
+    by_place = named
+    if shape["n"] <= broadcast_rules:
+        by_digest, by_place = F.broadcast(by_digest), F.broadcast(by_place)
     ids = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u"))
     counted = ids.where("u IS NOT NULL").groupBy("u").agg(F.count("*").alias("n"))
-    named = known.select(F.sha2("rule", 256).alias("digest"), "rule", "verdict").withColumn("short", F.substring("digest", 1, SHORT))
-    if shape["n"] <= broadcast_rules:
-        named = F.broadcast(named)
     expanded = counted.select("u", "n", F.explode(expressions(host_of(F.col("u")), path_of(F.col("u")), sorted(shape["labels"]), sorted(shape["lengths"]))).alias("e"))
     hashed = expanded.select("u", "n", F.sha2("e", 256).alias("full")).withColumn("short", F.substring("full", 1, SHORT))
-    fits = hashed.join(named, "short").where("full = digest")
-    best = fits.groupBy("u").agg(F.max("n").alias("n"), F.max(F.struct(F.length("rule").alias("l"), "rule", "verdict")).alias("best"))
-    total = ids.count()
-    found = join_counted(ids, best, "u", "n", total, "left")
-    return found.select(
+    fits = hashed.join(by_digest, "short").where("full = digest").select("u", "n", "place")
+    # URLs that no rule fits stay too, with place -1: a hot one of them has to be known as hot.
+    best = fits.unionByName(counted.select("u", "n", F.lit(-1).cast("long").alias("place"))).groupBy("u").agg(F.max("n").alias("n"), F.max("place").alias("place"))
+    total = ids.where("u IS NOT NULL").count()
+    judged_ids = join_counted(ids.where("u IS NOT NULL"), best, "u", "n", total)
+    ruled = judged_ids.where("place >= 0").join(by_place, "place").select("id", "u", "rule", "verdict")
+    null = F.lit(None).cast("string")
+    free = judged_ids.where("place < 0").select("id", "u").unionByName(ids.where("u IS NULL"))
+    return ruled.unionByName(free.select("id", "u", null.alias("rule"), null.alias("verdict"))).select(
         F.col("id").alias(id_col),
         host_of(F.col("u")).alias("host"),
         path_of(F.col("u")).alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        "rule",
+        F.coalesce("verdict", F.lit(default)).alias("verdict"),
     )

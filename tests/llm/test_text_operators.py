@@ -288,7 +288,7 @@ def slow_judgement(url, rules):
     return host, path, best and best[1], best[2] if best else urls.DEFAULT
 
 
-MORE = (*urls.RULES, ("example.net", "/en/1", "block"), ("b.example.net", "", "block"), ("com", "/d", "block"))
+MORE = (*urls.RULES, ("example.net", "/en/1", "block"), ("b.example.net", "", "block"), ("com", "/d", "block"), ("com", "/d", "allow"))
 
 
 @pytest.mark.parametrize(("rules", "broadcast"), [(urls.RULES, 100_000), (MORE, 100_000), (MORE, 0), ((), 100_000)])
@@ -303,3 +303,23 @@ def test_urls_are_judged_by_the_longest_rule(spark, rules, broadcast):
     for i, url in enumerate(many):
         assert rows[i] == slow_judgement(url, rules), url
     assert urls.judged(pages.limit(0), urls.rule_table(spark, rules)).collect() == []
+
+
+def test_hot_urls_are_no_hot_task(spark):
+    """A third of the rows each: null, one URL that no rule fits, and others; no partition of the result's shuffle may hold a hot key."""
+    rows = spark.range(60_000).selectExpr(
+        "id AS page_id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'http://free.example.xyz/same' ELSE concat('http://h', id, '.example.net/', id) END AS url"
+    )
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = urls.judged(rows, urls.rule_table(spark))
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        verdicts = {(r["verdict"], r["rule"]): r["n"] for r in found.groupBy("verdict", "rule").agg(F.count("*").alias("n")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert verdicts == {("allow", None): 40_000, ("block", "net/"): 20_000}
+    assert max(sizes) < 20_000 / 2
