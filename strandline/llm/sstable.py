@@ -13,14 +13,18 @@ A key is a document id in an order-preserving form (null, then integers, then
 strings).  A value is the document's ids as little-endian unsigned 16- or 32-bit
 integers, as the vocabulary needs.
 
-Documents are range-partitioned by id (by a hash of the text among equal ids, so
-that even one id in a third of the rows is spread), sorted, and encoded in the
-task that writes the shard.  A file has a name of its own for each attempt, and
+Documents are range-partitioned by id (among equal ids by a hash of the text, among
+equal texts of an id by their place in the table, so that even one row in a third
+of all is spread), sorted, and encoded in the task that writes the shard.  There
+are as many shards as the bytes of the texts need.  A file has a name of its own for each attempt, and
 only files of successful tasks come into the manifest, a Parquet table beside
 them: lost executors and second attempts do no harm.  Files are written and read
-through pyarrow's file systems, so the folder may be on any that it knows.
+through pyarrow's file systems, so the folder may be on any that it knows (local,
+hdfs, s3a as s3, gs, abfss).
 
-Null text is empty and has the end id alone.  Repeated ids are all kept.
+Null text is empty and has the end id alone.  Repeated ids and rows are all kept; a
+null id is the least.  An empty table gives no shard and no rows.  Only id and text
+are read, so further columns don't matter.
 """
 
 from __future__ import annotations
@@ -48,8 +52,8 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"STRSST01"
 FOOTER = struct.Struct("<QQQQQQBxxxxxxxI8s")
-#: Documents of a shard in a large table; a small one has as many shards as there are cores, so that all work.
-SHARD_ROWS = 65_536
+#: Bytes of text of a shard in a large table; a small one has as many shards as there are cores, so that all work.
+SHARD_BYTES = 64 << 20
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key binary, last_key binary, n_bytes long"
 
 
@@ -243,7 +247,6 @@ class WordBpe:
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -252,8 +255,6 @@ class WordBpe:
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
         self.split = Splitter(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        # Latin-1 texts without special strings: normalising is lower-casing (white space is dropped anyway).
-        self.odd = regex.compile(r"[^\x00-\xFF]|<\|").search
         self.letters = byte_alphabet()
         most = max(self.library.get_vocab(with_added_tokens=True).values())
         self.width = 2 if most < 1 << 16 else 4
@@ -264,10 +265,22 @@ class WordBpe:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.library.model.tokenize(mapped)], self.kind).tobytes()
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether a text is Latin-1 without special strings: normalising is lower-casing then (white space is dropped anyway)."""
+        if "<|" in text:
+            return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return True
+
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.memo.__getitem__, self.split.latin(text.lower())))
 
 
 @functools.cache
@@ -286,7 +299,9 @@ def _file_system(uri: str):
 
 
 def _uri(path: str) -> str:
-    """A Hadoop path as a URI: file:/x is file:///x."""
+    """A Hadoop path as a URI that pyarrow knows: file:/x is file:///x, s3a is s3."""
+    if path.startswith(("s3a://", "s3n://")):
+        return f"s3://{path[6:]}"
     return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
 
 
@@ -303,8 +318,8 @@ def write_shards(
     spark = docs.sparkSession
     root = _uri(path or fresh_path(spark, "shards"))
     if shards is None:
-        rows = docs.select(id_col).count()
-        shards = max(1, -(-rows // SHARD_ROWS), min(4 * spark.sparkContext.defaultParallelism, rows // 256))
+        rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+        shards = max(1, -(-size // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, rows // 256))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer_file(vocabulary))
@@ -331,8 +346,9 @@ def write_shards(
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ranged = source.repartitionByRange(shards, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("copy")]
+    # Rows equal in id and text are alike; a number by place tells them apart, so that no shard has to take them all.
+    ranged = source.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("copy")
     manifest = f"{root}/manifest.parquet"
     ranged.mapInArrow(run, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)

@@ -140,6 +140,19 @@ def test_look_ups_and_repeated_ids(spark):
     assert [r["doc_id"] for r in read[:4]] == [None, -5, 7, 7]
 
 
+def test_one_row_in_a_third_of_the_table_is_spread(spark):
+    table = spark.range(9_000).selectExpr("CASE WHEN id % 3 = 0 THEN 77 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('text ', id) END AS text")
+    sizes = [r["n_docs"] for r in sstable.write_shards(table, shards=12).collect()]
+    assert sum(sizes) == 9_000 and max(sizes) < 2 * 9_000 / 12
+
+
+def test_long_texts_make_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 10_000)
+    table = spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 500) AS text")
+    assert sstable.write_shards(table).count() >= 8
+    assert sstable._uri("s3a://bucket/x") == "s3://bucket/x" and sstable._uri("file:/x") == "file:///x"
+
+
 def test_a_shard_by_itself(tmp_path):
     import pyarrow as pa
 
