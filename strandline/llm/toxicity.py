@@ -1,24 +1,31 @@
 """Operator 9: toxicity by a weighted lexicon over folded text.
 
-Text is folded character by character, so that places stay the same: upper case,
-wide and styled letters, letters of other scripts that look like Latin ones, and
-digits or signs put for letters all become the plain letter; what is no letter
-becomes a space.  One Aho-Corasick automaton finds the entries of the lexicon at
-the beginnings of words (a stem, with whatever ending) or as whole words, and the
-exception phrases that void an entry inside them.  Of the characters of
-a matched word a third have to be letters in the original, so that a number isn't
-read as a word.
+Text is folded character by character: upper case, wide and styled letters, letters
+with marks, letters of other scripts that look like Latin ones, and digits or signs
+put for letters become the plain letter; marks of their own, format characters
+(such as zero-width spaces) and the signs between spelled-out letters (``i-d-i-o-t``)
+are dropped; what else is no letter becomes a space.  Where characters were dropped a
+table leads from folded places back to those of the text.  One Aho-Corasick automaton
+finds the entries of the lexicon at the beginnings of words (a stem, with whatever
+ending) or as whole words, and the exception phrases that void an entry inside them.
+Of the characters of a matched word a third have to be letters in the original, so
+that a number isn't read as a word.
 
 The evidence of a text is the sum of the weights of its matches; the score is a
 logistic function of the evidence and of the evidence by length.
 
 Entries are a small list of insults and what the labelled rows teach: stems and
 words that toxic rows have far more often than clean ones, weighted by log odds.
-The fit takes a bounded sample (``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS``
-characters) of the training fold; every text is scored whole.
-
-Null and empty texts have no evidence and get the score of that.  Labels that are
-null are left out; a document labelled twice is toxic if one label says so.
+The fit takes a bounded sample of the training fold, ``SAMPLE_ROWS`` different
+labelled texts and ``SAMPLE_CHARS`` characters; the sample is written to the shared
+folder, and entries and evidence are counted by the executors.  Every text is scored
+whole.
+
+Null and empty texts have no evidence and get the score of that, and so do texts of
+an empty table's kind: without labels the list and its prior weights judge alone.
+Labels that are null are left out; a document labelled twice is toxic if one label
+says so.  Repeated rows and ids are each scored, and copies of a text are learned
+from once.  Only id, text and label are read, so further columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,9 +33,10 @@ from __future__ import annotations
 import functools
 import math
 import pickle
-
+import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import keep_rows, map_text
+from strandline.llm.common import dropped, keep_rows, map_text, written
 
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 24_000_000
@@ -45,8 +53,6 @@ SUPPORT = 5
 LIFT = 10.0
 STEMS = range(4, 9)
 SEED_WEIGHT = 4.0
-#: Lexicon entries at most; those with the largest weights stay.
-ENTRIES = 50_000
 #: What is known before any label: bias, weight of the evidence, weight of the evidence by length.
 PRIOR = (-3.0, 1.5, 1.0)
 
@@ -69,13 +75,23 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
 
+#: What a dropped character becomes before it is taken out.
+DROPPED = "\0"
+#: Signs that stand for a letter only inside a word, and letters spelled out with a sign between any two.
+_INNER = re.compile(r"(?<=\w)[!|](?=\w)")
+_SPELLED = re.compile(r"(?<!\w)\w([-._*~])\w(?:\1\w)+(?!\w)")
+
+
 class _Folding(dict):
     """A table for str.translate that works a character out when it first comes."""
 
     def __missing__(self, point: int) -> int:
         char = chr(point)
-        plain = unicodedata.normalize("NFKC", char).lower()
-        plain = plain if len(plain) == 1 else char.lower() if len(char.lower()) == 1 else char
+        if unicodedata.category(char) in ("Mn", "Me", "Cf"):
+            self[point] = ord(DROPPED)
+            return self[point]
+        bare = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.category(c).startswith("M"))
+        plain = next((x for x in (bare.lower(), char.lower()) if len(x) == 1), char)
         plain = LOOKALIKES.get(plain, DIGITS.get(plain, plain))
         self[point] = ord(plain) if plain.isalpha() else 32
         return self[point]
@@ -84,9 +100,23 @@ class _Folding(dict):
 _TABLE = _Folding()
 
 
+def _folded(text: str) -> tuple[str, np.ndarray | None]:
+    """The folded text, and for each of its characters the place in the text if characters were dropped."""
+    if _INNER.search(text):
+        text = _INNER.sub("i", text)
+    out = text.translate(_TABLE)
+    spelled = [m.start() + i for m in _SPELLED.finditer(text) for i in range(1, m.end() - m.start(), 2)]
+    if not spelled and DROPPED not in out:
+        return out, None
+    points = np.frombuffer(out.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = points != ord(DROPPED)
+    kept[spelled] = False
+    return points[kept].tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(kept)
+
+
 def fold(text: str) -> str:
-    """The folded text, as long as the text."""
-    return text.translate(_TABLE)
+    """The folded text."""
+    return _folded(text)[0]
 
 
 def _entries_of(folded: str) -> set[str]:
@@ -123,18 +153,23 @@ class Lexicon:
         """Beginning, end and weight of the heaviest entry at each word that has one."""
         best: dict[int, tuple[int, float]] = {}
         voided = []
-        folded = f" {fold(text)} "
+        plain, places = _folded(text)
+        folded = f" {plain} "
         for end, (size, weight) in self.automaton.iter(folded):
-            begin = end - size + 1  # of the blank before the word, that is the word's place in the text
+            begin = end - size + 1  # of the blank before the word, that is the word's place
             if weight == 0.0:
                 voided.append((begin, end))
             elif weight > best.get(begin, (0, 0.0))[1]:
                 best[begin] = (end, weight)
         out = []
         for begin, (end, weight) in sorted(best.items()):
-            word = text[begin : folded.index(" ", begin + 1) - 1]
-            if 3 * sum(map(str.isalpha, word)) >= len(word) and not any(a <= begin and end <= b for a, b in voided):
-                out.append((begin, min(end, begin + len(word)), weight))
+            if any(a <= begin and end <= b for a, b in voided):
+                continue
+            last = folded.index(" ", begin + 1) - 2  # of the word
+            until = min(end - 1, last)  # of the match
+            at = range(begin, last + 1) if places is None else places[begin : last + 1]
+            if 3 * sum(text[i].isalpha() for i in at) >= len(at):
+                out.append((int(at[0]), int(at[until - begin]) + 1, weight))
         return out
 
     def features(self, text: str) -> tuple[float, float]:
@@ -150,49 +185,23 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + by_evidence * evidence + by_length * rate))))
 
 
-def _learned(found: list[np.ndarray], labels: list[int], names: list[str]) -> dict[str, float]:
-    """Entries that toxic rows have far more often than clean rows, and their log odds.
+class Counted:
+    """In how many rows of each half of the sample, toxic and clean, each entry stands: two numbers by label and half."""
 
-    ``found`` has the numbers of each row's candidates, ``names`` their texts.
-    """
-    toxic, clean = sum(labels), len(labels) - sum(labels)
-    if not toxic or not clean:
-        return {}
-    none = np.zeros(0, np.int64)
-    often, seldom = (
-        np.bincount(np.concatenate([none, *(f for f, y in zip(found, labels, strict=True) if y == kind)]), minlength=len(names)) for kind in (1, 0)
-    )
-    odds = np.log((often + 0.5) / (toxic + 1)) - np.log((seldom + 0.5) / (clean + 1))
-    chosen = (often >= SUPPORT) & (often / toxic >= LIFT * (seldom + 1) / clean)
-    return {names[i]: float(odds[i]) for i in np.flatnonzero(chosen)}
-
-
-def _candidates(rows: list[tuple[str, int]]) -> tuple[list[np.ndarray], list[str]]:
-    """For each row the numbers of its candidates, that is of entries which ``SUPPORT`` toxic rows have, and their texts.
-
-    Entries are numbers by their hash here, eight bytes each, so that memory stays
-    far below that of the sample's distinct words and stems.
-    """
+    def __init__(self, rows: np.ndarray, entries: dict[str, np.ndarray]):
+        self.rows, self.entries = rows, entries
 
-    def hashed(text: str) -> np.ndarray:
-        return np.unique(np.fromiter(map(hash, _entries_of(fold(text))), np.int64))
-
-    toxic = [hashed(text) for text, label in rows if label]
-    values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *toxic]), return_counts=True)
-    values = values[counts >= SUPPORT]
-    names = [""] * len(values)
-    for text, label in rows:
-        if label:
-            for entry in _entries_of(fold(text)):
-                at = int(np.searchsorted(values, hash(entry)))
-                if at < len(values) and values[at] == hash(entry):
-                    names[at] = entry
-    held = iter(toxic)
-    found = []
-    for text, label in rows:
-        own = next(held) if label else hashed(text)
-        found.append(np.flatnonzero(np.isin(values, own, assume_unique=True)))
-    return found, names
+    def learned(self, halves: tuple[int, ...] = (0, 1)) -> dict[str, float]:
+        """Entries that toxic rows of these halves have far more often than clean rows, and their log odds."""
+        clean, toxic = (int(self.rows[label, list(halves)].sum()) for label in (0, 1))
+        if not toxic or not clean:
+            return {}
+        out = {}
+        for entry, counts in self.entries.items():
+            seldom, often = (int(counts[label, list(halves)].sum()) for label in (0, 1))
+            if often >= SUPPORT and often / toxic >= LIFT * (seldom + 1) / clean:
+                out[entry] = math.log((often + 0.5) / (toxic + 1)) - math.log((seldom + 0.5) / (clean + 1))
+        return out
 
 
 def _lexicon(learned: dict[str, float]) -> dict[str, float]:
@@ -201,7 +210,7 @@ def _lexicon(learned: dict[str, float]) -> dict[str, float]:
     for word in INSULTS.split():
         weights[f" {word} "] = max(SEED_WEIGHT, weights.get(f" {word} ", 0.0))
     kept = {}
-    for entry in sorted(weights, key=lambda x: (-weights[x], x))[:ENTRIES]:
+    for entry in sorted(weights, key=lambda x: (-weights[x], x)):
         word = entry.rstrip()
         if weights[entry] > max((weights.get(word[: n + 1], 0.0) for n in STEMS if n + 1 < len(entry)), default=0.0):
             kept[entry] = weights[entry]
@@ -224,48 +233,85 @@ def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[float, float, float
     return tuple(float(x) for x in weights)
 
 
-def _different(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of each set of copies: rows share a copy's key if their least two hashes of five-word shingles are equal."""
+def signature(text: str) -> tuple[int, int]:
+    """The two least hashes of a text's runs of five words, as signed longs; the same twice if there is one."""
     import xxhash
 
-    seen, out = set(), []
-    for text, label in rows:
-        words = text.lower().split()
-        hashes = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))})
-        if not seen & set(hashes[:2]):
-            out.append((text, label))
-        seen.update(hashes[:2])
+    words = text.lower().split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+    least = sorted(hashes)[:2]
+    return tuple(int(x) for x in np.array([least[0], least[-1]], np.uint64).view(np.int64))
+
+
+def halves_of(rows: Iterable[tuple[object, int, tuple[int, int]]]) -> dict[object, tuple[int, int]]:
+    """Label and half of the rows (key, label, signature) that stay, in their order: of copies, which share a hash, the first."""
+    seen, out = set(), {}
+    for key, label, hashes in rows:
+        if not seen & set(hashes):
+            out[key] = (label, len(out) % 2)
+        seen.update(hashes)
+    return out
+
+
+def _rows_of(halves: dict[object, tuple[int, int]]) -> np.ndarray:
+    out = np.zeros((2, 2), np.int64)
+    for label, half in halves.values():
+        out[label, half] += 1
     return out
 
 
+def _parameters(lexicons: list[Lexicon], features: Iterable[tuple[float, float, int]]) -> tuple[float, float, float]:
+    """The score's parameters from the evidence of each half by the other half's entries."""
+    rows = list(features)
+    if len({y for _, _, y in rows}) < 2 or len(rows) < 40:
+        return PRIOR
+    return _logistic(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows], float))
+
+
 def fit(labelled: Iterable[tuple[str, int]]) -> Lexicon:
-    """A lexicon from (text, label) pairs.
+    """A lexicon from (text, label) pairs, in one process; :func:`train` does the same with the executors.
 
     The score's parameters come from two halves, each scored with the entries
     that the other half taught, so that they don't trust what was learned by heart.
     """
-    rows = _different(sorted(labelled))
-    labels = [y for _, y in rows]
-    found, names = _candidates(rows)
-
-    def taught(part: slice) -> dict[str, float]:
-        return _lexicon(_learned(found[part], labels[part], names))
-
-    parameters = PRIOR
-    if len(set(labels)) == 2 and len(rows) >= 40:
-        features, sides = [], []
-        for half in (0, 1):
-            own = Lexicon(taught(slice(1 - half, None, 2)))
-            features += [own.features(text) for text, _ in rows[half::2]]
-            sides += labels[half::2]
-        parameters = _logistic(np.array(features), np.array(sides, float))
-    return Lexicon(taught(slice(None)), parameters)
+    rows = list(labelled)
+    halves = halves_of((i, y, signature(text)) for i, (text, y) in enumerate(rows))
+    counts: dict[str, np.ndarray] = {}
+    for i, (label, half) in halves.items():
+        for entry in _entries_of(fold(rows[i][0])):
+            counts.setdefault(entry, np.zeros((2, 2), np.int64))[label, half] += 1
+    counted = Counted(_rows_of(halves), counts)
+    taught = [Lexicon(_lexicon(counted.learned((1 - half,)))) for half in (0, 1)]
+    features = [(*taught[half].features(rows[i][0]), label) for i, (label, half) in halves.items()]
+    return Lexicon(_lexicon(counted.learned()), _parameters(taught, features))
 
 
 def _hashed(column: str):
     return F.xxhash64(F.col(column).cast("string"))
 
 
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int) -> DataFrame | None:
+    """A written table (h, y, t) of different labelled texts of the training fold, within both bounds, in the order of a hash of the id."""
+    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
+    named = named.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
+    # The sample has `rows` rows at most, so it may be broadcast.
+    some = F.broadcast(named.orderBy(_hashed("i"), "i").limit(rows))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL").join(some, "i")
+    sizes = texts.groupBy(_hashed("i").alias("o"), F.xxhash64("t").alias("h"), "y").agg(F.max(F.length("t")).alias("n")).orderBy("o", "h", "y").limit(2 * rows)
+    chosen, held = {}, 0
+    for r in sizes.collect():
+        key = (r["h"], r["y"])
+        if key not in chosen and len(chosen) < rows and held + r["n"] <= chars:
+            held += r["n"]
+            chosen[key] = len(chosen)
+    if not chosen:
+        return None
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(h, y, at) for (h, y), at in chosen.items()], "h long, y int, place int"))
+    found = texts.withColumn("h", F.xxhash64("t")).join(wanted, ["h", "y"]).groupBy("place", "y").agg(F.first("t").alias("t"))
+    return written(found.repartition(spark.sparkContext.defaultParallelism), "labelled")
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -275,22 +321,65 @@ def train(
     rows: int = SAMPLE_ROWS,
     chars: int = SAMPLE_CHARS,
 ) -> Lexicon:
-    """A lexicon from labelled rows of the training fold, crc32(id) mod 5 other than 0, in the order of a hash of the id."""
-    fold_of = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
-    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of != 0))
-    named = named.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
-    # The sample has `rows` rows at most, so it may be broadcast.
-    some = F.broadcast(named.orderBy(_hashed("i"), "i").limit(rows))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    sizes = texts.select("i", F.length("t").alias("n")).join(some, "i").orderBy(_hashed("i"), "i").limit(2 * rows).collect()
-    chosen, held = set(), 0
-    for r in sizes:
-        if held + r["n"] <= chars:
-            held += r["n"]
-            chosen.add(r["i"])
-    if not chosen:
+    """A lexicon from labelled rows of the training fold, crc32(id) mod 5 other than 0, in the order of a hash of the id.
+
+    What comes to the driver is a few numbers for each row of the sample, and the
+    entries that ``SUPPORT`` toxic rows have.
+    """
+    table = sample(docs, labels, id_col, text_col, label_col, rows, chars)
+    if table is None:
         return fit([])
-    return fit([(r["t"], r["y"]) for r in texts.join(some, "i").where(F.col("i").isin(chosen)).limit(2 * rows).collect()])
+    context = docs.sparkSession.sparkContext
+
+    def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(x) for x in batch.column("t").to_pylist()]
+            columns = [batch.column("place"), batch.column("y"), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "y", "a", "b"])
+
+    places = sorted(tuple(r) for r in table.mapInArrow(signed, "place int, y int, a long, b long").collect())
+    halves = halves_of((place, y, (a, b)) for place, y, a, b in places)
+
+    def entries(known: frozenset | None) -> Callable:
+        """Rows (entry, label, half), counted by task: of toxic rows, or of clean rows those that are known."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: Counter = Counter()
+            for batch in batches:
+                for place, text in zip(batch.column("place").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                    label, half = halves.get(place, (None, None))
+                    if label == (0 if known is not None else 1):
+                        own = _entries_of(fold(text))
+                        counts.update((x, half) for x in (own if known is None else own & known))
+            names, kinds = ["entry", "half", "n"], [pa.string(), pa.int32(), pa.int64()]
+            values = [(x, half, n) for (x, half), n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in values], kind) for k, kind in enumerate(kinds)], names=names)
+
+        return run
+
+    def counts_of(known: frozenset | None, least: int) -> list:
+        found = table.select("place", "t").mapInArrow(entries(known), "entry string, half int, n long").groupBy("entry").agg(
+            *(F.coalesce(F.sum(F.when(F.col("half") == half, F.col("n"))), F.lit(0)).alias(f"h{half}") for half in (0, 1))
+        )
+        return found.where(F.col("h0") + F.col("h1") >= least).collect()
+
+    toxic = {r["entry"]: (r["h0"], r["h1"]) for r in counts_of(None, SUPPORT)}
+    clean = {r["entry"]: (r["h0"], r["h1"]) for r in counts_of(frozenset(toxic), 0)} if toxic else {}
+    counted = Counted(_rows_of(halves), {x: np.array([clean.get(x, (0, 0)), n], np.int64) for x, n in toxic.items()})
+    taught = [Lexicon(_lexicon(counted.learned((1 - half,)))) for half in (0, 1)]
+    shipped = context.broadcast(pickle.dumps(taught))
+
+    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(shipped.value)
+        for batch in batches:
+            kept = [(p, x) for p, x in zip(batch.column("place").to_pylist(), batch.column("t").to_pylist(), strict=True) if p in halves]
+            found = [own[halves[p][1]].features(x) for p, x in kept]
+            columns = [pa.array([p for p, _ in kept], pa.int32()), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "a", "b"])
+
+    features = sorted(tuple(r) for r in table.select("place", "t").mapInArrow(judged, "place int, a double, b double").collect())
+    dropped(table)
+    return Lexicon(_lexicon(counted.learned()), _parameters(taught, [(a, b, halves[place][0]) for place, a, b in features]))
 
 
 def scores(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

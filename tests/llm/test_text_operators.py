@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.llm import decontam, langid, licenses, toxicity, urls
 from tests.llm.conftest import ODD
 
+BIG = Path("/root/testdata/sf0.1")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -221,15 +223,50 @@ def test_empty_sides(spark, docs_of):
 
 def test_folding_and_exceptions():
     own = toxicity.Lexicon({" idiot": 6.0, " clown ": 5.0})
-    for text in ("you IDIOT", "1d10t", "іdіоt!", "ＩＤＩＯＴ", "an id\u0456ot, yes", "idiotic"):
+    bad = ("you IDIOT", "1d10t", "іdіоt!", "ＩＤＩＯＴ", "an id\u0456ot, yes", "idiotic", "idi\u200bot", "ídiot", "îdíöt", "i-d-i-o-t", "I.D.I.O.T!", "1d!ot", "i\u0301diot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d")
+    for text in bad:
         assert own.score(text) > 0.5, text
-        assert len(toxicity.fold(text)) == len(text)
-    for text in ("", "a clown fish", "room 101 107", "clowning", "videoidiot", "plain"):
+    for text in ("", "a clown fish", "room 101 107", "clowning", "videoidiot", "plain", "i d i o t", "i-d.i-o.t", "an idi-ot", "1-0-1-0-7", "\x00", "a-b-c-d"):
         assert own.score(text) < 0.5, text
     assert own.matches("the idiots, one clown.") == [(4, 9, 6.0), (16, 21, 5.0)]
+    for text, word in (("so i-d-i-o-t it is", "i-d-i-o-t"), ("so idi\u200b\u200bots it", "idi\u200b\u200bot"), ("e\u0301 ídiot", "ídiot")):
+        assert [text[a:b] for a, b, _ in own.matches(text)] == [word]
     assert own.score("idiot " + "word " * 50) > own.score("idiot " + "word " * 20_000)
 
 
+def slow_matches(text, weights):
+    """Every word of the folded text against every entry, one by one; for texts in which nothing is dropped."""
+    folded = toxicity.fold(text)
+    found, voided = [], []
+    for phrase in toxicity.EXCEPTIONS:
+        at = f" {folded} ".find(f" {phrase} ")
+        while at >= 0:
+            voided.append((at, at + len(phrase)))
+            at = f" {folded} ".find(f" {phrase} ", at + 1)
+    for word in re.finditer(r"[^ ]+", folded):
+        best = None
+        for entry, weight in weights.items():
+            own = entry.strip()
+            if (word.group() == own if entry.endswith(" ") else word.group().startswith(own)) and (best is None or weight > best[1]):
+                best = (word.start() + len(own), weight)
+        if best and 3 * sum(c.isalpha() for c in text[word.start() : word.end()]) >= len(word.group()):
+            if not any(a <= word.start() and best[0] <= b for a, b in voided):
+                found.append((word.start(), best[0], best[1]))
+    return found
+
+
+def test_matches_are_those_of_a_naive_matcher():
+    pick = random.Random(21)
+    weights = {" trash": 4.0, " clown ": 3.0, " clowns ": 3.5, " sc": 1.0, " scum": 5.0, " scu ": 2.0, " pathetic ": 2.5, " stup1d": 9.0, " stupid": 2.0, " id": 0.5, " idiot": 6.0}
+    lexicon = toxicity.Lexicon(weights)
+    pieces = ["trash", "TRASH can", "trash cans", "trashy", "clown", "clown fish", "class clown", "clowns", "sc", "scum", "pond scum", "scumbag", "ѕсum", "pathetic", "pathetic fallacy", "5tup1d", "stupid question",
+              "1d", "101d", "id1ot", "x", ",", "ＣＬＯＷＮ", "...", "the", "9\n", "idea"]
+    for _ in range(400):
+        text = "".join(pick.choice(pieces) + pick.choice([" ", " ", " ", ", ", ""]) for _ in range(12))
+        if len(toxicity.fold(text)) == len(text):
+            assert lexicon.matches(text) == slow_matches(text, weights), text
+
+
 def test_toxicity_is_learned(spark, docs_of):
     pick = random.Random(10)
     plain = [f"{a}{b}" for a in ("lo", "mi", "ta", "re", "su") for b in ("na", "ko", "pel", "dri", "gut")]
@@ -250,6 +287,11 @@ def test_toxicity_is_learned(spark, docs_of):
     assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows.values())
     assert all(rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(500))
     lexicon = toxicity.train(table, labels)
+    # The executors learn what one process does from the same rows in the same order.
+    sample = toxicity.sample(table, labels, "doc_id", "text", "toxic", toxicity.SAMPLE_ROWS, toxicity.SAMPLE_CHARS).orderBy("place").collect()
+    assert {r["t"] for r in sample} == {texts[i] for i in range(500) if zlib.crc32(str(i).encode()) % 5}
+    alone = toxicity.fit([(r["t"], r["y"]) for r in sample])
+    assert alone.weights == lexicon.weights and alone.parameters == pytest.approx(lexicon.parameters)
     kept = toxicity.not_toxic(table, lexicon)
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(rows)) if not rows[i]["predicted"]]
@@ -265,10 +307,31 @@ def test_toxicity_without_labels(spark, docs_of):
 def test_copies_teach_once():
     text = " ".join(f"odd{i}" for i in range(60))
     rows = [(text + f" {i}", 1) for i in range(30)] + [(f"clean words number {i} and more of them {i * 7}", 0) for i in range(200)]
-    assert len([r for r in toxicity._different(rows) if r[1]]) == 1
+    halves = toxicity.halves_of((i, y, toxicity.signature(x)) for i, (x, y) in enumerate(rows))
+    assert sum(label for label, _ in halves.values()) == 1
     assert toxicity.Lexicon(toxicity.fit(rows).weights).score(" ".join(f"odd{i}" for i in range(5))) < 0.5
 
 
+def test_the_sample_for_toxicity_keeps_its_bounds(spark):
+    """One id in most rows, with different texts: rows and characters stay within what was asked for."""
+    rows = [(1, f"text number {i} of a hot id") for i in range(3_000)] + [(i, f"other text {i}") for i in range(2, 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)], "doc_id long, toxic int")
+    found = toxicity.sample(table, labels, "doc_id", "text", "toxic", 50, 600).collect()
+    assert 0 < len(found) <= 50 and sum(len(r["t"]) for r in found) <= 600
+    assert toxicity.sample(table, labels, "doc_id", "text", "toxic", 50, 3) is None
+
+
+@pytest.mark.skipif(not BIG.exists(), reason="needs the test tables")
+def test_toxicity_of_held_out_rows(spark):
+    """The figures of the README: toxic rows found and clean rows flagged, on rows that nothing was learned from."""
+    docs, labels = (spark.read.parquet(f"{BIG}/{name}.parquet") for name in ("documents", "labels"))
+    rows = toxicity.predictions(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    count = {(r["toxic"], r["predicted"]): r["count"] for r in rows}
+    toxic, clean = (sum(n for (label, _), n in count.items() if label == y) for y in (1, 0))
+    assert count[1, 1] >= 0.9 * toxic and count.get((0, 1), 0) <= 0.01 * clean, count
+
+
 # ---------------------------------------------------------------- URLs
 
 ADDRESSES = [
