@@ -17,7 +17,8 @@ What keeps this linear:
 * within a group that meets, links are found by growing trees, so a group of n
   gives n - 1 edges at most, never all its pairs;
 * a group beyond ``GROUP`` rows isn't gathered: its rows go through the same
-  search again, cut by further bits of the fingerprint.
+  search again, cut by further bits of the fingerprint; what is left beyond it after
+  three cuts is dealt into blocks, and each pair of blocks is a task's group.
 
 Definitions for odd rows: null and blank texts have fingerprint zero, which links
 like any other.  A text of fewer than four words has one shingle, all its words.
@@ -230,26 +231,37 @@ LINKS = T.StructType(
 def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that span all links within ``radius`` bits between the distinct fingerprints ``fp``.
 
-    Groups beyond ``group`` rows are cut further, at the last level they are compared
-    whatever their size: their rows then share three cuts and are few different values.
+    Groups beyond ``group`` rows are cut further.  Rows that are together in such a
+    group after the last cut share three cuts, so they are dense: their blocks are
+    compared pair by pair, each in a task of its own with about ``group`` rows.
     """
     if radius > 5:
         raise ValueError("three segments, of which one is searched to one bit, cover five differing bits at most")
     rows = _entries(nodes.select("fp", F.lit(0).alias("flags")), "0L", SEGMENTS[0], 1)
     edges = None
-    for level in range(len(SEGMENTS)):
-        last = level == len(SEGMENTS) - 1
+    for level in range(len(SEGMENTS) + 1):
+        last = level == len(SEGMENTS)
         sorted_rows = rows.repartition("k").sortWithinPartitions("k")
         found = written(sorted_rows.mapInArrow(_linker(radius, 1 << 62 if last else group), LINKS), "links")
         some = found.where("b IS NOT NULL").select("a", "b")
         edges = some if edges is None else edges.union(some)
-        large = found.where("b IS NULL")
+        large = found.where("b IS NULL").selectExpr("k", "a AS fp", "flags")
         if last or large.isEmpty():
             return edges
-        rows = _entries(large.selectExpr("k", "a AS fp", "flags"), "k", SEGMENTS[level + 1], 2 << level)
+        rows = _block_pairs(large, group) if level == len(SEGMENTS) - 1 else _entries(large, "k", SEGMENTS[level + 1], 2 << level)
     return edges
 
 
+def _block_pairs(rows: DataFrame, group: int) -> DataFrame:
+    """Rows (k, fp, flags) of large groups, each once for every pair of blocks that its block is in; k names the pair."""
+    half = max(1, group // 2)
+    blocks = rows.groupBy("k").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
+    # A key has over `group` rows, so there are few.
+    dealt = rows.join(F.broadcast(blocks), "k").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp", "flags")
+
+
 # ---------------------------------------------------------------- documents
 
 
