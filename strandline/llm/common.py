@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +144,37 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return here.unionByName(there.select(*here.columns))
 
 
+# ---------------------------------------------------------------- bitmaps
+
+#: Bits of a bitmap's places: two megabytes, however many values went in.
+BITMAP_BITS = 24
+
+
+def slot(*columns) -> Column:
+    """The place of a value in a bitmap."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+
+
+def bitmap(df: DataFrame, *columns) -> np.ndarray:
+    """A bitmap of fixed size with the slots of all values of ``columns`` in ``df``.
+
+    Executors fold the values into words, so what comes to the driver is bounded.
+    It tells which values surely aren't there; with very many values it tells little,
+    and callers must be right without it.
+    """
+    at = slot(*columns)
+    words = df.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set."""
+    return (bits[slots >> 6] >> (slots & 63) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- tokenizers
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -54,11 +55,11 @@ def test_stage_finds_pairs_beyond_four_bits(spark, docs_of):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(texts), 2))
 
 
-@pytest.mark.parametrize("block", [similar.BLOCK, 7])
-def test_kept_rows_are_those_of_all_pairs(docs_of, block):
+@pytest.mark.parametrize(("group", "group_runs"), [(similar.GROUP, similar.GROUP_RUNS), (10, 1 << 40), (1 << 40, 3_000)])
+def test_kept_rows_are_those_of_all_pairs(docs_of, group, group_runs):
     texts = [*ODD, *family(50), *family(30, 5, 40, 2), *(" ".join(f"s{i}" for i in range(n)) for n in range(1, 14)), *family(40, 9, 150, 12)]
     table = docs_of(texts)
-    kept = similar.one_of_each(table, block=block, block_runs=3_000)
+    kept = similar.one_of_each(table, group=group, group_runs=group_runs)
     assert kept.columns == table.columns
     expected = sorted(set(roots(len(texts), linked(texts))))
     assert sorted(r["doc_id"] for r in kept.collect()) == expected
@@ -73,12 +74,38 @@ def test_null_ids_and_repeated_rows_keep_one(spark):
     assert sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in kept), key=str) == [(5, "w0 w1"), (7, "other"), (None, ""), (None, "alone")]
 
 
-def test_blocks_hold_every_pair_of_sizes():
-    counts = [(s, 1 + 37 * (s % 5 == 0)) for s in range(4, 300)]
-    cuts = similar.Cuts(counts, 16, 1_000)
-    pairs = set(cuts.pairs(0.8))
-    for a in range(4, 300):
-        for b in range(a, min(299, int(a / 0.8 + 1e-9)) + 1):
-            for x in range(40):
-                i, j = sorted((cuts.of(a, x), cuts.of(b, 3 * x)))
-                assert (i, j) in pairs
+def test_segments_meet_at_the_similarity():
+    """Pairs at a similarity of 0.8 to 0.82 share a segment, nearly all of them, and texts that share little seldom do."""
+    pick = np.random.default_rng(1)
+    shared = similar_but_far = 0
+    for _ in range(2_000):
+        both, own, other, rest = (pick.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400, 50, 50, 400))
+        a, b, c = np.unique(np.r_[both, own]), np.unique(np.r_[both, other]), np.unique(np.r_[both[:40], rest])
+        meet = lambda x, y: any(i == j for i, j in zip(similar.segments(x), similar.segments(y), strict=True))
+        shared += meet(a, b)
+        similar_but_far += meet(a, c)
+    assert shared >= 1_995 and similar_but_far < 60
+    assert similar.segments(np.arange(3, dtype=np.uint64)) == []
+
+
+def test_linked_groups_give_few_edges_and_exclude_none():
+    """In one group: a family, a chain whose neighbours only are similar, and texts like none; known links give no edge."""
+    base = np.arange(100, dtype=np.uint32)
+    sets = [np.r_[base[: 100 - i % 3], np.uint32(1_000 + i)] for i in range(40)]
+    sets += [np.arange(9 * i, 9 * i + 90, dtype=np.uint32) + np.uint32(10_000) for i in range(30)]
+    sets += [np.arange(5_000 + 200 * i, 5_090 + 200 * i, dtype=np.uint32) for i in range(10)]
+    sets = [np.unique(x) for x in sets]
+    nodes, fps = np.arange(len(sets)), np.zeros(len(sets), np.uint64)
+    expected = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if similarity(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8])
+    left, right = similar.links(nodes, nodes, fps, sets)
+    assert len(left) == len(sets) - len(set(expected))
+    assert roots(len(sets), zip(left, right, strict=True)) == expected
+    assert similar.links(nodes, np.array(expected), fps, sets) == ([], [])
+
+
+def test_copies_are_no_hot_task(spark):
+    """Of three rows one is the same text and one a near copy of it; both shuffle by what they share."""
+    words = " ".join(f"w{i}" for i in range(60))
+    table = spark.range(6_000).selectExpr("id AS doc_id", f"CASE id % 3 WHEN 0 THEN '{words}' WHEN 1 THEN concat('{words} and ', id) ELSE concat_ws(' ', transform(sequence(1, 30), x -> concat('u', id, x))) END AS text")
+    kept = {r["doc_id"] for r in similar.one_of_each(table, group=500).collect()}
+    assert kept == {0, *range(2, 6_000, 3)}
