@@ -9,21 +9,30 @@ four levels), which packed make one 32-bit integer for each place.
 Two recordings are aligned by a histogram of offsets over their equal integers;
 at the fullest offset the share of differing bits over the overlap decides.
 
-Searches take a stated set of queries against all recordings, in blocks: the
-queries' fingerprints are written to the shared folder by the executors, and each
-task reads block after block, one in memory at a time, so nothing is collected
-and no pairs are shuffled.  :func:`alignments` lists all queries that align with a
-recording; in :func:`search` its row has the best one and how many there are.
-
-Null, empty and too short recordings have no integers and align with nothing; a
-recording never is its own match, but another row with the same id is one if it
-is a query.  Ties go to more equal integers, fewer bit errors, the lesser id.
+Searches take a stated set of queries against all recordings, as an equi-join:
+
+* recordings with the same integers are one class, however many there are, so copies
+  are compared once;
+* queries' integers are a table (integer, class, place); the recordings' integers join
+  it, those that no query has being left out before by a bitmap of fixed size;
+* an integer that very many places have is dealt over salts, so that no task takes
+  all of its pairs;
+* offsets are counted by pair of classes before the shuffle; only pairs with ``VOTES``
+  at an offset fetch both fingerprints, for the bit errors.
+
+So the work follows the integers that are shared, not recordings times queries.
+:func:`alignments` lists all queries that align with a recording; in :func:`search`
+its row has the best one and how many there are.
+
+Null, empty and too short recordings have no integers and align with nothing.  A row
+never is its own match; another row is one if it is a query, whatever its id, so two
+queries with the same id and sound match each other.  Ties go to more equal integers,
+fewer bit errors, the lesser id.  An empty table gives no rows.  Only id and recording
+are read, so further columns don't matter.
 """
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,29 +41,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import fresh_path, written
-from strandline.llm.sstable import _file_system, _uri
+from strandline.llm.common import bitmap, in_bitmap, join_counted, written
 
 RATE = 4_000
 FRAME = 1_024
-HOP = 256
-#: Frames that a filter spans at most.
-SPAN = 8
+HOP = 128
+#: Frames that a filter spans at most.  Half as long a hop as would do for equal cuts: a recording cut
+#: between two frames is at most a quarter of a usual hop away from one.
+SPAN = 16
 LOWEST, HIGHEST = 110.0, 1_760.0
 #: A filter's levels are cut at these values of the logarithm of a quotient of sums.
 CUTS = (-0.25, 0.0, 0.25)
 VOTES = 4
 MOST_ERRORS = 0.2
-LEAST_OVERLAP = 8
-#: Queries of one block.
-BLOCK = 2_048
-#: Recordings whose lists of queries are held at once.
-LISTED = 256
+LEAST_OVERLAP = 16
+#: Places of one integer among the recordings that one task pairs; more are dealt over salts.
+SALTED = 100_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
     """Kind, first pitch class, classes and frames of the sixteen filters: kinds by turns, growing and moving up."""
-    return [(i % 4, i * 5 % 12, 2 + i % 3 * 2, 2 + 2 * (i // 4)) for i in range(16)]
+    return [(i % 4, i * 5 % 12, 2 + i % 3 * 2, 4 + 4 * (i // 4)) for i in range(16)]
 
 
 FILTERS = _filters()
@@ -134,149 +141,135 @@ def recording_prints(df: DataFrame, id_col: str = "rec_id", audio_col: str = "au
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("prints", T.BinaryType())]))
 
 
-class Block:
-    """The postings of some queries: their integers in order, with query and place."""
-
-    def __init__(self, ids: list, prints_of: list[bytes]):
-        self.ids = ids
-        self.prints = [np.frombuffer(x, "<u4") for x in prints_of]
-        sizes = [len(x) for x in self.prints]
-        values = np.concatenate([np.zeros(0, np.uint32), *self.prints])
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.query = np.repeat(np.arange(len(ids)), sizes)[order]
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]])[order]
-
-    def aligned(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Query, offset, equal integers and share of differing bits of each query that aligns."""
-        first, last = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
-        sizes = last - first
-        if not sizes.sum():
-            return []
-        at = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
-        offset = np.repeat(np.arange(len(own)), sizes) - self.place[at]
-        pairs, votes = np.unique(np.stack([self.query[at], offset]), axis=1, return_counts=True)
-        enough = votes >= VOTES
-        pairs, votes = pairs[:, enough], votes[enough]
-        out = []
-        # Of each query the fullest offset, of equally full ones the least.
-        order = np.lexsort((pairs[1], -votes, pairs[0]))
-        queries, begin = np.unique(pairs[0][order], return_index=True)
-        for query, row in zip(queries, order[begin]):
-            shift, theirs = int(pairs[1, row]), self.prints[query]
-            a, b = max(0, shift), min(len(own), len(theirs) + shift)
-            if b - a < LEAST_OVERLAP:
-                continue
-            errors = float(np.bitwise_count(own[a:b] ^ theirs[a - shift : b - shift]).sum()) / (32 * (b - a))
-            if errors <= MOST_ERRORS:
-                out.append((int(query), shift, int(votes[row]), errors))
-        return out
-
-
-def write_blocks(queries: DataFrame, id_col: str, block: int = BLOCK) -> list[str]:
-    """Write the fingerprints of ``queries`` in blocks; the files' paths."""
-    root = _uri(fresh_path(queries.sparkSession, "queries"))
+def alignment(own: np.ndarray, theirs: np.ndarray, shift: int) -> float | None:
+    """The share of differing bits over the overlap at an offset; None if that is too short or too different."""
+    a, b = max(0, shift), min(len(own), len(theirs) + shift)
+    if b - a < LEAST_OVERLAP:
+        return None
+    errors = float(np.bitwise_count(own[a:b] ^ theirs[a - shift : b - shift]).sum()) / (32 * (b - a))
+    return errors if errors <= MOST_ERRORS else None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close() -> pa.RecordBatch:
-            store, folder = _file_system(root)
-            store.create_dir(folder, recursive=True)
-            name = f"block-{uuid.uuid4().hex}.arrow"
-            table = pa.Table.from_batches(held)
-            with store.open_output_stream(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-                writer.write_table(table)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([table.num_rows], pa.int64())], names=["path", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                held.append(batch.slice(at, block))
-                if sum(x.num_rows for x in held) >= block:
-                    yield close()
-        if held and sum(x.num_rows for x in held):
-            yield close()
-
-    manifest = written(queries.select(F.col(id_col).alias("id"), "prints").mapInArrow(run, "path string, n long"), "query-blocks")
-    return [r["path"] for r in manifest.orderBy("path").collect()]
-
-
-def _rank(votes: int, errors: float, other) -> tuple:
-    """Best first: more equal integers, fewer bit errors, the lesser id."""
-    return -votes, errors, other is None, other if other is not None else 0
 
-
-def _searched(found: DataFrame, is_query: Column, id_col: str, block: int, rows: int, fields: list, columns) -> DataFrame:
-    """All rows of ``found`` (id, prints), ``rows`` at once, with what ``columns`` makes of them and of their alignments.
-
-    ``columns`` gets the number of rows and an iterator of (row, query's id, offset, votes, bit errors).
-    """
-    paths = write_blocks(found.where(is_query), id_col, block)
-    fields = [(id_col, found.schema[id_col].dataType), ("n_prints", T.LongType()), *fields]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
-
-    def load(path: str) -> Block:
-        store, file = _file_system(path)
-        with store.open_input_file(file) as source:
-            table = pa.ipc.open_file(io.BytesIO(source.read())).read_all()
-        return Block(table.column("id").to_pylist(), table.column("prints").to_pylist())
+def _places(classes: DataFrame, bits=None) -> DataFrame:
+    """Rows (print, class, place) of classes (class, prints); with a bitmap only of integers that may be in it."""
+    shipped = classes.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = load(paths[0]) if len(paths) == 1 else None
-
-        def hits(ids: list, own: list[np.ndarray]) -> Iterator[tuple]:
-            for path in paths:
-                part = only or load(path)
-                for i, (rec, mine) in enumerate(zip(ids, own, strict=True)):
-                    for query, shift, votes, errors in part.aligned(mine):
-                        if part.ids[query] != rec:
-                            yield i, part.ids[query], shift, votes, errors
-
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                piece = batch.slice(at, rows)
-                ids = piece.column(0).to_pylist()
-                own = [np.frombuffer(x or b"", "<u4") for x in piece.column(1).to_pylist()]
-                made = columns(len(ids), hits(ids, own), piece.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in own], pa.int64()), *made], names=[n for n, _ in fields])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [np.frombuffer(x, "<u4") for x in part.column("prints").to_pylist()]
+                values = np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.int64)
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in own]])
+                if shipped.value is not None:
+                    kept = in_bitmap(shipped.value, values & SLOTS)
+                    values, row, place = values[kept], row[kept], place[kept]
+                columns = [pa.array(values), part.column("class").take(pa.array(row)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["print", "class", "place"])
+
+    return classes.select("class", "prints").mapInArrow(run, "print long, class string, place int")
+
+
+#: Integers are uniform enough in their low bits to be their own slots.
+SLOTS = (1 << 24) - 1
+
+
+def pairs(classes: DataFrame, queries: DataFrame, salted: int = SALTED) -> DataFrame:
+    """Aligned pairs (class, query, offset, votes, bit_errors) of classes (class, prints) and those that are queries."""
+    theirs = written(_places(queries).select("print", F.col("class").alias("query"), F.col("place").alias("at")), "postings")
+    own = written(_places(classes, bitmap(theirs, F.col("print").bitwiseAND(F.lit(SLOTS)), hashed=True)), "postings")
+    # An integer with over `salted` places, and 1/4096 of all, is dealt over salts; so there are 4,096 of such at most.
+    most = max(salted, own.count() // 4096)
+    hot = own.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > most).select("print", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    hot = F.broadcast(hot)
+    dealt = own.join(hot, "print", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("class", "place"), F.col("salts")).cast("int"), F.lit(0)))
+    spread = theirs.join(hot, "print", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+    met = dealt.drop("salts").join(spread.drop("salts"), ["print", "salt"])
+    votes = met.groupBy("class", "query", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
+    # Of each pair the fullest offset, of equally full ones the least.
+    fullest = votes.groupBy("class", "query").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("f"))
+    found = written(fullest.select("class", "query", F.col("f.votes").alias("votes"), (-F.col("f.o")).alias("offset")), "votes")
+    sides = found.join(classes.select("class", "prints"), "class").join(queries.select(F.col("class").alias("query"), F.col("prints").alias("theirs")), "query")
 
-    return found.select(id_col, "prints").mapInArrow(run, schema)
-
-
-def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                columns = [part.column(c).to_pylist() for c in ("prints", "theirs", "offset")]
+                errors = [alignment(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), shift) for x, y, shift in zip(*columns, strict=True)]
+                rows = pa.RecordBatch.from_arrays(
+                    [part.column("class"), part.column("query"), part.column("offset").cast(pa.int64()), part.column("votes"), pa.array(errors, pa.float64())],
+                    names=["class", "query", "offset", "votes", "bit_errors"],
+                )
+                yield rows.filter(rows.column("bit_errors").is_valid())
+
+    ordered = sides.select("class", "query", "offset", "votes", "prints", "theirs")
+    return ordered.mapInArrow(run, "class string, query string, offset long, votes long, bit_errors double")
+
+
+def _classes(found: DataFrame, is_query: Column, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, row, class, query), classes (class, prints, n) and query classes (class, prints, ids: the least two queries, queries)."""
+    name = F.when(F.length("prints") > 0, F.concat(F.md5("prints"), F.length("prints").cast("string")))
+    rows = found.select(F.col(id_col).alias("id"), "prints", name.alias("class"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "recordings")
+    some = rows.where("class IS NOT NULL")
+    classes = written(some.groupBy("class").agg(F.first("prints").alias("prints"), F.count("*").alias("n")), "classes")
+    asked = some.where("query")
+    # The two least queries of a class, by two minima, so that nothing is listed.
+    key = F.struct("id", "row")
+    least = asked.groupBy("class").agg(F.min(key).alias("one"), F.count("*").alias("queries"))
+    second = join_counted(asked, least, "class", "queries", asked.count()).where(key > F.col("one")).groupBy("class").agg(F.min(key).alias("two"))
+    queries = least.join(second, "class", "left").join(classes.select("class", "prints"), "class")
+    return rows, classes, written(queries, "queries")
+
+
+def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", salted: int = SALTED) -> DataFrame:
     """All rows of ``found`` (id, prints) with the first of their :func:`alignments`, and ``n_matches``."""
-    id_type = found.schema[id_col].dataType
-    fields = [("match_id", id_type), ("offset", T.LongType()), ("votes", T.LongType()), ("bit_errors", T.DoubleType()), ("n_matches", T.LongType())]
-
-    def columns(n: int, hits: Iterator[tuple], kind: pa.DataType) -> list[pa.Array]:
-        best: list[tuple | None] = [None] * n
-        count = [0] * n
-        for i, other, shift, votes, errors in hits:
-            count[i] += 1
-            rank = _rank(votes, errors, other)
-            if best[i] is None or rank < best[i][0]:
-                best[i] = (rank, other, shift, votes, errors)
-        kinds = (kind, pa.int64(), pa.int64(), pa.float64())
-        return [*(pa.array([x[k] if x else None for x in best], t) for k, t in enumerate(kinds, 1)), pa.array(count, pa.int64())]
-
-    return _searched(found, is_query, id_col, block, 1 << 30, fields, columns)
-
-
-def alignments(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
-    """All rows of ``found`` (id, prints) with ``matches``: every query that aligns, with offset, votes and bit errors, the best first."""
-    item = T.StructType([T.StructField("match_id", found.schema[id_col].dataType), T.StructField("offset", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("bit_errors", T.DoubleType())])
-
-    def columns(n: int, hits: Iterator[tuple], kind: pa.DataType) -> list[pa.Array]:
-        lists: list[list[tuple]] = [[] for _ in range(n)]
-        for i, other, shift, votes, errors in hits:
-            lists[i].append((other, shift, votes, errors))
-        names = ("match_id", "offset", "votes", "bit_errors")
-        items = [[dict(zip(names, x, strict=True)) for x in sorted(own, key=lambda x: _rank(x[2], x[3], x[0]))] for own in lists]
-        kinds = (kind, pa.int64(), pa.int64(), pa.float64())
-        return [pa.array(items, pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))]
-
-    return _searched(found, is_query, id_col, block, LISTED, [("matches", T.ArrayType(item))], columns)
+    rows, classes, queries = _classes(found, is_query, id_col)
+    aligned = written(pairs(classes, queries, salted), "pairs")
+    named = aligned.join(queries.select(F.col("class").alias("query"), "one", "two", "queries"), "query")
+    rank = lambda who: F.struct((-F.col("votes")).alias("v"), F.col("bit_errors").alias("e"), who["id"].isNull().alias("nameless"), who["id"].alias("id"), F.col("offset").alias("o"))
+    # Of a row's own class it has to leave itself out: for the least query the second one stands in.
+    best = named.groupBy("class").agg(
+        F.min(F.when(F.col("query") != F.col("class"), rank(F.col("one")))).alias("other"),
+        F.min(F.when(F.col("query") == F.col("class"), rank(F.col("one")))).alias("own"),
+        F.min(F.when((F.col("query") == F.col("class")) & F.col("two").isNotNull(), rank(F.col("two")))).alias("next"),
+        F.min(F.when(F.col("query") == F.col("class"), F.col("one.row"))).alias("least_row"),
+        F.sum("queries").alias("matches"),
+    )
+    sized = best.join(classes.select("class", "n"), "class")
+    kept = rows.where("class IS NOT NULL").select("id", "row", "class", "query", F.floor(F.length("prints") / 4).cast("long").alias("n_prints"))
+    with_best = join_counted(kept, sized, "class", "n", kept.count())
+    in_own = F.when(F.col("row") == F.col("least_row"), F.col("next")).otherwise(F.col("own"))
+    matched = with_best.withColumn("best", F.least(F.col("other"), in_own)).withColumn("itself", F.col("query") & F.col("own").isNotNull())
+    hit = matched.select(
+        "row", F.col("best.id").alias("match_id"), F.col("best.o").alias("offset"), (-F.col("best.v")).alias("votes"), F.col("best.e").alias("bit_errors"),
+        (F.col("matches") - F.col("itself").cast("long")).alias("n_matches"),
+    )
+    every = rows.select("id", "row", F.floor(F.coalesce(F.length("prints"), F.lit(0)) / 4).cast("long").alias("n_prints"))
+    out = every.join(hit, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_prints", "match_id", "offset", "votes", "bit_errors", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
+
+
+def alignments(found: DataFrame, is_query: Column, id_col: str = "rec_id", salted: int = SALTED) -> DataFrame:
+    """All rows of ``found`` (id, prints) with ``matches``: every query that aligns, with offset, votes and bit errors, the best first.
+
+    This expands copies: a row lists each query of a class.  :func:`search` doesn't.
+    """
+    rows, classes, queries = _classes(found, is_query, id_col)
+    aligned = pairs(classes, queries, salted)
+    asked = rows.where("query AND class IS NOT NULL").select(F.col("class").alias("query"), F.col("id").alias("match_id"), F.col("row").alias("match_row"))
+    mine = rows.where("class IS NOT NULL").select("row", "class")
+    listed = mine.join(aligned, "class").join(asked, "query").where("row <> match_row")
+    item = F.struct(
+        (-F.col("votes")).alias("v"), F.col("bit_errors").alias("e"), F.col("match_id").isNull().alias("nameless"),
+        F.struct("match_id", "offset", "votes", "bit_errors").alias("m"),
+    )
+    lists = listed.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["m"]).alias("matches"))
+    every = rows.select("id", "row", F.floor(F.coalesce(F.length("prints"), F.lit(0)) / 4).cast("long").alias("n_prints"))
+    out = every.join(lists, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_prints", F.coalesce("matches", F.array().cast(lists.schema["matches"].dataType)).alias("matches"))
 
 
 # ---------------------------------------------------------------- recordings for tests
@@ -309,8 +302,7 @@ def melodies(df: DataFrame, id_col: str = "vec_id", values_col: str = "embedding
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField(out_col, T.BinaryType())]))
 
 
-def matches(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", every: int = 20, block: int = BLOCK) -> DataFrame:
+def matches(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", every: int = 20, salted: int = SALTED) -> DataFrame:
     """Search all recordings with those whose id is divisible by ``every``."""
-    found = written(recording_prints(df, id_col, audio_col), "prints")
-    out = search(found, F.col(id_col) % every == 0, id_col, block)
+    out = search(recording_prints(df, id_col, audio_col), F.col(id_col) % every == 0, id_col, salted)
     return out.withColumn("bit_errors", F.round("bit_errors", 6))

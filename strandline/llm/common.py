@@ -155,14 +155,14 @@ def slot(*columns) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
 
 
-def bitmap(df: DataFrame, *columns) -> np.ndarray:
-    """A bitmap of fixed size with the slots of all values of ``columns`` in ``df``.
+def bitmap(df: DataFrame, *columns, hashed: bool = False) -> np.ndarray:
+    """A bitmap of fixed size with the slots of all values of ``columns`` in ``df``, or with the slots that one column is.
 
     Executors fold the values into words, so what comes to the driver is bounded.
     It tells which values surely aren't there; with very many values it tells little,
     and callers must be right without it.
     """
-    at = slot(*columns)
+    at = columns[0] if hashed else slot(*columns)
     words = df.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import audio
@@ -53,47 +54,87 @@ def test_prints_don_t_mind_loudness_and_noise():
 def test_alignment_finds_the_offset():
     whole = tune(4, 80)
     clip = whole[20 * audio.HOP : 60 * audio.HOP]
-    found = audio.Block([1], [audio.prints(whole).tobytes()]).aligned(audio.prints(clip))
-    assert [(q, shift) for q, shift, _, _ in found] == [(0, -20)]
+    own, theirs = audio.prints(clip), audio.prints(whole)
+    assert slow_alignment(own, theirs)[0] == -20
+    assert audio.alignment(own, theirs, -20) < 0.05 and audio.alignment(own, theirs, 0) is None and audio.alignment(own, theirs, 10**6) is None
 
 
-def test_search_is_that_of_all_pairs(spark):
+def rows_of(spark):
+    """Recordings with copies, cuts, quieter ones, repeated ids, silence, nothing: rows (id, bytes)."""
     recordings = [tune(s) for s in range(25)]
     recordings += [recordings[0][8 * audio.HOP :], recordings[20], (recordings[20] * 0.7).astype(np.int16), recordings[3], np.zeros(8000, np.int16), np.zeros(8000, np.int16)]
-    rows = [(i, r.astype("<i2").tobytes(), "x") for i, r in enumerate(recordings)] + [(100, None, "x"), (101, b"", "x"), (102, b"abc", "x"), (40, recordings[29].tobytes(), "x")]
-    table = spark.createDataFrame(rows, "rec_id long, audio binary, prints string").repartition(3)
-    found = {r["rec_id"]: r for r in audio.matches(table, block=2).collect()}
-    assert len(found) == len(rows)
-    own = {i: audio.prints(np.frombuffer((a or b"")[: len(a or b"") // 2 * 2], "<i2")) for i, a, _ in rows}
-    for i in own:
-        hits = {q: h for q in own if q % 20 == 0 and q != i and (h := slow_alignment(own[i], own[q]))}
-        row = found[i]
-        assert (row["n_prints"], row["n_matches"]) == (len(own[i]), len(hits)), i
-        if hits:
-            best = min(hits, key=lambda q: (-hits[q][1], hits[q][2], q))
-            assert (row["match_id"], row["offset"], row["votes"], row["bit_errors"]) == (best, *hits[best])
-        else:
-            assert row["match_id"] is None
-    assert found[25]["match_id"] == 0 and found[26]["match_id"] == 20 and found[29]["match_id"] == 40
+    rows = [(i, r.astype("<i2").tobytes()) for i, r in enumerate(recordings)] + [(101, None), (101, b""), (102, b"abc"), (40, recordings[29].tobytes())]
+    # Queries with the same id and sound, and one with that id and another sound.
+    rows += [(60, tune(30).tobytes()), (60, tune(30).tobytes()), (60, tune(31).tobytes()), (61, tune(30).tobytes()), (None, tune(30).tobytes()), (80, tune(40, 3_000).tobytes())]
+    return rows, spark.createDataFrame([(*r, "x") for r in rows], "rec_id long, audio binary, prints string").repartition(3)
+
+
+def expected(rows):
+    """For each row the alignments with the query rows but itself, by brute force, the best first."""
+    own = [audio.prints(np.frombuffer((a or b"")[: len(a or b"") // 2 * 2], "<i2")) for _, a in rows]
+    small = {i for i, x in enumerate(own) if len(x) < 1_000}
+    out = []
+    for i, mine in enumerate(own):
+        hits = []
+        for q, (name, _) in enumerate(rows):
+            if q != i and name is not None and name % 20 == 0:
+                same = len(mine) == len(own[q]) > 0 and (mine == own[q]).all()
+                hit = slow_alignment(mine, own[q]) if {i, q} <= small or same else None
+                if hit:
+                    hits.append((name, *hit))
+        out.append((len(mine), sorted(hits, key=lambda h: (-h[2], h[3], h[0]))))
+    return out
+
+
+@pytest.mark.parametrize("salted", [audio.SALTED, 5])
+def test_search_is_that_of_all_pairs(spark, salted):
+    rows, table = rows_of(spark)
+    plain = [(name, n, hits[0] if hits else (None, None, None, None), len(hits)) for (name, _), (n, hits) in zip(rows, expected(rows), strict=True)]
+    found = [(r["rec_id"], r["n_prints"], (r["match_id"], r["offset"], r["votes"], r["bit_errors"]), r["n_matches"]) for r in audio.matches(table, salted=salted).collect()]
+    assert sorted(found, key=repr) == sorted(plain, key=repr)
+    best = {r[0]: r[2][0] for r in found}
+    assert best[25] == 0 and best[26] == 20 and best[29] == 40 and best[61] == 60
+    assert sorted(r[3] for r in found if r[0] == 60) == [0, 1, 1]
     assert audio.matches(table.limit(0)).collect() == []
 
 
 def test_alignments_list_every_query(spark):
-    recordings = [tune(1), tune(1), (tune(1) * 0.7).astype(np.int16), tune(1)[8 * audio.HOP :], tune(2), np.zeros(100, np.int16)]
-    rows = [(20 * i, r.astype("<i2").tobytes()) for i, r in enumerate(recordings)] + [(None, recordings[0].tobytes())]
-    prints = audio.recording_prints(spark.createDataFrame(rows, "rec_id long, audio binary").repartition(2))
-    own = {i: audio.prints(np.frombuffer(a, "<i2")) for i, a in rows}
-    query = F.col("rec_id") % 20 == 0
-    found = {r["rec_id"]: r for r in audio.alignments(prints, query, block=2).collect()}
-    best = {r["rec_id"]: r for r in audio.search(prints, query, block=2).collect()}
-    assert set(found) == set(best) == set(own)
-    for i in own:
-        hits = {q: h for q in own if q is not None and q != i and (h := slow_alignment(own[i], own[q]))}
-        order = sorted(hits, key=lambda q: (-hits[q][1], hits[q][2], q))
-        matches = [(m["match_id"], m["offset"], m["votes"], round(m["bit_errors"], 6)) for m in found[i]["matches"]]
-        assert matches == [(q, *hits[q]) for q in order]
-        assert (best[i]["n_matches"], best[i]["match_id"]) == (len(order), order[0] if order else None)
-    assert len(found[0]["matches"]) >= 3 and found[100]["matches"] == []
+    rows, table = rows_of(spark)
+    prints = audio.recording_prints(table)
+    found = [(r["rec_id"], r["n_prints"], [(m["match_id"], m["offset"], m["votes"], round(m["bit_errors"], 6)) for m in r["matches"]]) for r in audio.alignments(prints, F.col("rec_id") % 20 == 0).collect()]
+    assert sorted(found, key=repr) == sorted(((name, n, hits) for (name, _), (n, hits) in zip(rows, expected(rows), strict=True)), key=repr)
+
+
+def test_degraded_recordings_are_found(spark):
+    """Of 60 queries three versions each: noise, a cut of two thirds, and sampled at another rate and back.  At least 0.9 of each kind is found."""
+    pick = np.random.default_rng(9)
+    rows, truth = [], {}
+    for i in range(60):
+        whole = tune(1_000 + i, 64)
+        rows.append((20 * i, whole.astype("<i2").tobytes()))
+        noisy = whole + pick.normal(size=len(whole)) * 0.05 * np.abs(whole).mean()
+        cut = whole[len(whole) // 6 // audio.HOP * audio.HOP + audio.HOP // 2 : len(whole) * 5 // 6]
+        at = np.arange(0, len(whole) - 1, 0.8)
+        coarse = np.interp(np.arange(len(whole)), at, np.interp(at, np.arange(len(whole)), whole.astype(float)))
+        for k, kind in enumerate((noisy, cut, coarse)):
+            rows.append((10_001 + 20 * i + k, np.clip(kind, -32768, 32767).astype("<i2").tobytes()))
+            truth[10_001 + 20 * i + k] = (k, 20 * i)
+    found = {r["rec_id"]: r["match_id"] for r in audio.matches(spark.createDataFrame(rows, "rec_id long, audio binary")).collect()}
+    right = [[found[r] == q for r, (kind, q) in truth.items() if kind == k] for k in range(3)]
+    assert all(sum(x) >= 0.9 * len(x) for x in right), [sum(x) / len(x) for x in right]
+    assert all(found[q] is None for q in range(0, 1_200, 20))
+
+
+def test_copies_are_compared_once(spark):
+    """A third of the rows is one recording, queries among it: its pairs don't grow with its rows."""
+    one, other = tune(5).tobytes(), [tune(2_000 + i).tobytes() for i in range(40)]
+    rows = [(i, one if i % 3 == 0 else other[i % 40]) for i in range(600)]
+    prints = audio.recording_prints(spark.createDataFrame(rows, "rec_id long, audio binary"))
+    _, classes, queries = audio._classes(prints, F.col("rec_id") % 20 == 0, "rec_id")
+    assert classes.count() == 41 and audio.pairs(classes, queries).where("class = query").count() == queries.count()
+    found = {r["rec_id"]: r for r in audio.search(prints, F.col("rec_id") % 20 == 0).collect()}
+    hot = [i for i in range(0, 600, 20) if i % 3 == 0]
+    assert all(found[i]["n_matches"] == len(hot) - (i in hot) and found[i]["match_id"] == (0 if i else hot[1]) for i in range(0, 600, 3))
 
 
 def test_melodies(spark):
