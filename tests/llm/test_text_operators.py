@@ -189,8 +189,9 @@ def slow_hits(text, items, size=10):
     return len(own), len(hit), ",".join(sorted(found)), len(found)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 25])
-def test_contamination_is_that_of_all_windows(spark, docs_of, block):
+@pytest.mark.parametrize(("small", "salted"), [(decontam.SMALL_BYTES, decontam.SALTED), (0, decontam.SALTED), (0, 3)])
+def test_contamination_is_that_of_all_windows(spark, docs_of, monkeypatch, small, salted):
+    monkeypatch.setattr(decontam, "PART_WORDS", 8)  # items are longer than a part
     pick = random.Random(9)
     line = lambda n: " ".join(pick.choice(["the", "a", "of", f"w{pick.randrange(40)}"]) for _ in range(n))
     items = [(1, line(30)), (2, line(10)), (10, "just three words"), (11, None), (12, "..."), (13, "the the the the the the the the the the the"), (14, line(12))]
@@ -201,13 +202,13 @@ def test_contamination_is_that_of_all_windows(spark, docs_of, block):
             part = " ".join((passage or "").split()[low:high])
             texts.append(f"{line(6)} {part.upper()}, {line(5)} -- {part} {part}")
     table = spark.createDataFrame(items, "item_id long, text string")
-    rows = {r["doc_id"]: r for r in decontam.digests(docs_of(texts), table, block_words=block).collect()}
+    rows = {r["doc_id"]: r for r in decontam.digests(docs_of(texts), table, small_bytes=small, salted=salted).collect()}
     for i, text in enumerate(texts):
         n, hit, ids, count = slow_hits(text, items)
         row = rows[i]
         assert (row["n_words"], row["n_hit"], row["n_items"], row["contaminated"]) == (n, hit, count, hit > 0), text
         assert row["items_sha256"] == hashlib.sha256(ids.encode()).hexdigest()
-    clean = decontam.clean(docs_of(texts), table, block_words=block)
+    clean = decontam.clean(docs_of(texts), table, small_bytes=small, salted=salted)
     assert sorted(r["doc_id"] for r in clean.collect()) == [i for i in range(len(texts)) if not rows[i]["contaminated"]]
 
 
