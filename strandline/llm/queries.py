@@ -78,11 +78,13 @@ _UPPER, _LOWER = urls.UPPER, urls.LOWER
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{t.label}', {str(t.base).lower()}, '{' '.join(t.words)}', {i})" for i, t in enumerate(licenses.templates()))
+    values = ", ".join(
+        f"('{t.label}', {str(t.base).lower()}, '{' '.join(t.words)}', {t.key[0]}, {t.key[1]}, {t.votes}, {t.group}, {t.enough}, {i})" for i, t in enumerate(licenses.templates())
+    )
     return f"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
-), templates(label, base, phrase, t) AS (VALUES {values}),
+), templates(label, base, phrase, key_begin, key_size, need, grp, enough, t) AS (VALUES {values}),
 cut AS (SELECT *, string_split(phrase, ' ') AS tw FROM templates),
 tokens AS (SELECT t, unnest(tw) AS word, unnest(range(len(tw))) AS pos FROM cut),
 places AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
@@ -90,24 +92,26 @@ df AS (SELECT word, count(DISTINCT doc_id) AS n FROM places WHERE word IN (SELEC
 weighted AS (
   SELECT t, k.word, pos, round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 0.5)), 6) AS idf FROM tokens k LEFT JOIN df USING (word)
 ),
-anchors AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, pos) AS r, sum(idf) OVER (PARTITION BY t) AS whole FROM weighted),
-begins AS (
-  SELECT p.doc_id, a.t, a.whole, p.pos - a.pos AS s FROM places p JOIN anchors a ON p.word = a.word AND a.r = 1
-  JOIN cut USING (t) JOIN docs d ON d.doc_id = p.doc_id WHERE p.pos - a.pos >= 0 AND p.pos - a.pos + len(tw) <= len(w)
-),
-stands AS (
-  SELECT b.doc_id, b.t, b.s, b.whole, sum(CASE WHEN p.word = k.word THEN k.idf ELSE 0 END) AS mass, count(*) FILTER (p.word = k.word) = count(*) AS all_of
-  FROM begins b JOIN weighted k USING (t) JOIN places p ON p.doc_id = b.doc_id AND p.pos = b.s + k.pos GROUP BY ALL
+rare AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, pos) AS r FROM weighted) WHERE r <= {licenses.RARE}),
+masses AS (SELECT t, sum(idf) AS whole FROM rare GROUP BY t),
+votes AS (
+  SELECT p.doc_id, a.t, p.pos - a.pos AS s, count(*) AS n, sum(a.idf) AS mass FROM places p JOIN rare a ON p.word = a.word JOIN cut USING (t) JOIN docs d ON d.doc_id = p.doc_id
+  WHERE p.pos - a.pos >= 0 AND p.pos - a.pos + len(tw) <= len(w) GROUP BY ALL
 ),
+share AS (SELECT doc_id, max(mass / greatest(whole, 1e-9)) AS share FROM votes JOIN masses USING (t) GROUP BY doc_id),
 found AS (
-  SELECT doc_id, count(*) FILTER (all_of AND base) AS n_base, min(s) FILTER (all_of AND base) AS first_word, max(s) FILTER (all_of AND base) AS last_word,
-    array_to_string(list_sort(list_distinct(list(label) FILTER (all_of AND base))), ',') AS base_labels,
-    array_to_string(list_sort(list_distinct(list(label) FILTER (all_of))), ',') AS labels, round(max(mass / whole), 6) AS score
-  FROM stands JOIN cut USING (t) GROUP BY doc_id
+  SELECT v.doc_id, v.t, v.s, label, base, grp, enough FROM votes v JOIN cut USING (t) JOIN docs d ON d.doc_id = v.doc_id
+  WHERE v.n >= need AND list_slice(w, s + key_begin + 1, s + key_begin + key_size) = list_slice(tw, key_begin + 1, key_begin + key_size)
+),
+labelled AS (SELECT doc_id, label FROM found GROUP BY doc_id, grp, label, enough HAVING count(DISTINCT t) >= enough),
+labels AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM labelled GROUP BY doc_id),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
+  FROM found WHERE base GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM docs LEFT JOIN found USING (doc_id)"""
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN labels IS NOT NULL THEN 1 ELSE round(0.9 * coalesce(share, 0), 6) END::DOUBLE AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN share USING (doc_id)"""
 
 
 def _decontam_sql() -> str:

@@ -28,6 +28,7 @@ LICENSED = [
     "Released under the MIT License.", "under THE mit\nlicense; under-the mit license", "Apache License, Version 2.0", "apache license version 3", "CC BY-NC 4.0 and cc by nc",
     "licensed under the GNU General Public License, version 3", "under the m\u0130t license", "mit license under the", "ccc by nc", "\u212aapache license version 2",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "x " * 3000 + "under the mit license " * 50,
+    "under the mit license " * 4_000,
 ]
 
 
@@ -51,6 +52,43 @@ def test_license_places_are_all_found(docs_of):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def changed(sentence, pick, n):
+    """A template's sentence with n words outside its key phrase replaced."""
+    before, _, rest = sentence.partition("[")
+    inside, _, after = rest.partition("]")
+    out = [*((w, False) for w in before.split()), *((w, True) for w in inside.split()), *((w, False) for w in after.split())]
+    free = [i for i, (_, key) in enumerate(out) if not key]
+    for i in pick.sample(free, min(n, len(free))):
+        out[i] = ("zzz", False)
+    return " ".join(w for w, _ in out)
+
+
+def test_licence_texts_may_have_changed_words(docs_of):
+    pick = random.Random(2)
+    texts, expected = [], []
+    for label, sentences in licenses.TEXTS.items():
+        texts.append(f"Some words first. {'. '.join(changed(s, pick, 0) for s in sentences)}.")
+        expected.append({label})
+        # One word changed in every sentence: of three rare words two still agree.
+        texts.append(f"Other words; {'; '.join(changed(s, pick, 1) for s in sentences)}")
+        expected.append({label})
+        texts.append(sentences[0].replace("[", "").replace("]", "").split("permitted")[0] + " alone")  # too few of its sentences
+        expected.append(set() if label != "mit" else {"mit"})
+        key = sentences[0].partition("[")[2].partition("]")[0] or sentences[0]
+        texts.append(" and ".join(s.replace("[", "").replace("]", "").replace(key.split()[1], "qqq") for s in sentences[:2]))
+        expected.append(set())
+    texts += ["plain words only here"] * 40
+    rows = {r["doc_id"]: r for r in licenses.scan(docs_of(texts)).collect()}
+    for i, labels in enumerate(expected):
+        assert labels <= set(rows[i]["labels"]) and (labels or rows[i]["score"] < 1), (texts[i], rows[i])
+
+
+def test_licences_with_null_and_repeated_ids(spark):
+    table = spark.createDataFrame([(None, "under the mit license"), (1, "cc by nc"), (1, "cc by nc"), (1, None)], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["n_base"], r["labels"]) for r in licenses.summary(table).collect()), key=str)
+    assert found == [(1, 0, ""), (1, 1, "cc-by-nc"), (1, 1, "cc-by-nc"), (None, 1, "mit")]
+
+
 # ---------------------------------------------------------------- languages
 
 SYLLABLES = {"aa": ["ba", "ku", "ri"], "bb": ["schö", "tz", "ung"], "cc": ["çã", "nho", "eir"]}
