@@ -101,8 +101,11 @@ def terms(text: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=1 << 17)
-def _run_tokens(run: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+def run_tokens(run: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Index tokens and stems of a run of words."""
+    if run.isalpha() and (len(run) == 1 or run[1:].islower()):  # a word in lower case, or with a capital: nothing to cut
+        low = run.lower()
+        return ((low,), (stem(low),) if low.isascii() else ()) if len(run) > 1 else ((), ())
     found = [term for term, _, _ in _run_spans(run, 0)]
     return tuple(t for term in found for t in _TOKEN.findall(term)), tuple(s for term in found for s in stems(term))
 
@@ -125,7 +128,7 @@ def index_tokens(text: str) -> tuple[list[str], list[str]]:
                 tokens.extend(run[i : i + 2] for i in range(len(run) - 1))
                 tokens.append(BARRIER)
         else:
-            found, other = _run_tokens(run)
+            found, other = run_tokens(run)
             tokens.extend(found)
             stemmed.extend(other)
     return tokens, stemmed

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -42,36 +43,21 @@ class Word:
     surface: str
 
 
-def words_of(text: str, segment: Callable[[str], list[str]]) -> list[Word]:
-    """The different words of a message.  Single characters that follow one another are one word."""
-    out: dict[str, Word] = {}
-
-    def add(surface: str) -> None:
-        found = tx.terms(surface)
-        if found:
-            # A word that comes again keeps its first place, with its last surface.
-            out[" ".join(found)] = Word(" ".join(found), surface)
-
+def surfaces(text: str, segment: Callable[[str], list[str]]) -> Iterator[Word]:
+    """What a message is cut into: terms outside Han; in Han the segmenter's words, single characters in a row as one."""
     for part, han in tx.han_runs(tx.nfkc(text)):
         if not han:
-            # Pairs of kana are words of their own here, as single terms are.
-            for token in _terms_with_barriers(part):
-                out[token] = Word(token, token)
+            yield from (Word(term, term) for term in tx.terms(part))  # pairs of kana are words of their own here
             continue
-        singles = ""
-        for word in segment(part):
-            if len(word) == 1:
-                singles += word
-                continue
-            add(singles)
-            singles = ""
-            add(word)
-        add(singles)
-    return list(out.values())
-
-
-def _terms_with_barriers(text: str) -> list[str]:
-    return tx.terms(text)
+        for single, found in itertools.groupby(segment(part), lambda word: len(word) == 1):
+            for surface in ["".join(found)] if single else found:
+                yield Word(" ".join(tx.terms(surface)), surface)
+
+
+def words_of(text: str, segment: Callable[[str], list[str]]) -> list[Word]:
+    """The different words of a message, each at its first place, with its last surface."""
+    last = {word.term: word for word in surfaces(text, segment) if word.term}  # a dict keeps first places
+    return list(last.values())
 
 
 @dataclass

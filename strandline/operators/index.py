@@ -10,19 +10,21 @@ posting of each document.  Texts stay in
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.text import content_hash, index_tokens, nfkc
+from strandline.functions.text import content_hash, index_tokens, nfkc, run_tokens
 
 TOKENS, STEMS = 0, 1
+#: Bytes of text that are cut into terms at once.
+SLICE_BYTES = 4 << 20
 PARTS = T.StructType(
     [
         T.StructField("branch_id", T.StringType()),
@@ -50,12 +52,11 @@ class Index:
         """The same index kept in memory, and on disk where that is short.
 
         Postings are sorted by term within their partitions, so that a query skips
-        the batches in which none of its terms can be.
+        the batches in which none of its terms can be.  Statistics are taken from
+        what is kept, so texts are cut once.
         """
-        kept = Index(self.documents, self.postings.sortWithinPartitions("term"), self.stats, self.branches)
-        for part in (kept.documents, kept.postings, kept.stats):
-            part.persist()
-        return kept
+        documents, postings = self.documents.persist(), self.postings.sortWithinPartitions("term").persist()
+        return Index(documents, postings, sums(documents, postings).persist(), self.branches)
 
     def released(self) -> None:
         for part in (self.documents, self.postings, self.stats):
@@ -63,13 +64,15 @@ class Index:
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Write the index; postings are clustered by term, so that a query reads few row groups."""
+        spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "branch_id", "rowid").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        # From what was written, so that texts aren't cut again.
+        sums(*(spark.read.parquet(f"{path}/{part}") for part in ("documents", "postings"))).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("documents", "postings", "stats")))
+    def load(spark: SparkSession, path: str, branches: int | None = None) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("documents", "postings", "stats")), branches)
 
     def appended(self, docs: DataFrame) -> Index:
         """The index with further documents, whose ids are new and whose places come after the others.
@@ -102,55 +105,134 @@ def build(docs: DataFrame, unique_ids: bool = False, branches: int | None = None
     plain = one.mapInArrow(_normalised, one.schema).where("text <> ''")
     documents = plain.withColumn("ts", F.coalesce("ts", F.lit(""))).withColumns({"date": F.substring("ts", 1, 10), "content_hash": content_hash(F.col("text"))})
     postings = plain.select("branch_id", "rowid", "recency", "text").mapInArrow(_postings, PARTS)
-    # Each document's first posting is its head, so lengths sum up without a shuffle by document; one without terms has length 0.
+    return Index(documents, postings, sums(documents, postings), branches)
+
+
+def sums(documents: DataFrame, postings: DataFrame) -> DataFrame:
+    """Documents (n) and length by branch.
+
+    Each document's first posting is its head, so lengths sum up without a shuffle by
+    document; one without terms has length 0.
+    """
     lengths = postings.where("head").groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
-    counts = plain.groupBy("branch_id").agg(F.count("*").alias("n"))
-    stats = counts.join(lengths, "branch_id", "left").select("branch_id", "n", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    return Index(documents, postings, stats, branches)
+    counts = documents.groupBy("branch_id").agg(F.count("*").alias("n"))
+    return counts.join(lengths, "branch_id", "left").select("branch_id", "n", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
 
 
 def _normalised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts = pa.array([nfkc(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
-        yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+        texts = batch.column(at)
+        plain = pc.string_is_ascii(texts)
+        if pc.all(plain).as_py() is not False:
+            yield batch
+            continue
+        kept = [x if ascii_only else nfkc(x) for x, ascii_only in zip(texts.to_pylist(), plain.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+
+
+# Runs of texts without Han, kana and characters on which engines might differ are cut by Arrow.  A piece between
+# other characters may begin or end with a dot, which no run does.
+_OTHER_SCRIPT = r"[^\x00-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}]"
+_BETWEEN = r"[^\p{L}\p{N}\p{M}_$.]+|\.{2,}"
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE_BYTES`` of text; a longer text is a part of its own."""
+    held = begin = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        if held and held + size > SLICE_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+class _Column:
+    """Terms of one column as numbers, in the order of documents and places."""
+
+    def __init__(self):
+        self.docs: list[np.ndarray] = []
+        self.terms: list[np.ndarray] = []
+
+    def add(self, docs: np.ndarray, terms: np.ndarray) -> None:
+        self.docs.append(docs)
+        self.terms.append(terms)
+
+    def postings(self, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, term and number of places of each posting, all places, and the documents' lengths."""
+        none = np.zeros(0, np.int64)
+        docs, terms = np.concatenate([none, *self.docs]), np.concatenate([none, *self.terms])
+        order = np.argsort(docs, kind="stable")
+        docs, terms = docs[order], terms[order]
+        lengths = np.bincount(docs, minlength=count)
+        places = np.arange(len(docs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # By document and term, places staying in order.
+        keys = docs * (int(terms.max(initial=0)) + 1) + terms
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else none
+        sizes = np.diff(np.r_[first, len(keys)])
+        return docs[order][first], terms[order][first], sizes, places[order].astype(np.int32), lengths
+
+
+def _gather(code: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of each code one after another, and their sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+    firsts, lengths = np.cumsum(sizes) - sizes, sizes[code]
+    ends = np.cumsum(lengths)
+    at = np.repeat(firsts[code] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[at], lengths
 
 
 def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            terms: list[str] = []
-            places: list[list[int]] = []
-            sizes, lengths = [], []  # postings of each document by column, and its length
-            for text in part.column("text").to_pylist():
-                found = index_tokens(text)
-                lengths.append(len(found[TOKENS]) + len(found[STEMS]))
-                for col in (TOKENS, STEMS):
-                    at_of: dict[str, list[int]] = defaultdict(list)
-                    for at, term in enumerate(found[col]):
-                        at_of[term].append(at)
-                    terms += at_of
-                    places += at_of.values()
-                    sizes.append(len(at_of))
-            # What is the same for all postings of a document is repeated by column.
-            counts = np.array(sizes, np.int64)
-            row = np.repeat(np.repeat(np.arange(part.num_rows), 2), counts)
-            head = np.zeros(len(row), bool)
-            head[np.flatnonzero(np.diff(row, prepend=-1))] = True
-            ends = np.cumsum([len(p) for p in places], dtype=np.int32)
-            flat = np.fromiter(itertools.chain.from_iterable(places), np.int32, int(ends[-1]) if len(ends) else 0)
-            columns = [
-                part.column("branch_id").take(pa.array(row)),
-                part.column("rowid").take(pa.array(row)),
-                part.column("recency").take(pa.array(row)),
-                pa.array(terms, pa.string()),
-                pa.array(np.repeat(np.tile(np.array([TOKENS, STEMS], np.int32), part.num_rows), counts)),
-                pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends].astype(np.int32)), pa.array(flat)),
-                pa.array(np.array(lengths, np.int32)[row]),
+        for part in _slices(batch):
+            yield from _part_postings(part)
+
+
+def _part_postings(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    texts = part.column("text")
+    number: dict[str, int] = {}
+    named = lambda terms: [number.setdefault(t, len(number)) for t in terms]
+    columns = {TOKENS: _Column(), STEMS: _Column()}
+    other = pc.match_substring_regex(texts, _OTHER_SCRIPT).to_numpy(zero_copy_only=False).astype(bool)
+    plain = np.flatnonzero(~other)
+    pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(texts.take(pa.array(plain)), _BETWEEN, " "))
+    # A run that comes often is cut and stemmed once.
+    coded = pc.dictionary_encode(pc.ascii_trim(pieces.flatten(), "."))
+    runs = [run_tokens(x) for x in coded.dictionary.to_pylist()]
+    code, offsets = coded.indices.to_numpy(), pieces.offsets.to_numpy()
+    doc = np.repeat(plain, np.diff(offsets))
+    for col in (TOKENS, STEMS):
+        terms, lengths = _gather(code, [named(r[col]) for r in runs])
+        columns[col].add(np.repeat(doc, lengths), terms)
+    for row in np.flatnonzero(other).tolist():
+        for col, found in zip((TOKENS, STEMS), index_tokens(texts[row].as_py()), strict=True):
+            columns[col].add(np.full(len(found), row), np.array(named(found), np.int64))
+    found = {col: columns[col].postings(part.num_rows) for col in (TOKENS, STEMS)}
+    length = sum(found[col][4] for col in (TOKENS, STEMS))
+    terms = pa.array(list(number), pa.string())
+    for col in (TOKENS, STEMS):
+        docs, own, sizes, places, _ = found[col]
+        row = pa.array(docs)
+        # A document with stems has tokens, so its first token is its head.
+        head = np.diff(docs, prepend=-1) > 0 if col == TOKENS else np.zeros(len(docs), bool)
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column("branch_id").take(row),
+                part.column("rowid").take(row),
+                part.column("recency").take(row),
+                terms.take(pa.array(own)),
+                pa.array(np.full(len(docs), col, np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(places)),
+                pa.array(length[docs].astype(np.int32)),
                 pa.array(head),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=PARTS.names)
+            ],
+            names=PARTS.names,
+        )
 
 
 def vocabulary(index: Index) -> DataFrame:

@@ -373,27 +373,47 @@ def tiers(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- places
 
 _ANSWER = regex.compile(r"[\p{L}\p{N}]+")
+#: Words of an answer's phrases at least (if it has so many) and at most.
+PHRASE = (2, 12)
 
 
-def answer_places(text: str, answer: str) -> list[tuple[str, int, int]]:
-    """Where phrases of an answer stand in a text: of two to twelve words, the longest first, none inside another.
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def answer_words_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: [{"word": m.group().lower(), "start": m.start(), "end": m.end()} for m in _ANSWER.finditer(x or "")])
 
-    An answer of one word is looked for whole; phrases of stopwords alone aren't.
+
+def answer_phrases(answers: DataFrame) -> DataFrame:
+    """The phrases (query_id, phrase) of answers (query_id, answer): runs of two to twelve words but of stopwords alone; a single word whole."""
+    words = F.transform(answer_words_udf("answer"), lambda w: w["word"])
+    rows = answers.select("query_id", words.alias("w")).where(F.size("w") > 0)
+    sizes = F.sequence(F.least(F.size("w"), F.lit(PHRASE[0])), F.least(F.size("w"), F.lit(PHRASE[1])))
+    sized = rows.select("query_id", "w", F.explode(sizes).alias("n"))
+    runs = sized.select("query_id", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))")).alias("phrase")).distinct()
+    plain = F.array(*[F.lit(w) for w in sorted(tx.STOPWORDS)])
+    return runs.where(F.size(F.array_except("phrase", plain)) > 0)
+
+
+def answer_places(docs: DataFrame, answers: DataFrame, answers_known: int | None = None) -> DataFrame:
+    """Where phrases of answers (query_id, answer) stand in documents (id, text), none inside a longer one.
+
+    Words of the documents join phrases by their first word, and the rest is compared
+    where they met.  Rows: query_id, id, phrase, first (the number of its first word),
+    start, end.
     """
-    words_in = [m.group().lower() for m in _ANSWER.finditer(answer)]
-    there = [(m.group().lower(), m.start(), m.end()) for m in _ANSWER.finditer(text)]
-    known = [w for w, _, _ in there]
-    out: list[tuple[str, int, int]] = []
-    for size in range(min(12, len(words_in)), (1 if len(words_in) == 1 else 2) - 1, -1):
-        for i in range(len(words_in) - size + 1):
-            phrase = words_in[i : i + size]
-            if all(w in tx.STOPWORDS for w in phrase):
-                continue
-            for at in range(len(known) - size + 1):
-                begin, end = there[at][1], there[at + size - 1][2]
-                if known[at : at + size] == phrase and not any(a <= begin and end <= b for _, a, b in out):
-                    out.append((" ".join(phrase), begin, end))
-    return sorted(out, key=lambda p: (p[1], -p[2]))
+    phrases = answer_phrases(answers).withColumn("word", F.element_at("phrase", 1))
+    # An answer of n words has fewer than 11 n phrases.
+    phrases = phrases if answers_known is None else recall.small(phrases, 11 * answers_known)
+    texts = docs.select("id", answer_words_udf("text").alias("w"))
+    # Each word goes with the few ahead of it, not with the whole text.
+    each = F.expr(f"transform(w, (x, i) -> named_struct('word', x.word, 'first', i, 'w', slice(w, i + 1, {PHRASE[1]})))")
+    there = texts.select("id", F.explode(each).alias("x")).select("id", "x.word", "x.first", "x.w")
+    met = there.join(phrases, "word").where(F.slice(F.transform("w", lambda w: w["word"]), F.lit(1), F.size("phrase")) == F.col("phrase"))
+    places = met.select(
+        "query_id", "id", F.array_join("phrase", " ").alias("phrase"), "first", F.element_at("w", 1)["start"].alias("start"), F.element_at("w", F.size("phrase"))["end"].alias("end")
+    )
+    # In the order of beginnings, the longer first, a place is inside another if one before it reaches as far.
+    before = Window.partitionBy("query_id", "id").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return places.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached < end").drop("reached")
 
 
 def fixed_window(text: str, terms: Sequence[str], size: int = WINDOW, ahead: int = 40) -> tuple[int, int]:

@@ -13,7 +13,7 @@ Scores are negative sums, so the least is best.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -188,44 +188,48 @@ def _hydrated(index: Index, page: DataFrame) -> DataFrame:
 
 def with_snippets(index: Index, page: DataFrame, plans: Mapping[str, Plan], budget: int = snippets.BUDGET) -> DataFrame:
     """Pages with a ``snippet`` for each row; only their texts are read for it."""
-    terms = {query: plan.snippet_terms for query, plan in plans.items()}
+    asked = term_table({query: plan.snippet_terms for query, plan in plans.items()})
 
     @F.pandas_udf(T.StringType())
     def snippet(query: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([snippet_of(t, terms[q], budget) for q, t in zip(query, text, strict=True)])
+        hits = term_hits(query, text, asked)
+        return pd.Series([snippets.render(t, snippets.select_window(t, hits.get(row, []), budget)) for row, t in enumerate(text)])
 
     return _hydrated(index, page).withColumn("snippet", snippet("query_id", "text")).drop("text")
 
 
-def snippet_of(text: str, terms: list[tuple[str, bool]], budget: int = snippets.BUDGET) -> str:
-    """The snippet of a text for terms, which match by themselves or (if so marked) by their stems too."""
-    return snippets.render(text, snippets.select_window(text, term_hits(text, terms), budget))
+def term_table(terms: Mapping[str, list[tuple[str, bool]]]) -> pd.DataFrame:
+    """What counts as a hit of queries' terms, a row for each way: (query_id, number, term, kind, gram).
+
+    A span is a hit of a term that it equals (kind ``text``), and of one whose alias,
+    its stems or (of a term not so marked) itself, is among the span's stems in a row
+    (kind ``stem``).
+    """
+    rows = [(query, i, term, "text", term) for query, own in terms.items() for i, (term, _) in enumerate(own)]
+    rows += [(query, i, term, "stem", " ".join(tx.stems(term)) if stemmed else term) for query, own in terms.items() for i, (term, stemmed) in enumerate(own)]
+    return pd.DataFrame([r for r in rows if r[4]], columns=["query_id", "number", "term", "kind", "gram"])
 
 
-def term_hits(text: str, terms: list[tuple[str, bool]]) -> list[tuple[str, int, int]]:
-    """Places of a query's terms in a text.
+def term_hits(queries: Sequence[str], texts: Sequence[str], asked: pd.DataFrame) -> dict[int, list[tuple[str, int, int]]]:
+    """Places of each query's terms in its text, by row: a join of spans with the terms over the vocabulary.
 
-    A span is a hit of a term that it equals, or whose stem (of a term not so
-    marked: the term itself) is among the span's stems.
+    Every different span is stemmed once, for all rows.
     """
-    by_text: dict[str, list[int]] = {}
-    by_stem: dict[str, list[int]] = {}
-    widths = set()
-    for i, (term, stemmed) in enumerate(terms):
-        by_text.setdefault(term, []).append(i)
-        alias = " ".join(tx.stems(term)) if stemmed else term
-        if alias:
-            by_stem.setdefault(alias, []).append(i)
-            widths.add(alias.count(" ") + 1)
-    known: dict[str, list[str]] = {}
-    out = []
-    for value, start, end in tx.spans(text):
-        if value not in known:
-            matched = set(by_text.get(value, ()))
-            pieces = tx.stems(value)
-            for width in widths:
-                for at in range(len(pieces) - width + 1):
-                    matched.update(by_stem.get(" ".join(pieces[at : at + width]), ()))
-            known[value] = [terms[i][0] for i in sorted(matched)]
-        out += [(term, start, end) for term in known[value]]
-    return out
+    spans = pd.DataFrame([(row, *span) for row, text in enumerate(texts) for span in tx.spans(text)], columns=["row", "value", "start", "end"])
+    widest = int(asked["gram"].str.count(" ").max()) + 1 if len(asked) else 0
+    ways = []
+    for value in spans["value"].unique():
+        ways.append((value, "text", value))
+        stems = tx.stems(value)
+        ways += [(value, "stem", " ".join(stems[i:j])) for i in range(len(stems)) for j in range(i + 1, min(len(stems), i + widest) + 1)]
+    known = pd.DataFrame(ways, columns=["value", "kind", "gram"]).merge(asked, on=["kind", "gram"])
+    known = known[["query_id", "value", "number", "term"]].drop_duplicates()
+    spans["query_id"] = pd.Series(list(queries), dtype=object).reindex(spans["row"]).to_numpy()
+    found = spans.merge(known, on=["query_id", "value"]).sort_values(["row", "start", "end", "number"], kind="stable")
+    return {row: list(zip(own["term"], own["start"], own["end"], strict=True)) for row, own in found.groupby("row")}
+
+
+def snippet_of(text: str, terms: list[tuple[str, bool]], budget: int = snippets.BUDGET) -> str:
+    """The snippet of a text for terms, which match by themselves or (if so marked) by their stems too."""
+    hits = term_hits(["q"], [text], term_table({"q": terms})).get(0, [])
+    return snippets.render(text, snippets.select_window(text, hits, budget))

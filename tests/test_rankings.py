@@ -61,7 +61,13 @@ def test_substrings_tiers_and_places(notes, spark):
     two = spark.createDataFrame([("q", "b", "x", -9.0), ("q", "b", "y", -2.0)], "query_id string, branch_id string, id string, score double")
     assert {(r["id"], r["tier"]) for r in ranking.tiers(one, two).collect()} == {("x", 0), ("y", 1)}
     assert {r["rowid"] for r in ranking.within(index, "database", "rocky", 1).collect()} == {0}
-    assert ranking.answer_places("It was two months ago, I think two months", "two months ago") == [("two months ago", 7, 21), ("two months", 31, 41)]
+    texts = spark.createDataFrame([("d", "It was two months ago, I think two months"), ("e", "Two MONTHS, ago"), ("f", None), ("g", "of it")], "id string, text string")
+    answers = spark.createDataFrame([("q", "two months ago"), ("s", "of it"), ("w", "Ago"), ("n", None)], "query_id string, answer string")
+    found = {(r["query_id"], r["id"], r["phrase"], r["first"], r["start"], r["end"]) for r in ranking.answer_places(texts, answers).collect()}
+    assert found == {
+        ("q", "d", "two months ago", 2, 7, 21), ("q", "d", "two months", 7, 31, 41), ("q", "e", "two months ago", 0, 0, 15),
+        ("w", "d", "ago", 4, 18, 21), ("w", "e", "ago", 2, 12, 15),
+    }
     assert ranking.fixed_window("a" * 100 + "needle", ["needle"]) == (60, 106)
 
 
