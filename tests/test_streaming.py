@@ -66,6 +66,49 @@ def test_maintained_index(spark, tmp_path):
     assert store.version() == 2
     assert pick(store.index()) == pick(build(branch.documents(branch.compacted(whole))))
     assert [x[1] for x in pick(store.index(1))] == ["m0", "m2", "tail0", "z"]
+    assert {(r["branch_id"], r["id"]) for r in store.pending().collect()} == {("a", "tail1"), ("b", "tail9")}
+
+
+def _files(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_written_and_a_failure_loses_nothing(spark, tmp_path, monkeypatch):
+    log = lambda b, n: [msg(f"{b}{i}", f"orchard {b} word{i}") for i in range(n)] + [msg(f"{b}t", "tail"), {"type": "compaction", "id": f"{b}c", "timestamp": STAMP, "firstKeptEntryId": f"{b}t"}]
+    names = [f"x{i}" for i in range(12)]
+    whole = sessions.entries(spark, {b: log(b, 3) for b in names})
+    store = Store(spark, str(tmp_path / "store"), buckets=8)
+    store.update(whole, 0)
+    before = _files(tmp_path / "store")
+    more = sessions.entries(spark, {"x0": [*log("x0", 3), msg("y0", "orchard later")]}).where("pos >= 5")
+    # The batch fails when its pointer gets its name, and again when it is half written: the old snapshot stays.
+    real = Store._point
+    monkeypatch.setattr(Store, "_point", lambda self, version, held: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.update(more, 1)
+    assert store.version() == 0 and store.index().documents.count() == 36
+    (tmp_path / "store" / "POINTER-000000000001.json").write_text('{"version": 1, "entr')
+    assert store.version() == 0 and store.index().documents.count() == 36
+    monkeypatch.setattr(Store, "_point", real)
+    assert store.update(more, 1) == {"appended": 1, "rebuilt": 0}
+    assert store.version() == 1 and store.entries(1).count() == whole.count() + 1
+    # Of eight buckets one was written.
+    new = {name.split("/")[-2] for name in _files(tmp_path / "store") - before}
+    assert len(new) == 1
+    # The row beyond the boundary is cut already, and counts from the compaction on that takes it in.
+    index, pending = store.index(), store.pending().where("branch_id = 'x0'")
+    assert {r["id"] for r in pending.collect()} == {"x0t", "y0"} and index.stats.where("branch_id = 'x0'").first()["n"] == 3
+    end = sessions.entries(spark, {"x0": [{"type": "compaction", "id": "c2", "timestamp": STAMP, "firstKeptEntryId": "none"}]}).selectExpr("branch_id", "9L AS pos", *[c for c in whole.columns if c not in ("branch_id", "pos")])
+    assert store.update(end, 2) == {"appended": 1, "rebuilt": 0}
+    assert store.index().stats.where("branch_id = 'x0'").first()["n"] == 5 and store.pending().where("branch_id = 'x0'").count() == 0
+    for version in range(3, 14):
+        store.update(sessions.entries(spark, {"x0": [msg(f"z{version}", "more")]}).selectExpr("branch_id", f"{version + 20}L AS pos", *[c for c in whole.columns if c not in ("branch_id", "pos")]), version)
+    # Old snapshots go, the parts of a bucket's entries are joined, and nothing of the history is lost.
+    assert store.versions() == [11, 12, 13] and store.entries(13).count() == whole.count() + 2 + 11
+    assert len({n for n in _files(tmp_path / "store") if "/entries/" in n}) < 8 + 12
+    plans = {"q": plan({"concepts": [["orchard"]]})}
+    pick = lambda index: sorted((r["branch_id"], r["id"], round(r["score"], 9)) for r in recall.recall(index, plans).collect())
+    assert pick(store.index()) == pick(build(branch.documents(branch.compacted(store.entries(13)))))
 
 
 def test_stream_into_an_index(spark, tmp_path):
