@@ -125,8 +125,8 @@ def test_components_of_graphs(spark):
         "random": [(pick.randrange(150), pick.randrange(150)) for _ in range(100)],
         "none": [(3, 3)],
     }
-    for edges in shapes.values():
-        rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    for edges, few in [(e, few) for e in shapes.values() for few in (0, components.FEW_EDGES)]:
+        rows = components.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
         n = max(max(e) for e in edges) + 1
         expected = roots(n, edges)
         touched = {x for a, b in edges if a != b for x in (a, b)}
