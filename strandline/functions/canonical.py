@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -40,6 +41,11 @@ def canonical_json(value: object) -> str:
     return json.dumps(_stable(value), ensure_ascii=False, separators=(",", ":"))
 
 
+def canonical_hash(value: object) -> str:
+    """SHA-256, in hexadecimal, of a value's canonical JSON."""
+    return hashlib.sha256(canonical_json(value).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def canonical_arguments(text: str | None) -> str:
     """Canonical JSON of arguments that are JSON text; what can't be read stays a string."""
     if text is None:
@@ -61,6 +67,19 @@ def canonical_udf(text: pd.Series) -> pd.Series:
     return text.map(canonical_arguments)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_hash_udf(text: pd.Series) -> pd.Series:
+    """Hashes of JSON texts by what they say, whatever the order of keys; null for what isn't JSON."""
+
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else canonical_hash(json.loads(value))
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
 class DuplicateKey(ValueError):
     """An object names a key twice."""
 
