@@ -43,12 +43,14 @@ def nearest_rank(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
 
 
+def upper_median(value: str) -> Column:
+    """The median that is one of the values, of two the upper one: by nearest rank from above."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
+
+
 def cells(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Over repetitions the upper median, and the range."""
-    ordered = F.sort_array(F.collect_list(value))
-    return rows.groupBy(*by).agg(
-        F.element_at(ordered, F.floor(F.count(value) / 2).cast("int") + 1).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n")
-    )
+    return rows.groupBy(*by).agg(upper_median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
 
 
 def paired(base: DataFrame, variant: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -58,15 +60,24 @@ def paired(base: DataFrame, variant: DataFrame, key: Sequence[str], value: str)
     return left.join(right, list(key)).withColumn("ratio", F.col("variant") / F.col("base"))
 
 
-def peak(intervals: DataFrame, begin: str = "begin", end: str = "end", by: Sequence[str] = ()) -> DataFrame:
+def peak(intervals: DataFrame, begin: str = "begin", end: str = "end", by: Sequence[str] = (), slots: int = 1_024) -> DataFrame:
     """The most intervals open at one time; one that ends when another begins isn't open with it.
 
-    Equal times are summed first, so what the window runs over is a row for each time.
+    Equal times are summed first.  A group's time is cut into ``slots`` parts, each a
+    window of its own, so that a group with most of the rows isn't one task; the parts'
+    sums, of which there are few, carry the count over.
     """
     steps = intervals.select(*by, F.col(begin).alias("at"), F.lit(1).alias("d")).union(intervals.select(*by, F.col(end).alias("at"), F.lit(-1).alias("d")))
-    sums = steps.groupBy(*by, "at").agg(F.sum(F.when(F.col("d") < 0, -1).otherwise(0)).alias("out"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("in"))
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("open", F.sum(F.col("out") + F.col("in")).over(window)).groupBy(*by).agg(F.max("open").alias("peak"))
+    changes = steps.where("at IS NOT NULL").groupBy(*by, "at").agg(F.sum("d").alias("d"))
+    range_of = changes.groupBy(*by).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    numbered = changes.join(range_of, list(by)) if by else changes.crossJoin(range_of)  # one row
+    span = F.greatest((F.col("high") - F.col("low")).cast("double"), F.lit(1e-9))
+    slot = F.least(F.floor((F.col("at") - F.col("low")).cast("double") / span * slots), F.lit(slots - 1)).cast("int")
+    inside = Window.partitionBy(*by, "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    running = numbered.withColumn("slot", slot).withColumn("open", F.sum("d").over(inside))
+    parts = running.groupBy(*by, "slot").agg(F.sum("d").alias("d"), F.max("open").alias("most"))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("before", F.coalesce(F.sum("d").over(before), F.lit(0))).groupBy(*by).agg(F.max(F.col("before") + F.col("most")).alias("peak"))
 
 
 def attempts(rows: DataFrame, by: Sequence[str] = ("question_id",)) -> DataFrame:

@@ -57,29 +57,38 @@ def tool_recall(calls: DataFrame, gold: DataFrame, cutoff: int) -> DataFrame:
 
 
 def coverage(candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """Relevant turns located by arm (arm, query_id, id) and whether all, or any, are; ``ceiling`` of queries with any."""
+    """Relevant turns located by arm (arm, query_id, id) and whether all, or any, are; ``queries`` are all that have any."""
     relevant = gold.select("query_id", "id").distinct()
-    arms = candidates.select("arm").distinct()
-    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("gold")).join(F.broadcast(arms))  # arms are few
+    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("gold"))
     located = candidates.select("arm", "query_id", "id").distinct().join(relevant, ["query_id", "id"]).groupBy("arm", "query_id").agg(F.count("*").alias("located"))
-    rows = sizes.join(located, ["arm", "query_id"], "left").withColumn("located", F.coalesce("located", F.lit(0)))
-    return rows.groupBy("arm").agg(
-        F.sum("located").alias("located"),
-        F.count_if(F.col("located") > 0).alias("any"),
-        F.count_if(F.col("located") == F.col("gold")).alias("all"),
-        F.count("*").alias("queries"),
+    found = located.join(sizes, "query_id").groupBy("arm").agg(
+        F.sum("located").alias("located"), F.count("*").alias("any"), F.count_if(F.col("located") == F.col("gold")).alias("all")
     )
+    arms = candidates.select("arm").distinct().join(found, "arm", "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
+    return arms.crossJoin(sizes.agg(F.count("*").alias("queries"))).select("arm", zero("located"), zero("any"), zero("all"), "queries")  # one row
+
 
+def overlap(base: DataFrame, other: DataFrame, cutoffs: Sequence[int] = (5, 50), page: str | None = None) -> DataFrame:
+    """How much of one list's first ids another has (case, id, rank), over all cases; and hits where the first had none.
 
-def overlap(base: DataFrame, other: DataFrame, cutoffs: Sequence[int] = (5, 50)) -> DataFrame:
-    """How much of one list's first ids another has (case, id, rank), over all cases; and hits where the first had none."""
-    one = base.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("a"))
-    two = other.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("b"))
-    rows = one.join(two, "case", "full")
-    head = lambda name, k: F.transform(F.slice(F.coalesce(F.col(name), F.array()), 1, k), lambda x: x["id"])
-    parts = [F.count("*").alias("cases"), F.count_if((F.col("a").isNull()) & F.col("b").isNotNull()).alias("new_on_empty")]
+    ``exact`` is the share of cases whose lists are equal; ``same_pages`` that of cases
+    with equal hashes in a column ``page``.
+    """
+    one = base.select("case", "id", F.col("rank").alias("a"), *([F.col(page).alias("p")] if page else []))
+    two = other.select("case", "id", F.col("rank").alias("b"), *([F.col(page).alias("q")] if page else []))
+    both = one.join(two, ["case", "id"], "full")
+    counts = [F.count("a").alias("na"), F.count("b").alias("nb"), F.count_if(F.col("a") == F.col("b")).alias("same")]
+    for k in cutoffs:
+        counts += [F.count_if((F.col("a") <= k) & (F.col("b") <= k)).alias(f"s{k}"), F.count_if(F.col("a") <= k).alias(f"a{k}")]
+    if page:
+        counts += [F.max("p").alias("p"), F.max("q").alias("q")]
+    cases = both.groupBy("case").agg(*counts)
+    parts = [F.count("*").alias("cases"), F.count_if((F.col("na") == 0) & (F.col("nb") > 0)).alias("new_on_empty")]
     for k in cutoffs:
-        shared, asked = F.sum(F.size(F.array_intersect(head("a", k), head("b", k)))), F.sum(F.size(head("a", k)))
+        shared, asked = F.sum(f"s{k}"), F.sum(f"a{k}")
         parts += [shared.alias(f"shared_{k}"), asked.alias(f"asked_{k}"), (shared / F.nullif(asked, F.lit(0))).alias(f"coverage_{k}")]
-    same = F.coalesce(head("a", 1 << 30) == head("b", 1 << 30), F.lit(False))
-    return rows.agg(*parts, F.avg(same.cast("double")).alias("exact"))
+    parts.append(F.avg(((F.col("na") == F.col("same")) & (F.col("nb") == F.col("same"))).cast("double")).alias("exact"))
+    if page:
+        parts.append(F.avg(F.col("p").eqNullSafe(F.col("q")).cast("double")).alias("same_pages"))
+    return cases.agg(*parts)

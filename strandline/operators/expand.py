@@ -24,17 +24,35 @@ def _header(row: dict, requested: bool) -> str:
     return HEAD.format(id=row["id"], ts=row["ts"], role=row["role"], requested=" (requested)" if requested else "")
 
 
+#: Positions of a branch that are numbered together.
+BLOCK = 4_096
+
+
+def numbered(entries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Entries with ``n``, their number in their branch from 1.
+
+    A branch is numbered block by block, of ``block`` positions each, and what the
+    blocks before it hold is added, so that a long branch isn't one task's window.
+    """
+    cut = entries.withColumn("block", F.floor(F.col("pos") / block).cast("long"))
+    before = Window.partitionBy("branch_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("branch_id", "block").agg(F.count("*").alias("rows"))
+    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    own = cut.withColumn("own", F.row_number().over(Window.partitionBy("branch_id", "block").orderBy("pos")))
+    return own.join(ahead, ["branch_id", "block"]).withColumn("n", F.col("ahead") + F.col("own")).drop("block", "ahead", "own")
+
+
 def neighbourhood(entries: DataFrame, targets: DataFrame, before: int = NEIGHBOURS, after: int = NEIGHBOURS) -> DataFrame:
     """Of each target (branch_id, id) its entry and those around it, with ``at`` from -before to after.
 
     Distances count entries, not positions: the entries of a branch are numbered,
     and of an id that stands more than once the first is meant.
     """
-    numbered = entries.withColumn("n", F.row_number().over(Window.partitionBy("branch_id").orderBy("pos")))
+    rows = numbered(entries)
     asked = targets.select("branch_id", "id").distinct()
-    own = numbered.select("branch_id", "id", "n").join(asked, ["branch_id", "id"]).groupBy("branch_id", "id").agg(F.min("n").alias("n0"))
+    own = rows.select("branch_id", "id", "n").join(asked, ["branch_id", "id"]).groupBy("branch_id", "id").agg(F.min("n").alias("n0"))
     near = own.select("branch_id", F.col("id").alias("asked_id"), "n0", F.explode(F.sequence(F.col("n0") - before, F.col("n0") + after)).alias("n"))
-    joined = near.join(numbered, ["branch_id", "n"])
+    joined = near.join(rows, ["branch_id", "n"])
     return joined.select("branch_id", F.col("asked_id").alias("target_id"), (F.col("n") - F.col("n0")).alias("at"), "pos", "id", "ts", "role", "readable")
 
 

@@ -9,8 +9,10 @@ posting of each document.  Texts stay in
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,12 +93,13 @@ def latest_by_id(docs: DataFrame) -> DataFrame:
     return found.select("branch_id", "rowid", "id", "d.role", "d.ts", "d.recency", "d.text")
 
 
-def build(docs: DataFrame, unique_ids: bool = False, branches: int | None = None) -> Index:
+def build(docs: DataFrame, unique_ids: bool = False, branches: int | None = None, terms: Callable[[str], list[str]] | None = None) -> Index:
     """An index of rows (branch_id, pos, id, role, ts, text; recency is ``pos`` unless given).
 
     The latest row of an id wins before empty texts are left out, so a later empty
     edit hides an older text.  ``unique_ids`` says that ids are unique already, which
-    spares the shuffle.  ``rowid`` orders documents by first appearance.
+    spares the shuffle.  ``rowid`` orders documents by first appearance.  Another
+    tokenizer gives ``terms``; its index has no stems.
     """
     if "recency" not in docs.columns:
         docs = docs.withColumn("recency", F.col("pos"))
@@ -104,7 +107,7 @@ def build(docs: DataFrame, unique_ids: bool = False, branches: int | None = None
     one = docs.withColumnRenamed("pos", "rowid").select("branch_id", "rowid", "id", "role", "ts", "recency", "text") if unique_ids else latest_by_id(docs)
     plain = one.mapInArrow(_normalised, one.schema).where("text <> ''")
     documents = plain.withColumn("ts", F.coalesce("ts", F.lit(""))).withColumns({"date": F.substring("ts", 1, 10), "content_hash": content_hash(F.col("text"))})
-    postings = plain.select("branch_id", "rowid", "recency", "text").mapInArrow(_postings, PARTS)
+    postings = plain.select("branch_id", "rowid", "recency", "text").mapInArrow(functools.partial(_postings, terms=terms), PARTS)
     return Index(documents, postings, sums(documents, postings), branches)
 
 
@@ -187,18 +190,22 @@ def _gather(code: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.nd
     return flat[at], lengths
 
 
-def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterable[pa.RecordBatch], terms: Callable[[str], list[str]] | None = None) -> Iterator[pa.RecordBatch]:
+    cut = (lambda text: (terms(text), [])) if terms else None
     for batch in batches:
         for part in _slices(batch):
-            yield from _part_postings(part)
+            yield from _part_postings(part, cut)
 
 
-def _part_postings(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _part_postings(part: pa.RecordBatch, cut: Callable[[str], tuple[list[str], list[str]]] | None = None) -> Iterator[pa.RecordBatch]:
     texts = part.column("text")
     number: dict[str, int] = {}
     named = lambda terms: [number.setdefault(t, len(number)) for t in terms]
     columns = {TOKENS: _Column(), STEMS: _Column()}
-    other = pc.match_substring_regex(texts, _OTHER_SCRIPT).to_numpy(zero_copy_only=False).astype(bool)
+    if cut is None:
+        other = pc.match_substring_regex(texts, _OTHER_SCRIPT).to_numpy(zero_copy_only=False).astype(bool)
+    else:
+        other = np.ones(part.num_rows, bool)
     plain = np.flatnonzero(~other)
     pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(texts.take(pa.array(plain)), _BETWEEN, " "))
     # A run that comes often is cut and stemmed once.
@@ -210,7 +217,7 @@ def _part_postings(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         terms, lengths = _gather(code, [named(r[col]) for r in runs])
         columns[col].add(np.repeat(doc, lengths), terms)
     for row in np.flatnonzero(other).tolist():
-        for col, found in zip((TOKENS, STEMS), index_tokens(texts[row].as_py()), strict=True):
+        for col, found in zip((TOKENS, STEMS), (cut or index_tokens)(texts[row].as_py()), strict=True):
             columns[col].add(np.full(len(found), row), np.array(named(found), np.int64))
     found = {col: columns[col].postings(part.num_rows) for col in (TOKENS, STEMS)}
     length = sum(found[col][4] for col in (TOKENS, STEMS))
@@ -246,6 +253,28 @@ def statistics(index: Index) -> DataFrame:
     return index.documents.agg(F.count("*").alias("documents"), F.count_distinct("content_hash").alias("contents")).crossJoin(sizes)  # one row each
 
 
+def stored(path: str, spark: SparkSession) -> dict[str, int]:
+    """Files and bytes that a saved index takes, by kind of rows."""
+    out = {}
+    for kind in ("documents", "postings", "stats"):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
+        summary = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(target)
+        out |= {f"{kind}_files": summary.getFileCount(), f"{kind}_bytes": summary.getLength()}
+    return out
+
+
+def working_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table that is read, dealt out to all cores if its files make fewer tasks; a large one never is."""
     cores = table.sparkSession.sparkContext.defaultParallelism

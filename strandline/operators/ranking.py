@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions import alternatives
 from strandline.functions import text as tx
 from strandline.operators import recall
-from strandline.operators.index import TOKENS, Index
+from strandline.operators.index import TOKENS, Index, build, sums
 from strandline.plans.query import Branch, Phrase, Plan, atoms_of
 
 # ---------------------------------------------------------------- rarity
@@ -244,9 +245,13 @@ def fuzzy(index: Index, asked: Mapping[str, str], share: float = 0.2, most: int
 FUZZY_K, FUZZY_B, FUZZY_D, PREFIX_WEIGHT, FUZZY_WEIGHT = 1.2, 0.7, 0.5, 0.375, 0.45
 
 
-def fuzzy_search(index: Index, queries: Mapping[str, str], limit: int = 20) -> DataFrame:
-    """Documents by words, prefixes and near words, ranked by BM25+ with a weight for how a term was found."""
-    asked = {f"{name}\x1f{word}": word for name, query in queries.items() for word in dict.fromkeys(tx.terms(tx.nfkc(query)))}
+def fuzzy_search(index: Index, queries: Mapping[str, str], limit: int = 20, cut: Callable[[str], list[str]] = tx.terms) -> DataFrame:
+    """Documents by words, prefixes and near words, ranked by BM25+ with a weight for how a term was found.
+
+    The sum counts as many times as words of the query were found.  ``cut`` is the
+    tokenizer that the index was built with.
+    """
+    asked = {f"{name}\x1f{word}": word for name, query in queries.items() for word in dict.fromkeys(cut(tx.nfkc(query)))}
     prefix = with_prefix(index, asked).withColumn("longer", F.length("term"))
     spark = index.postings.sparkSession
     own = spark.createDataFrame(list(asked.items()), "query_id string, word string")
@@ -266,13 +271,21 @@ def fuzzy_search(index: Index, queries: Mapping[str, str], limit: int = 20) -> D
     score = F.col("w") * idf * (FUZZY_D + F.col("tf") * (FUZZY_K + 1) / (F.col("tf") + FUZZY_K * (1 - FUZZY_B + FUZZY_B * F.col("dl") / F.col("avgdl"))))
     summed = (
         found.join(df, ["branch_id", "query_id", "term"]).join(branch, "branch_id").withColumn("s", score)
-        .groupBy(F.substring_index("query_id", "\x1f", 1).alias("query_id"), "branch_id", "rowid").agg(F.sum("s").alias("score"))
+        .groupBy(F.substring_index("query_id", "\x1f", 1).alias("query_id"), "branch_id", "rowid").agg((F.sum("s") * F.count_distinct("query_id")).alias("score"))
     )
     named = summed.join(index.documents.select("branch_id", "rowid", "id"), ["branch_id", "rowid"])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def whole_word_index(docs: DataFrame, branches: int | None = None) -> Index:
+    """The index of whole identifiers that :func:`fuzzy_search` ranks as its model does: a document is as long as it has different terms."""
+    index = build(docs, unique_ids=True, branches=branches, terms=alternatives.whole_terms)
+    different = F.count("*").over(Window.partitionBy("branch_id", "rowid")).cast("int")  # terms of one document
+    postings = index.postings.withColumn("dl", different)
+    return Index(index.documents, postings, sums(index.documents, postings), branches)
+
+
 _IRREGULAR = {"went": "go", "gone": "go", "ran": "run", "was": "be", "were": "be", "had": "have", "did": "do", "said": "say", "made": "make", "mice": "mouse", "feet": "foot", "men": "man", "women": "woman", "children": "child", "better": "good", "best": "good"}
 
 
@@ -353,7 +366,10 @@ def substring_candidates(docs: DataFrame, grams: DataFrame, needles: Mapping[str
     asked = [(q, n[i : i + 3]) for q, n in low.items() for i in {n[i : i + 3]: i for i in range(len(n) - 2)}.values()]
     named = spark.createDataFrame(list(low.items()), "query_id string, needle string")
     contains = F.contains(F.lower("text"), F.col("needle"))
-    out = docs.join(recall.small(named.where(F.length("needle") < _TRIGRAM_LEAST), len(low)), contains).select("query_id", "branch_id", "id")
+    # Needles come from the caller, so for the short ones each text is looked at once, without a join.
+    brief = [F.when(F.contains(F.lower("text"), F.lit(n)), F.lit(q)) for q, n in low.items() if len(n) < _TRIGRAM_LEAST]
+    found = F.array_compact(F.array(*brief)) if brief else F.array().cast("array<string>")
+    out = docs.select("branch_id", "id", F.explode(found).alias("query_id")).select("query_id", "branch_id", "id")
     if asked:
         table = spark.createDataFrame(asked, "query_id string, gram string")
         sizes = table.groupBy("query_id").agg(F.count("*").alias("size"))
@@ -363,10 +379,15 @@ def substring_candidates(docs: DataFrame, grams: DataFrame, needles: Mapping[str
     return out
 
 
-def tiers(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Rows (query_id, branch_id, id, score) of a first search, then those of a second that the first doesn't have; ``tier`` 0 and 1."""
+def tiers(primary: DataFrame, secondary: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, branch_id, id, score) of a first search, then those of a second that the first doesn't have; ``tier`` 0 and 1.
+
+    With ``required``, rows that a search for the short terms found, the second search's have to be among them.
+    """
     key = ["query_id", "branch_id", "id"]
     rest = secondary.join(primary.select(*key), key, "left_anti")
+    if required is not None:
+        rest = rest.join(required.select(*key).distinct(), key, "left_semi")
     return primary.withColumn("tier", F.lit(0)).unionByName(rest.withColumn("tier", F.lit(1)))
 
 
@@ -416,6 +437,14 @@ def answer_places(docs: DataFrame, answers: DataFrame, answers_known: int | None
     return places.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached < end").drop("reached")
 
 
+def fixed_windows(text: Column, terms: Sequence[str], size: int = WINDOW, ahead: int = 40) -> Column:
+    """:func:`fixed_window` as an expression: a struct of begin and end."""
+    low = F.lower(text)
+    places = F.filter(F.array(*[F.instr(low, t) for t in terms]), lambda p: p > 0)
+    begin = F.greatest(F.lit(0), F.coalesce(F.array_min(places) - 1, F.lit(0)) - ahead)
+    return F.struct(begin.alias("begin"), F.least(F.length(text), begin + size).alias("end"))
+
+
 def fixed_window(text: str, terms: Sequence[str], size: int = WINDOW, ahead: int = 40) -> tuple[int, int]:
     """A window that begins ``ahead`` of the first place of any term, ignoring case."""
     low = text.lower()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as tx
 from strandline.metrics import reports, retrieval
 from strandline.operators import automatic, branch, expand, grep, ranking, recall
-from strandline.operators.index import TOKENS, Index, build, corpus_documents, spread, vocabulary
+from strandline.operators.index import TOKENS, Index, build, corpus_documents, spread, vocabulary, working_folder
 from strandline.plans.query import Phrase, Plan, plan
 from strandline.sources import corpora, traces
 from strandline.streaming import cadence
@@ -30,10 +31,13 @@ def register(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strandline.plans import measured, searched  # noqa: F401  they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
@@ -41,9 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def corpus_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index over ``documents``; its ids are unique."""
-    return build(corpus_documents(table(spark, sf_dir, "documents")), unique_ids=True, branches=1)
+    """The index over ``documents``, whose ids are unique: built and saved once for a session, and read by its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{working_folder(spark)}/strandline-index-{uuid.uuid4().hex}"
+        index = build(corpus_documents(table(spark, sf_dir, "documents")), unique_ids=True, branches=1)
+        index.save(path, max(8, 2 * spark.sparkContext.defaultParallelism))
+        _STORED[key] = path
+    return Index.load(spark, _STORED[key], 1)
 
 
 # ---------------------------------------------------------------- SQL parts
@@ -127,29 +140,32 @@ def weighted_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- ranked recall
 
 _TOKEN_QUERY = ["license", "version", "the", "reen", "tion"]
-_BM25 = f"""WITH {_COUNTS}, dl AS (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id),
-n AS (SELECT count(*) AS n, (SELECT avg(coalesce(dl, 0)) FROM documents LEFT JOIN dl USING (doc_id) WHERE text <> '') AS avgdl FROM documents WHERE text <> ''),
-asked AS (SELECT unnest({_TOKEN_QUERY!r}) AS term),
-df AS (SELECT term, count(*) AS df FROM tf JOIN asked USING (term) GROUP BY term),
-idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, n)"""
-
-
-def _tokens_only(index: Index) -> Index:
-    """The index with its tokens alone, for which DuckDB can count lengths too."""
-    postings = index.postings.where((F.col("col") == TOKENS) & (F.col("term") != tx.BARRIER))
-    lengths = postings.groupBy("branch_id", "rowid").agg(F.sum(F.size("places")).cast("int").alias("dl"))
-    total = lengths.groupBy("branch_id").agg(F.sum("dl").cast("long").alias("length"))
-    return Index(index.documents, postings.drop("dl").join(lengths, ["branch_id", "rowid"]), index.stats.drop("length").join(total, "branch_id"), 1)
+#: Lengths as the index has them: tokens, and a stem for each plain ASCII word.
+_STATS = f"""{_COUNTS},
+dl AS (SELECT doc_id, sum(n) + coalesce(sum(n) FILTER (regexp_matches(term, '^[a-z0-9]+$')), 0) AS dl FROM tf GROUP BY doc_id),
+n AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents LEFT JOIN dl USING (doc_id) WHERE text <> '')"""
+
+
+def bm25(phrases: str) -> str:
+    """SQL parts: phrases (query_id, phrase, pattern, w0, w1) with their score in each document; patterns are those of tokens and of words by stem."""
+    return f"""{_STATS},
+asked(query_id, phrase, word, stems, w0, w1) AS (VALUES {phrases}),
+f AS (
+  SELECT query_id, phrase, doc_id, sum(CASE WHEN term = word THEN w0 * n ELSE 0 END + CASE WHEN regexp_matches(term, stems) THEN w1 * n ELSE 0 END) AS f
+  FROM tf JOIN asked ON (term = word AND w0 > 0) OR (w1 > 0 AND regexp_matches(term, stems)) GROUP BY ALL
+),
+df AS (SELECT query_id, phrase, count(*) AS df FROM f GROUP BY ALL),
+idf AS (SELECT query_id, phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, n),
+weights AS (SELECT query_id, phrase, doc_id, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM f JOIN idf USING (query_id, phrase) JOIN dl USING (doc_id), n)"""
 
 
 @register(
-    f"""{_BM25}
-SELECT doc_id::VARCHAR AS id, round(sum(-idf * t.n * 2.2 / (t.n + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-FROM tf t JOIN idf USING (term) JOIN dl USING (doc_id), n GROUP BY doc_id"""
+    f"""WITH {bm25(", ".join(f"('q', {i}, '{t}', '^$', 1.0, 0.0)" for i, t in enumerate(_TOKEN_QUERY)))}
+SELECT doc_id::VARCHAR AS id, round(-sum(weight), 6) AS score FROM weights GROUP BY doc_id"""
 )
 def recall_bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of documents with any of five tokens."""
-    index = _tokens_only(corpus_index(spark, sf_dir))
+    """BM25 of documents with any of five tokens, over the index's own lengths."""
+    index = corpus_index(spark, sf_dir)
     asked = Plan([[(Phrase(t, (TOKENS,)),) for t in _TOKEN_QUERY]])
     found = recall.hits(index, {"q": asked})
     return found.join(index.documents.select("branch_id", "rowid", "id"), ["branch_id", "rowid"]).select("id", F.round("score", 6).alias("score"))
@@ -159,36 +175,37 @@ def _has(*words: str) -> str:
     return f"coalesce(bool_or(term IN ({', '.join(repr(w) for w in words)})), false)"
 
 
+# A surface matches words and, as it is written, stems: words whose stem it is.  Of most words that end with e no word's stem is.
+_VERSION = "coalesce(bool_or(regexp_matches(term, '^versions?$')), false)"
+_THE = "coalesce(bool_or(regexp_matches(term, '^the(s|ing)?$')), false)"
 _BOOLEAN = {
-    "any": {"concepts": [["license", "reen"], ["queau"]]},
-    "all": {"concepts": [["the", "le"], ["license"]], "match": "all"},
-    "exclude": {"concepts": [["license"]], "exclude": ["mit", "apache"]},
+    "any": {"concepts": [["license", "apache"], ["version"]]},
+    "all": {"concepts": [["the", "apache"], ["license"]], "match": "all"},
+    "exclude": {"concepts": [["license", "the"]], "exclude": ["version", "apache"]},
 }
 
 
 @register(
     f"""WITH {_TERMS} SELECT query_id, doc_id::VARCHAR AS id FROM (
-  SELECT doc_id, {_has("license", "reen", "queau")} AS a, {_has("the", "le")} AND {_has("license")} AS b,
-    {_has("license")} AND NOT {_has("mit", "apache")} AS c FROM terms GROUP BY doc_id
+  SELECT doc_id, {_has("license", "apache")} OR {_VERSION} AS a, ({_THE} OR {_has("apache")}) AND {_has("license")} AS b,
+    ({_has("license")} OR {_THE}) AND NOT {_VERSION} AND NOT {_has("apache")} AS c FROM terms GROUP BY doc_id
 ), (VALUES ('any'), ('all'), ('exclude')) v(query_id) WHERE CASE query_id WHEN 'any' THEN a WHEN 'all' THEN b ELSE c END"""
 )
 def recall_any_all_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents three boolean queries find in tokens."""
     index = corpus_index(spark, sf_dir)
-    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats, 1)
     found = recall.hits(index, {name: plan(q) for name, q in _BOOLEAN.items()})
     return found.join(index.documents.select("branch_id", "rowid", "id"), ["branch_id", "rowid"]).select("query_id", "id")
 
 
 @register(
-    f"""WITH {_TERMS}, hit AS (SELECT doc_id FROM terms GROUP BY doc_id HAVING {_has("license", "licens", "reen")})
+    f"""WITH {_TERMS}, hit AS (SELECT doc_id FROM terms GROUP BY doc_id HAVING {_has("license", "apache")} OR {_VERSION})
 SELECT 'q' AS query_id, count(DISTINCT {_HASH})::BIGINT AS total FROM documents JOIN hit USING (doc_id)"""
 )
 def recall_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many different contents a query finds."""
     index = corpus_index(spark, sf_dir)
-    index = Index(index.documents, index.postings.where(F.col("col") == TOKENS), index.stats, 1)
-    found = recall.representatives(index, recall.hits(index, {"q": plan({"concepts": [["license", "licens", "reen"]]})}))
+    found = recall.representatives(index, recall.hits(index, {"q": plan({"concepts": [["license", "apache", "version"]]})}))
     return recall.totals(found)
 
 
@@ -274,24 +291,35 @@ def expand_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_edits(entries: DataFrame) -> DataFrame:
-    """Conversations with edits and compactions that follow from their turns: turn 1 is replaced, turn 2 omitted, turn 4 kept first."""
-    text = F.concat(F.lit("edited "), F.col("branch_id"))
-    content = F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))
+    """Conversations with edits and compactions that differ by the conversation's number modulo 6.
+
+    0: none, and no compaction.  Else turn 1 is replaced and turn 2 omitted, and turn 4
+    is kept first.  2: turn 1 is replaced twice, the later edit counts.  3: the kept id
+    stands nowhere, so the compaction itself is the boundary.  4: a second compaction
+    keeps turn 6.  5: an edit of turn 0 comes after the compaction and counts too.
+    """
+    text = lambda word: F.concat(F.lit(f"{word} "), F.col("branch_id"))
+    block = lambda word: F.array(F.struct(F.lit("text").alias("type"), text(word).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))
     none = F.lit(None).cast("string")
-    ends = entries.groupBy("branch_id").agg(F.max("pos").alias("last"))
+    ends = entries.groupBy("branch_id").agg(F.max("pos").alias("last")).withColumn("kind", F.col("branch_id").cast("long") % 6)
 
-    def extra(at: int, kind: str, target=none, replacement=F.lit(None), omit=F.lit(None), kept=none) -> DataFrame:
-        return ends.select(
-            "branch_id", (F.col("last") + at).alias("pos"), F.lit(kind).alias("type"), F.concat(F.lit(f"{kind}-"), "branch_id").alias("id"), none.alias("ts"), none.alias("role"),
+    def extra(kinds: tuple, at: int, kind: str, target=none, replacement=F.lit(None), omit=F.lit(None), kept=none) -> DataFrame:
+        return ends.where(F.col("kind").isin(*kinds)).select(
+            "branch_id", (F.col("last") + at).alias("pos"), F.lit(kind).alias("type"), F.concat(F.lit(f"{kind}-{at}-"), "branch_id").alias("id"), none.alias("ts"), none.alias("role"),
             F.lit(None).cast(branch.ENTRY["content"].dataType).alias("content"), target.alias("target_id"), replacement.cast(branch.ENTRY["replacement"].dataType).alias("replacement"),
             omit.cast("boolean").alias("omit"), kept.alias("first_kept_id"),
         )
 
     turn = lambda n: F.concat_ws(":", "branch_id", F.lit(str(n)))
+    edited = (1, 2, 3, 4, 5)
     parts = [
-        extra(1, "context_edit", turn(1), content, F.lit(False)),
-        extra(2, "context_edit", turn(2), F.lit(None), F.lit(True)),
-        extra(3, "compaction", kept=turn(4)),
+        extra(edited, 1, "context_edit", turn(1), block("edited"), F.lit(False)),
+        extra(edited, 2, "context_edit", turn(2), F.lit(None), F.lit(True)),
+        extra((2,), 3, "context_edit", turn(1), block("again"), F.lit(False)),
+        extra((1, 2, 4, 5), 4, "compaction", kept=turn(4)),
+        extra((3,), 4, "compaction", kept=F.lit("nowhere")),
+        extra((4,), 5, "compaction", kept=turn(6)),
+        extra((5,), 6, "context_edit", turn(0), block("late"), F.lit(False)),
     ]
     for part in parts:
         entries = entries.unionByName(part)
@@ -302,11 +330,12 @@ _SEARCHABLE = "role IN ('user', 'assistant')"
 
 
 @register(
-    f"""WITH c AS (SELECT conv_id::VARCHAR AS branch_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last,
-  min(turn) FILTER (turn = 4) OVER (PARTITION BY conv_id) AS kept FROM conversations)
+    f"""WITH c AS (SELECT conv_id::VARCHAR AS branch_id, conv_id % 6 AS kind, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last,
+  min(turn) FILTER (turn = 4) OVER (PARTITION BY conv_id) AS four, min(turn) FILTER (turn = 6) OVER (PARTITION BY conv_id) AS six FROM conversations)
 SELECT branch_id, branch_id || ':' || turn AS id,
-  md5(CASE WHEN turn = 1 AND {_SEARCHABLE} THEN 'edited ' || branch_id ELSE coalesce(text, '') END) AS digest, {_SEARCHABLE} AS searchable
-FROM c WHERE turn <> 2 AND turn < coalesce(kept, last + 3)"""
+  md5(CASE WHEN turn = 1 AND {_SEARCHABLE} THEN CASE kind WHEN 2 THEN 'again ' ELSE 'edited ' END || branch_id
+    WHEN turn = 0 AND kind = 5 AND {_SEARCHABLE} THEN 'late ' || branch_id ELSE coalesce(text, '') END) AS digest, {_SEARCHABLE} AS searchable
+FROM c WHERE kind <> 0 AND turn <> 2 AND turn < CASE kind WHEN 3 THEN last + 4 WHEN 4 THEN coalesce(six, last + 5) ELSE coalesce(four, last + 4) END"""
 )
 def branch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a compaction moved out of each conversation, with edits applied."""
@@ -378,6 +407,19 @@ def must_prefer_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.structured(corpus_index(spark, sf_dir), query).select("id", "prefer_groups", "total")
 
 
+@register(
+    f"""WITH {bm25("('q', 0, 'license', '^$', 1.0, 0.0)")}, d AS (
+  SELECT doc_id, {_has("mit")}::INT + {_has("the", "der")}::INT AS prefer, {_has("apache")} AS excluded FROM terms GROUP BY doc_id
+), kept AS (SELECT doc_id, prefer, -weight AS score FROM weights JOIN d USING (doc_id) WHERE NOT excluded)
+SELECT doc_id::VARCHAR AS id, prefer::BIGINT AS prefer_groups, round(score, 6) AS score, (SELECT count(*) FROM kept)::BIGINT AS total
+FROM (SELECT *, row_number() OVER (ORDER BY prefer DESC, score, doc_id) AS r FROM kept) WHERE r <= 20"""
+)
+def must_prefer_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty documents that must have a word and mustn't another, those with more preferred groups first."""
+    query = ranking.Structured(must=[["license"]], prefer=[["mit"], ["the", "der"]], exclude=["apache"], limit=20)
+    return ranking.structured(corpus_index(spark, sf_dir), query).select("id", "prefer_groups", F.round("score", 6).alias("score"), "total")
+
+
 @register(
     f"WITH {_TERMS} SELECT DISTINCT query_id, term FROM terms, (VALUES ('a', 'lic'), ('b', 'vers')) v(query_id, prefix) WHERE starts_with(term, prefix)"
 )
@@ -502,11 +544,24 @@ def peak_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM events WHERE event_type <> 'error' GROUP BY user_id"""
 )
 def cadence_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often an index would be due by session, events being tool batches."""
+    """How often an index would be due by session, events being tool batches that come twice each."""
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("session_id"), F.lit("batch").alias("kind"), F.col("event_id").cast("string").alias("event_id"), (F.col("event_type") != "error").alias("ok")
     )
-    return cadence.due_counts(events)
+    return cadence.due_counts(events.unionByName(events))
+
+
+@register(
+    """WITH c AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id::VARCHAR AS session_id, count(*)::BIGINT AS cycles FROM c WHERE role = 'assistant' AND before = 'user' GROUP BY conv_id"""
+)
+def cadence_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed cycles of each conversation: an answer that ends after a user's message."""
+    kind = F.when(F.col("role") == "user", "user").otherwise("end")
+    events = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("pos"), kind.alias("kind"), F.lit(None).cast("string").alias("event_id"), F.lit(True).alias("ok")
+    )
+    return cadence.completed_cycles(events).select("session_id", F.col("cycles").cast("long").alias("cycles")).where("cycles > 0")
 
 
 @register(

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.canonical import canonical_json
@@ -35,13 +35,18 @@ def _blocks(path: str) -> str:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Entries of the logs under ``path``: a branch for each file, in the order of its lines.
 
-    Lines are numbered by their place, for which a file is read whole: logs are
-    many and small.  Tool arguments are compact JSON; see
+    A log is read in as many parts as its size makes.  Lines are numbered in their
+    part, and what the parts before it hold is added; blank lines count as lines.
+    Tool arguments are compact JSON; see
     :func:`strandline.operators.branch.with_canonical_arguments` for the canonical form.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("branch_id"), "value")
-    lines = files.select("branch_id", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return parse(lines.where(F.trim("line") != ""))
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("branch_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    parts = lines.groupBy("branch_id", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("branch_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = lines.join(ahead, ["branch_id", "block"]).select("branch_id", (F.col("ahead") + F.col("m") - F.col("first")).alias("pos"), "line")
+    return parse(numbered.where(F.trim("line") != ""))
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.metrics.reports import upper_median
+
 #: Labels that a mark may carry besides numbers; others are left out.
 LABELS = ("stage", "kind", "mode", "outcome", "execution")
 EVENT = T.StructType(
@@ -34,13 +36,19 @@ def with_parents(events: DataFrame) -> DataFrame:
 
 
 def in_phases(events: DataFrame, phases: DataFrame) -> DataFrame:
-    """Spans joined to the phases (phase, startMs, endMs) that they begin in; phases are few and broadcast.
+    """Spans joined to the phases (phase, startMs, endMs) that they begin in.
 
-    A phase's bounds belong to it; a span in two phases counts in both.
+    A phase's bounds belong to it; a span in two phases counts in both.  Time is cut
+    into slots as long as the mean phase, which spans and phases join by, so that
+    neither side has to be small.
     """
     at = F.coalesce(events["clockOriginMs"], F.lit(0.0)) + events["startMs"]
-    named = F.broadcast(phases.select("phase", F.col("startMs").alias("from"), F.col("endMs").alias("to")))
-    return events.where("durationMs IS NOT NULL").join(named, at.between(F.col("from"), F.col("to")))
+    width = phases.agg(F.avg(F.col("endMs") - F.col("startMs")).alias("w")).first()["w"] or 1.0
+    slot = lambda moment: F.floor(moment / F.lit(max(width, 1e-6))).cast("long")
+    named = phases.where("endMs >= startMs").select("phase", F.col("startMs").alias("from"), F.col("endMs").alias("to"))
+    named = named.withColumn("slot", F.explode(F.sequence(slot(F.col("from")), slot(F.col("to")))))
+    spans = events.where("durationMs IS NOT NULL").withColumn("slot", slot(at)).withColumn("_at", at)
+    return spans.join(named, "slot").where(F.col("_at").between(F.col("from"), F.col("to"))).drop("slot", "_at")
 
 
 def stage_times(found: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def stage_times(found: DataFrame) -> DataFrame:
         F.count("*").alias("count"),
         F.sum("durationMs").alias("total_ms"),
         F.avg("durationMs").alias("mean_ms"),
-        F.element_at(F.sort_array(F.collect_list("durationMs")), F.floor(F.count("*") / 2).cast("int") + 1).alias("p50_ms"),
+        upper_median("durationMs").alias("p50_ms"),
     )
 
 
