@@ -120,13 +120,6 @@ def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("terms"), F.sum(F.length("term")).cast("long").alias("letters"))
 
 
-@register()
-def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems of the vocabulary with their words."""
-    found = ranking.words(corpus_index(spark, sf_dir))
-    return found.select(tx.stem_udf("term").alias("stem"), "term").where("stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("words"), F.min("term").alias("first"))
-
-
 @register(
     """SELECT doc_id, length(text)::BIGINT AS weight, length(text) <= 280 AS passes, strlen(trim(text)) > 10 AS long_enough FROM documents"""
 )
@@ -209,32 +202,6 @@ def recall_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.totals(found)
 
 
-@register()
-def recall_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pages, with snippets, of a batch of concept queries: stems, exclusions, all of several groups."""
-    plans = {
-        "license": plan({"concepts": [["license", "licence"], ["version"]]}),
-        "all": plan({"concepts": [["the"], ["mit license", "apache license"]], "match": "all"}),
-        "exclude": plan({"concepts": [["que", "der", "los"]], "exclude": ["license"]}),
-    }
-    index = corpus_index(spark, sf_dir)
-    page = recall.top(recall.representatives(index, recall.hits(index, plans)), 50)
-    return recall.with_snippets(index, page, plans).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), "snippet")
-
-
-@register()
-def automatic_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that messages with known, unknown and no words are given."""
-    messages = {
-        "known": automatic.Message("which license version is it?"),
-        "borrowed": automatic.Message("please tell us about that", ["license version of it", "queau reen"]),
-    }
-    found = automatic.lookup(corpus_index(spark, sf_dir), messages)
-    if found is None:
-        return spark.createDataFrame([], "query_id string, rank long, id string, score double, snippet string")
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), "snippet")
-
-
 @register(
     r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+') AS w FROM documents)
 SELECT doc_id::VARCHAR AS id, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)
@@ -438,19 +405,26 @@ def fuzzy_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.col("distance").cast("long"))
 
 
-@register()
+@register(
+    f"""WITH {_STATS}, asked(word) AS (VALUES ('licence'), ('version')),
+near AS (SELECT DISTINCT word, term, levenshtein(term, word) AS far, least(6, round(length(word) * 0.2)) AS bound FROM (SELECT DISTINCT term FROM tf), asked),
+ways AS (
+  SELECT word, term, CASE WHEN term = word THEN 1.0 WHEN starts_with(term, word) THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - length(word)))
+    ELSE 0.45 * length(term) / (length(term) + far) END AS w FROM near WHERE starts_with(term, word) OR far <= bound
+),
+df AS (SELECT word, term, count(*) AS df FROM tf JOIN ways USING (term) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, sum(w * ln(1 + (n.n - df + 0.5) / (df + 0.5)) * (0.5 + tf.n * 2.2 / (tf.n + 1.2 * (0.3 + 0.7 * dl / avgdl)))) * count(DISTINCT word) AS score
+  FROM tf JOIN ways USING (term) JOIN df USING (word, term) JOIN dl USING (doc_id), n GROUP BY doc_id
+)
+SELECT 'q' AS query_id, doc_id::VARCHAR AS id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM scored) WHERE rank <= 20"""
+)
 def fuzzy_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by words, prefixes and near words."""
+    """The best twenty documents by words, prefixes and near words."""
     found = ranking.fuzzy_search(corpus_index(spark, sf_dir), {"q": "licence version"})
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@register()
-def inflected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lemmas of the vocabulary with several words."""
-    return ranking.inflections(corpus_index(spark, sf_dir)).where(F.size("words") > 1)
-
-
 @register(
     """SELECT query_id, doc_id::VARCHAR AS id FROM documents, (VALUES ('a', 'license, version'), ('b', 'the mit'), ('c', '.0')) v(query_id, needle)
 WHERE contains(lower(text), needle)"""

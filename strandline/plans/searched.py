@@ -48,6 +48,39 @@ def recall_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+# What is shown of a row: its text where that fits, else a part of it (without the ellipses) that has a word of the query.
+_SHOWN = "CASE WHEN length(text) <= 240 THEN md5(text) END AS whole, true AS inside, true AS shows"
+
+
+def _shown(page: DataFrame, idx: Index, words: dict[str, str]) -> DataFrame:
+    """Pages with what their snippets are like; ``words`` are patterns of what a query may match."""
+    asked = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    part = F.regexp_replace("snippet", "^…|…$", "")
+    rows = page.join(idx.documents.select("id", "text"), "id")
+    return rows.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), F.when(F.length("text") <= 240, F.md5(F.col("snippet").cast("binary"))).alias("whole"),
+        (F.contains("text", part) & (F.length(part) <= 240)).alias("inside"), F.call_function("rlike", F.lower("snippet"), asked[F.col("query_id")]).alias("shows"),
+    )
+
+
+@register(
+    f"""WITH {bm25(_PAGE_PHRASES)},
+hits AS (SELECT query_id, doc_id, -sum(weight) AS score FROM weights GROUP BY ALL),
+kept AS (SELECT * FROM hits WHERE query_id <> 'without' OR doc_id NOT IN (SELECT doc_id FROM tf WHERE term = 'license')),
+one AS (
+  SELECT query_id, doc_id, score, text, row_number() OVER (PARTITION BY query_id, {_HASH} ORDER BY score, doc_id DESC) AS r FROM kept JOIN documents USING (doc_id)
+),
+ranked AS (SELECT query_id, doc_id, score, text, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id DESC) AS rank FROM one WHERE r = 1)
+SELECT query_id, rank, doc_id::VARCHAR AS id, round(score, 6) AS score, {_SHOWN} FROM ranked WHERE rank <= 50"""
+)
+def recall_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of a batch of concept queries, and what their snippets show."""
+    plans = {q: plan(x) for q, x in _PAGES.items()}
+    idx = corpus_index(spark, sf_dir)
+    page = recall.top(recall.representatives(idx, recall.hits(idx, plans)), 50)
+    return _shown(recall.with_snippets(idx, page, plans), idx, {"any": "licen|apache|version", "one": "version", "without": "the"})
+
+
 @register(
     f"""WITH {bm25("('q', 'version', 'version', '^versions?$', 1.0, 0.5), ('q', 'the', 'the', '^the(s|ing)?$', 1.0, 0.5)")}
 SELECT doc_id::VARCHAR AS id, round(-sum(weight), 6) AS score FROM weights WHERE doc_id < 300 GROUP BY doc_id"""
@@ -62,27 +95,27 @@ def recall_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Words and what words of their stem look like; a word that is its own stem is one phrase of both columns.
 _HINT_PHRASES = (
     "('known', 0, 'license', '^$', 1.0, 0.0), ('known', 1, '', '^licens(e|es|ed|ing|er|ers|ee|ees)$', 0.0, 0.5), "
-    "('known', 2, 'version', '^versions?$', 1.0, 0.5), ('borrowed', 0, 'reen', '^reen(s|ed|ing)?$', 1.0, 0.5)"
+    "('known', 2, 'version', '^versions?$', 1.0, 0.5), ('borrowed', 0, 'apache', '^$', 1.0, 0.0), ('borrowed', 1, '', '^apach(e|es|ed|ing)$', 0.0, 0.5)"
 )
 
 
 @register(
     f"""WITH {bm25(_HINT_PHRASES)},
 hits AS (SELECT query_id, doc_id, -sum(weight) AS score FROM weights GROUP BY ALL),
-one AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id, {_HASH} ORDER BY score, doc_id DESC) AS r FROM hits JOIN documents USING (doc_id)),
-ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id DESC) AS rank FROM one WHERE r = 1)
-SELECT query_id, rank, doc_id::VARCHAR AS id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+one AS (SELECT query_id, doc_id, score, text, row_number() OVER (PARTITION BY query_id, {_HASH} ORDER BY score, doc_id DESC) AS r FROM hits JOIN documents USING (doc_id)),
+ranked AS (SELECT query_id, doc_id, score, text, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id DESC) AS rank FROM one WHERE r = 1)
+SELECT query_id, rank, doc_id::VARCHAR AS id, round(score, 6) AS score, {_SHOWN} FROM ranked WHERE rank <= 5"""
 )
-def automatic_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rows of a message whose words are known, of one that borrows from an earlier text, and of one that is too long."""
+def automatic_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of a message whose words are known, of one that borrows from an earlier text; one that is too long and one too short have none."""
     messages = {
         "known": automatic.Message("which license version is it?"),
-        "borrowed": automatic.Message("please tell us about that qqqxq", ["reen of zzzqz it"]),
+        "borrowed": automatic.Message("please tell us about that qqqxq", ["apache of zzzqz it"]),
         "long": automatic.Message("version " * 60),
         "short": automatic.Message("version"),
     }
-    found = automatic.lookup(corpus_index(spark, sf_dir), messages)
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+    idx = corpus_index(spark, sf_dir)
+    return _shown(automatic.lookup(idx, messages), idx, {"known": "licens|version", "borrowed": "apach"})
 
 
 # ---------------------------------------------------------------- index
@@ -138,12 +171,12 @@ def _lemma_sql(word: str) -> str:
 
 @register(
     f"""WITH {_TERMS}, plain AS (SELECT DISTINCT term FROM terms WHERE regexp_matches(term, '^[a-z]+$'))
-SELECT lemma, count(*)::BIGINT AS words, min(term) AS first, max(term) AS last FROM (SELECT term, {_lemma_sql("term")} AS lemma FROM plain) GROUP BY lemma HAVING count(*) > 1"""
+SELECT lemma, count(*)::BIGINT AS n, string_agg(term, ',' ORDER BY term) AS words FROM (SELECT term, {_lemma_sql("term")} AS lemma FROM plain) GROUP BY lemma HAVING count(*) > 1"""
 )
-def lemma_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lemmas of the vocabulary with several words: how many, the first and the last."""
+def inflected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of the vocabulary with several words."""
     found = ranking.inflections(corpus_index(spark, sf_dir)).where(F.size("words") > 1)
-    return found.select("lemma", F.size("words").cast("long").alias("words"), F.array_min("words").alias("first"), F.array_max("words").alias("last"))
+    return found.select("lemma", F.size("words").cast("long").alias("n"), F.array_join("words", ",").alias("words"))
 
 
 _ENGLISH = ", ".join(f"'{w}'" for w in sorted(alternatives.ENGLISH))
