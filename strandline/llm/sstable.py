@@ -29,8 +29,10 @@ are read, so further columns don't matter.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -38,6 +40,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,9 @@ MAGIC = b"STRSST01"
 FOOTER = struct.Struct("<QQQQQQBxxxxxxxI8s")
 #: Bytes of text of a shard in a large table; a small one has as many shards as there are cores, so that all work.
 SHARD_BYTES = 64 << 20
+#: Bytes of text that are cut and encoded at once, and pre-tokens that a worker remembers.
+SLICE_BYTES = 2 << 20
+REMEMBERED = 120_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key binary, last_key binary, n_bytes long"
 
 
@@ -254,16 +260,24 @@ class WordBpe:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.split = Splitter(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.split = Splitter(pattern)
+        # Of the pattern's alternatives, those that aren't runs of letters, in the syntax of Arrow's engine (whose blanks are
+        # ASCII only; texts with one of the other two of Latin-1 are left to the splitter).
+        kinds = [x for x in pattern.split("|") if x != r"[\p{L}]+"]
+        self.cuts = len(kinds) == pattern.count("|")  # else this isn't such a pattern, and the splitter takes all texts
+        self.between = "(" + "|".join(x.replace(r"\s", r"\t\n\x0b\f\r ") for x in kinds) + ")"
+        self.blanks = re.compile("[\x1c-\x1f\x85\xa0]").search
         self.letters = byte_alphabet()
         most = max(self.library.get_vocab(with_added_tokens=True).values())
         self.width = 2 if most < 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.memo = Memo(self._ids)
+        self.code = "H" if self.width == 2 else "I"
+        self.memo = Memo(self._ids, most=REMEMBERED)
 
     def _ids(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.library.model.tokenize(mapped)], self.kind).tobytes()
+        return array.array(self.code, [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -282,6 +296,33 @@ class WordBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.memo.__getitem__, self.split.latin(text.lower())))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.
+
+        Plain texts are cut by Arrow: what isn't a run of letters gets blanks around
+        it, so that the matches of the pattern are what stands between blanks.  Only
+        the different ones of a batch are looked up one by one.
+        """
+        out: list[bytes | None] = [None if self.cuts and self.plain(x) and not self.blanks(x) else self.encode(x) for x in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        low = pc.utf8_lower(pa.array([texts[i] for i in plain], pa.large_string()))
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(low, self.between, r" \1 "))
+        coded = pc.dictionary_encode(pieces.flatten())
+        ids = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        firsts = np.cumsum(sizes) - sizes
+        used = coded.indices.to_numpy()
+        lengths = sizes[used]
+        ends = np.r_[0, np.cumsum(lengths)]
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((firsts[used] - ends[:-1]).astype(kind), lengths)
+        at += np.arange(ends[-1], dtype=kind)
+        found = np.frombuffer(b"".join(ids), self.kind)[at]
+        edges = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        for i, a, b in zip(plain, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[i] = found[a:b].tobytes()
+        return out
+
 
 @functools.cache
 def coder(path: str) -> WordBpe:
@@ -329,13 +370,14 @@ def write_shards(
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = sink = first = None
         for batch in batches:
-            for part in by_bytes(batch, "text"):
-                for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                for doc_id, ids in zip(part.column("id").to_pylist(), bpe.encode_all(texts), strict=True):
                     if writer is None:
                         store.create_dir(folder, recursive=True)
                         sink = store.open_output_stream(f"{folder}/{name}")
                         writer, first = Writer(sink, bpe.width), key_of(doc_id)
-                    writer.add(key_of(doc_id), bpe.encode(text or "") + end)
+                    writer.add(key_of(doc_id), ids + end)
         if writer is not None:
             last = writer.last
             writer.close()

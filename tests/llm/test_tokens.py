@@ -112,6 +112,10 @@ def test_word_ids_are_the_librarys():
     own = sstable.coder(public_tokenizers.path(sstable.VOCABULARY))
     for text in texts():
         assert np.frombuffer(own.encode(text), own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    many = [*texts(), *map(chr, range(256)), "a'S b'll'VE '#'s 12 don't", " ".join(f"{chr(i)}a{chr(i)}'re" for i in range(256)), "", "\t"]
+    for text, ids in zip(many, own.encode_all(many), strict=True):
+        assert np.frombuffer(ids, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert own.encode_all([]) == []
 
 
 @pytest.mark.parametrize("shards", [None, 5])
