@@ -79,6 +79,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 DROPPED = "\0"
 #: Signs that stand for a letter only inside a word, and letters spelled out with a sign between any two.
 _INNER = re.compile(r"(?<=\w)[!|](?=\w)")
+_HINT = re.compile(r"([-._*~])\w\1\w")
 _SPELLED = re.compile(r"(?<!\w)\w([-._*~])\w(?:\1\w)+(?!\w)")
 
 
@@ -102,10 +103,10 @@ _TABLE = _Folding()
 
 def _folded(text: str) -> tuple[str, np.ndarray | None]:
     """The folded text, and for each of its characters the place in the text if characters were dropped."""
-    if _INNER.search(text):
+    if "!" in text or "|" in text:
         text = _INNER.sub("i", text)
     out = text.translate(_TABLE)
-    spelled = [m.start() + i for m in _SPELLED.finditer(text) for i in range(1, m.end() - m.start(), 2)]
+    spelled = [m.start() + i for m in _SPELLED.finditer(text) for i in range(1, m.end() - m.start(), 2)] if _HINT.search(text) else []
     if not spelled and DROPPED not in out:
         return out, None
     points = np.frombuffer(out.encode("utf-32-le", "surrogatepass"), np.uint32)
