@@ -62,7 +62,7 @@ class History:
         found = recall.representatives(self.index, recall.hits(self.index, plans)).persist()
         try:
             total = {r["query_id"]: r["total"] for r in recall.totals(found).collect()}
-            page = recall.with_snippets(self.index, recall.top(found, limit, offset), plans, budget or self.settings.snippet_budget)
+            page = recall.with_snippets(self.index, recall.top(found, limit, offset), plans, budget or self.settings.snippet_budget, limit)
             rows: dict[str, list[dict]] = {name: [] for name in queries}
             for r in page.orderBy("query_id", "rank").collect():
                 rows[r["query_id"]].append(r.asDict())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -141,14 +143,33 @@ def write(root: str | Path, summary: dict, judges: dict[str, dict], measured: di
     root = Path(root)
     root.mkdir(parents=True, exist_ok=True)
     for name, value in (("aggregate.json", summary | {"judges": judges, "performance": measured}), ("FINAL.json", summary | {"judges": judges})):
-        part = root / f".{name}.part"
-        part.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-        part.replace(root / name)
+        replace(root / name, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
     lines = ["# Report", "", f"State: {summary.get('state', 'unknown')}", "", "| judge | scored | failed | pending | accuracy | mean |", "|-|-|-|-|-|-|"]
     show = lambda v: UNRECORDED if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines += [f"| {name} | " + " | ".join(show(j.get(k)) for k in ("scored", "failed", "pending", "accuracy", "mean_score")) + " |" for name, j in judges.items()]
     lines += ["", "| measure | median | largest | count |", "|-|-|-|-|"]
     lines += [f"| {name} | {show(m['median'])} | {show(m['max'])} | {m['count']} |" for name, m in measured.items()]
     text = "\n".join(lines) + "\n"
-    (root / "REPORT.md").write_text(text, encoding="utf-8")
+    replace(root / "REPORT.md", text)
     return text
+
+
+def replace(path: Path, text: str) -> None:
+    """Write a file whole: beside, to the disk, then under its name; a reader sees the old one or the new one."""
+    part = path.with_name(f".{path.name}.part")
+    with open(part, "w", encoding="utf-8") as out:
+        out.write(text)
+        out.flush()
+        os.fsync(out.fileno())
+    part.replace(path)
+    folder = os.open(path.parent, os.O_RDONLY)
+    try:
+        os.fsync(folder)
+    finally:
+        os.close(folder)
+
+
+def file_hash(path: str | Path) -> str:
+    """SHA-256, in hexadecimal, of a file, read in parts."""
+    with open(path, "rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()

@@ -145,4 +145,4 @@ def lookup(
     if not plans:
         return None
     page = recall.top(recall.representatives(index, recall.hits(index, plans, eligible)), limit)
-    return recall.with_snippets(index, page, plans)
+    return recall.with_snippets(index, page, plans, limit=limit)

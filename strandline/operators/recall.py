@@ -176,18 +176,19 @@ def top(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def recall(index: Index, plans: Mapping[str, Plan], limit: int = 50, offset: int = 0, eligible: int | None = None) -> DataFrame:
     """Pages of queries: query_id, rank, id, date, role, score, without texts."""
     page = top(representatives(index, hits(index, plans, eligible)), limit, offset)
-    return _hydrated(index, page).drop("text")
+    return _hydrated(index, page, limit * len(plans)).drop("text")
 
 
-def _hydrated(index: Index, page: DataFrame) -> DataFrame:
+def _hydrated(index: Index, page: DataFrame, rows: int) -> DataFrame:
+    """Pages of ``rows`` rows at most with what their documents say; few rows go to the texts, not the texts to them."""
     about = index.documents.select("branch_id", "rowid", "id", "date", "role", "text")
-    return about.join(page.select("query_id", "branch_id", "rowid", "rank", "score"), ["branch_id", "rowid"]).select(
+    return about.join(small(page.select("query_id", "branch_id", "rowid", "rank", "score"), rows), ["branch_id", "rowid"]).select(
         "query_id", "branch_id", "rowid", "rank", "id", "date", "role", "score", "text"
     )
 
 
-def with_snippets(index: Index, page: DataFrame, plans: Mapping[str, Plan], budget: int = snippets.BUDGET) -> DataFrame:
-    """Pages with a ``snippet`` for each row; only their texts are read for it."""
+def with_snippets(index: Index, page: DataFrame, plans: Mapping[str, Plan], budget: int = snippets.BUDGET, limit: int = 50) -> DataFrame:
+    """Pages, of ``limit`` rows for each query, with a ``snippet`` for each row; only their texts are read for it."""
     asked = term_table({query: plan.snippet_terms for query, plan in plans.items()})
 
     @F.pandas_udf(T.StringType())
@@ -195,7 +196,7 @@ def with_snippets(index: Index, page: DataFrame, plans: Mapping[str, Plan], budg
         hits = term_hits(query, text, asked)
         return pd.Series([snippets.render(t, snippets.select_window(t, hits.get(row, []), budget)) for row, t in enumerate(text)])
 
-    return _hydrated(index, page).withColumn("snippet", snippet("query_id", "text")).drop("text")
+    return _hydrated(index, page, limit * len(plans)).withColumn("snippet", snippet("query_id", "text")).drop("text")
 
 
 def term_table(terms: Mapping[str, list[tuple[str, bool]]]) -> pd.DataFrame:
