@@ -218,7 +218,7 @@ def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
 m AS (
   SELECT doc_id, i, 2 AS size, 'mit license' AS phrase FROM p WHERE w[i] = 'mit' AND w[i + 1] = 'license'
