@@ -32,8 +32,9 @@ and text are read, so further columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -121,9 +122,14 @@ class Block:
                 hit[start : start + size] = True
 
 
-def frequencies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> np.ndarray:
-    """In how many rows of ``docs`` a word of each cell stands, for the cells that the benchmark's words have; one pass, counted per task."""
+def frequencies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", words: frozenset | None = None) -> np.ndarray:
+    """In how many rows of ``docs`` a word of each cell stands, for the cells that the benchmark's words have; one pass, counted per task.
+
+    Of a small benchmark all ``words`` are known, and only they are counted.
+    """
     context = docs.sparkSession.sparkContext
+    if words is not None:
+        return _added(docs.select(F.col(text_col).cast("string")).mapInArrow(functools.partial(_count_words, context.broadcast(words)), "cell long, n long"))
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(CELLS, bool)
@@ -147,7 +153,23 @@ def frequencies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return _added(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "cell long, n long"))
+
+
+def _count_words(wanted: Broadcast, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, words = Counter(), wanted.value
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(words.intersection(words_of(text.as_py() or "")))
+    by_cell: Counter = Counter()
+    for word, n in counts.items():
+        by_cell[cell_of(word)] += n
+    yield pa.RecordBatch.from_arrays([pa.array(list(by_cell), pa.int64()), pa.array(list(by_cell.values()), pa.int64())], names=["cell", "n"])
+
+
+def _added(counted: DataFrame) -> np.ndarray:
+    """Counts by cell as one array, of CELLS numbers whatever the input."""
+    found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -176,9 +198,10 @@ def _small(benchmark: DataFrame, item_text_col: str, small_bytes: int) -> bool:
 
 def _block(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int) -> Broadcast:
     """The windows of a small benchmark, broadcast."""
-    frequency = frequencies(docs, benchmark, text_col, item_text_col)
-    items = benchmark.select(F.col(item_col), F.col(item_text_col).cast("string")).collect()  # small, as was checked
-    return docs.sparkSession.sparkContext.broadcast(Block([(i, words_of(t or "")) for i, t in items], frequency, window, shingle))
+    rows = benchmark.select(F.col(item_col), F.col(item_text_col).cast("string")).collect()  # small, as was checked
+    items = [(i, words_of(t or "")) for i, t in rows]
+    frequency = frequencies(docs, benchmark, text_col, item_text_col, frozenset(w for _, own in items for w in own))
+    return docs.sparkSession.sparkContext.broadcast(Block(items, frequency, window, shingle))
 
 
 # ---------------------------------------------------------------- large benchmarks
