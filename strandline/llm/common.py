@@ -292,7 +292,7 @@ class Memo(dict):
     is taken over, so that frequent keys stay.
     """
 
-    def __init__(self, make: Callable, start: dict | None = None, most: int = 250_000, longest: int = 64):
+    def __init__(self, make: Callable, start: dict | None = None, most: int = 160_000, longest: int = 64):
         super().__init__(start or {})
         self.make, self.start, self.most, self.longest, self.before = make, start or {}, most, longest, {}
 
