@@ -6,21 +6,20 @@ and classes makes the sum of any rectangle four look-ups.  Sixteen filters, each
 a difference of rectangle sums around a place, give two bits each (a Gray code of
 four levels), which packed make one 32-bit integer for each place.
 
-Two recordings are aligned by a histogram of offsets over their equal integers;
-at the fullest offset the share of differing bits over the overlap decides.
+Two recordings are aligned by a histogram of offsets over their equal integers; at the
+fullest offset, if it has ``VOTES``, the share of differing bits over the overlap
+decides.
+
+Searches take a stated set of queries against all recordings, in blocks.  Recordings
+with the same integers are one class, however many there are, so copies are compared
+once.  The query classes' fingerprints are written to the shared folder by the
+executors; each task holds ``HELD_BYTES`` of recordings and reads block after block,
+one in memory at a time, in which equal integers are found by binary search.  What
+comes of a recording is its best query and a count, so that no pairs are shuffled or
+collected, however many recordings are alike.  (An equi-join on integers, or on pairs
+of them, makes a row for each of those pairs: where a third of the recordings is
+alike, a third of all recordings times a third of the queries.)
 
-Searches take a stated set of queries against all recordings, as an equi-join:
-
-* recordings with the same integers are one class, however many there are, so copies
-  are compared once;
-* queries' integers are a table (integer, class, place); the recordings' integers join
-  it, those that no query has being left out before by a bitmap of fixed size;
-* an integer that very many places have is dealt over salts, so that no task takes
-  all of its pairs;
-* offsets are counted by pair of classes before the shuffle; only pairs with ``VOTES``
-  at an offset fetch both fingerprints, for the bit errors.
-
-So the work follows the integers that are shared, not recordings times queries.
 :func:`alignments` lists all queries that align with a recording; in :func:`search`
 its row has the best one and how many there are.
 
@@ -33,15 +32,19 @@ are read, so further columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import io
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandline.llm.common import bitmap, in_bitmap, join_counted, written
+from strandline.llm.common import fresh_path, join_counted, written
+from strandline.llm.sstable import _file_system, _uri
 
 RATE = 4_000
 FRAME = 1_024
@@ -55,8 +58,9 @@ CUTS = (-0.25, 0.0, 0.25)
 VOTES = 4
 MOST_ERRORS = 0.2
 LEAST_OVERLAP = 16
-#: Places of one integer among the recordings that one task pairs; more are dealt over salts.
-SALTED = 100_000
+#: Query classes of one block, and bytes of fingerprints that a task holds while it reads all blocks.
+BLOCK = 2_048
+HELD_BYTES = 32 << 20
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -150,62 +154,135 @@ def alignment(own: np.ndarray, theirs: np.ndarray, shift: int) -> float | None:
     return errors if errors <= MOST_ERRORS else None
 
 
-def _places(classes: DataFrame, bits=None) -> DataFrame:
-    """Rows (print, class, place) of classes (class, prints); with a bitmap only of integers that may be in it."""
-    shipped = classes.sparkSession.sparkContext.broadcast(bits)
+class Block:
+    """The postings of some query classes: their integers in order, with class and place; ``rows`` say what belongs to each."""
+
+    def __init__(self, rows: list[dict], prints_of: list[bytes]):
+        self.rows = rows
+        self.prints = [np.frombuffer(x, "<u4") for x in prints_of]
+        sizes = [len(x) for x in self.prints]
+        values = np.concatenate([np.zeros(0, np.uint32), *self.prints])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.query = np.repeat(np.arange(len(rows)), sizes)[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]])[order]
+
+    def aligned(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Query, offset, equal integers and share of differing bits of each query that aligns."""
+        first, last = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        sizes = last - first
+        if not sizes.sum():
+            return []
+        at = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+        offset = np.repeat(np.arange(len(own)), sizes) - self.place[at]
+        pairs, votes = np.unique(np.stack([self.query[at], offset]), axis=1, return_counts=True)
+        enough = votes >= VOTES
+        pairs, votes = pairs[:, enough], votes[enough]
+        out = []
+        # Of each query the fullest offset, of equally full ones the least.
+        order = np.lexsort((pairs[1], -votes, pairs[0]))
+        queries, begin = np.unique(pairs[0][order], return_index=True)
+        for query, row in zip(queries, order[begin]):
+            shift, theirs = int(pairs[1, row]), self.prints[query]
+            errors = alignment(own, theirs, shift)
+            if errors is not None:
+                out.append((int(query), shift, int(votes[row]), errors))
+        return out
+
+
+def write_blocks(queries: DataFrame, block: int = BLOCK) -> list[str]:
+    """Write query classes, all columns, in blocks; the files' paths."""
+    root = _uri(fresh_path(queries.sparkSession, "queries"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            store, folder = _file_system(root)
+            store.create_dir(folder, recursive=True)
+            name = f"block-{uuid.uuid4().hex}.arrow"
+            table = pa.Table.from_batches(held)
+            with store.open_output_stream(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as writer:
+                writer.write_table(table)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([table.num_rows], pa.int64())], names=["path", "n"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [np.frombuffer(x, "<u4") for x in part.column("prints").to_pylist()]
-                values = np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.int64)
-                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in own]])
-                if shipped.value is not None:
-                    kept = in_bitmap(shipped.value, values & SLOTS)
-                    values, row, place = values[kept], row[kept], place[kept]
-                columns = [pa.array(values), part.column("class").take(pa.array(row)), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["print", "class", "place"])
-
-    return classes.select("class", "prints").mapInArrow(run, "print long, class string, place int")
-
-
-#: Integers are uniform enough in their low bits to be their own slots.
-SLOTS = (1 << 24) - 1
-
-
-def pairs(classes: DataFrame, queries: DataFrame, salted: int = SALTED) -> DataFrame:
-    """Aligned pairs (class, query, offset, votes, bit_errors) of classes (class, prints) and those that are queries."""
-    theirs = written(_places(queries).select("print", F.col("class").alias("query"), F.col("place").alias("at")), "postings")
-    own = written(_places(classes, bitmap(theirs, F.col("print").bitwiseAND(F.lit(SLOTS)), hashed=True)), "postings")
-    # An integer with over `salted` places, and 1/4096 of all, is dealt over salts; so there are 4,096 of such at most.
-    most = max(salted, own.count() // 4096)
-    hot = own.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > most).select("print", F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    hot = F.broadcast(hot)
-    dealt = own.join(hot, "print", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("class", "place"), F.col("salts")).cast("int"), F.lit(0)))
-    spread = theirs.join(hot, "print", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
-    met = dealt.drop("salts").join(spread.drop("salts"), ["print", "salt"])
-    votes = met.groupBy("class", "query", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
-    # Of each pair the fullest offset, of equally full ones the least.
-    fullest = votes.groupBy("class", "query").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("f"))
-    found = written(fullest.select("class", "query", F.col("f.votes").alias("votes"), (-F.col("f.o")).alias("offset")), "votes")
-    sides = found.join(classes.select("class", "prints"), "class").join(queries.select(F.col("class").alias("query"), F.col("prints").alias("theirs")), "query")
+            for at in range(0, batch.num_rows, block):
+                held.append(batch.slice(at, block))
+                if sum(x.num_rows for x in held) >= block:
+                    yield close()
+        if held and sum(x.num_rows for x in held):
+            yield close()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    manifest = written(queries.mapInArrow(run, "path string, n long"), "query-blocks")
+    return [r["path"] for r in manifest.orderBy("path").collect()]
+
+
+def read_block(path: str) -> Block:
+    store, file = _file_system(path)
+    with store.open_input_file(file) as source:
+        table = pa.ipc.open_file(io.BytesIO(source.read())).read_all()
+    return Block(table.drop_columns(["prints"]).to_pylist(), table.column("prints").to_pylist())
+
+
+def aligned(classes: DataFrame, paths: list[str], schema: str | T.StructType, fold: Callable[[list[str]], tuple[Callable, Callable]]) -> DataFrame:
+    """What ``fold`` makes of the alignments of classes (class, prints) with other classes of the blocks.
+
+    It gets the names of the classes that a task holds and returns two functions: one takes (place
+    of the class, the query class's row, offset, equal integers, share of differing bits), block by
+    block, and one gives record batches when all is done.
+    """
+
+    def held_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+        names, own, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                columns = [part.column(c).to_pylist() for c in ("prints", "theirs", "offset")]
-                errors = [alignment(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), shift) for x, y, shift in zip(*columns, strict=True)]
-                rows = pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("query"), part.column("offset").cast(pa.int64()), part.column("votes"), pa.array(errors, pa.float64())],
-                    names=["class", "query", "offset", "votes", "bit_errors"],
-                )
-                yield rows.filter(rows.column("bit_errors").is_valid())
+            for name, prints_of in zip(batch.column("class").to_pylist(), batch.column("prints").to_pylist(), strict=True):
+                names.append(name)
+                own.append(np.frombuffer(prints_of, "<u4"))
+                size += len(prints_of)
+                if size >= HELD_BYTES:
+                    yield names, own
+                    names, own, size = [], [], 0
+        if names:
+            yield names, own
 
-    ordered = sides.select("class", "query", "offset", "votes", "prints", "theirs")
-    return ordered.mapInArrow(run, "class string, query string, offset long, votes long, bit_errors double")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, own in held_parts(batches):
+            take, give = fold(names)
+            for path in paths:
+                block = read_block(path)
+                for place, (name, mine) in enumerate(zip(names, own, strict=True)):
+                    for query, shift, votes, errors in block.aligned(mine):
+                        if block.rows[query]["class"] != name:
+                            take(place, block.rows[query], shift, votes, errors)
+            yield from give()
+
+    return classes.select("class", "prints").mapInArrow(run, schema)
+
+
+def pairs(classes: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Aligned pairs (class, query, offset, votes, bit_errors) of classes and query classes; a class aligns with itself where it lies."""
+
+    def fold(names: list[str]):
+        rows: list[tuple] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+            for at in range(0, len(rows), 1 << 16):
+                columns = zip(*rows[at : at + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["class", "query", "offset", "votes", "bit_errors"])
+
+        return lambda place, row, shift, votes, errors: rows.append((names[place], row["class"], shift, votes, errors)), give
+
+    found = aligned(classes, write_blocks(queries.select("class", "prints"), block), "class string, query string, offset long, votes long, bit_errors double", fold)
+    return found.unionByName(_with_itself(queries).select("class", F.col("class").alias("query"), F.lit(0).cast("long").alias("offset"), "votes", F.lit(0.0).alias("bit_errors")))
+
+
+def _with_itself(queries: DataFrame) -> DataFrame:
+    """Query classes that align with themselves, with ``votes``: all of their integers, where they lie."""
+    size = F.floor(F.length("prints") / 4).cast("long")
+    return queries.where(size >= max(VOTES, LEAST_OVERLAP)).withColumn("votes", size)
 
 
 def _classes(found: DataFrame, is_query: Column, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -224,44 +301,62 @@ def _classes(found: DataFrame, is_query: Column, id_col: str) -> tuple[DataFrame
     return rows, classes, written(queries, "queries")
 
 
-def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", salted: int = SALTED) -> DataFrame:
+def search(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
     """All rows of ``found`` (id, prints) with the first of their :func:`alignments`, and ``n_matches``."""
     rows, classes, queries = _classes(found, is_query, id_col)
-    aligned = written(pairs(classes, queries, salted), "pairs")
-    named = aligned.join(queries.select(F.col("class").alias("query"), "one", "two", "queries"), "query")
-    rank = lambda who: F.struct((-F.col("votes")).alias("v"), F.col("bit_errors").alias("e"), who["id"].isNull().alias("nameless"), who["id"].alias("id"), F.col("offset").alias("o"))
+    id_type = found.schema[id_col].dataType
+    best_of = [("class", T.StringType()), ("v", T.LongType()), ("e", T.DoubleType()), ("id", id_type), ("o", T.LongType()), ("matches", T.LongType())]
+
+    def fold(names: list[str]):
+        best: list[tuple | None] = [None] * len(names)
+        count = [0] * len(names)
+
+        def take(place: int, row: dict, shift: int, votes: int, errors: float) -> None:
+            count[place] += row["queries"]
+            rank = (-votes, errors, row["id"] is None, row["id"] if row["id"] is not None else 0, shift)
+            if best[place] is None or rank < best[place]:
+                best[place] = rank
+
+        def give() -> Iterator[pa.RecordBatch]:
+            some = [i for i, x in enumerate(best) if x]
+            kind = T.StructType([T.StructField("id", id_type)])
+            ids = pa.array([None if best[i][2] else best[i][3] for i in some], to_arrow_schema(kind).field(0).type)
+            columns = [pa.array([names[i] for i in some], pa.string()), pa.array([best[i][0] for i in some], pa.int64()), pa.array([best[i][1] for i in some], pa.float64()), ids]
+            columns += [pa.array([best[i][4] for i in some], pa.int64()), pa.array([count[i] for i in some], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in best_of])
+
+        return take, give
+
+    asked = queries.select("class", "prints", F.col("one.id").alias("id"), "queries")
+    other = aligned(classes, write_blocks(asked, block), T.StructType([T.StructField(n, t) for n, t in best_of]), fold)
+    other = written(other.select("class", "matches", F.struct("v", "e", F.col("id").isNull().alias("nameless"), "id", "o").alias("other")), "matches")
+    rank = lambda who: F.struct((-F.col("votes")).alias("v"), F.lit(0.0).alias("e"), who["id"].isNull().alias("nameless"), who["id"].alias("id"), F.lit(0).cast("long").alias("o"))
     # Of a row's own class it has to leave itself out: for the least query the second one stands in.
-    best = named.groupBy("class").agg(
-        F.min(F.when(F.col("query") != F.col("class"), rank(F.col("one")))).alias("other"),
-        F.min(F.when(F.col("query") == F.col("class"), rank(F.col("one")))).alias("own"),
-        F.min(F.when((F.col("query") == F.col("class")) & F.col("two").isNotNull(), rank(F.col("two")))).alias("next"),
-        F.min(F.when(F.col("query") == F.col("class"), F.col("one.row"))).alias("least_row"),
-        F.sum("queries").alias("matches"),
+    itself = _with_itself(queries).select(
+        "class", rank(F.col("one")).alias("own"), F.when(F.col("two").isNotNull(), rank(F.col("two"))).alias("next"), F.col("one.row").alias("least_row"), "queries"
     )
-    sized = best.join(classes.select("class", "n"), "class")
-    kept = rows.where("class IS NOT NULL").select("id", "row", "class", "query", F.floor(F.length("prints") / 4).cast("long").alias("n_prints"))
-    with_best = join_counted(kept, sized, "class", "n", kept.count())
+    best = classes.select("class", "n").join(other, "class", "left").join(itself, "class", "left").where("other IS NOT NULL OR own IS NOT NULL")
+    kept = rows.where("class IS NOT NULL").select("row", "class", "query")
+    with_best = join_counted(kept, best, "class", "n", kept.count())
     in_own = F.when(F.col("row") == F.col("least_row"), F.col("next")).otherwise(F.col("own"))
-    matched = with_best.withColumn("best", F.least(F.col("other"), in_own)).withColumn("itself", F.col("query") & F.col("own").isNotNull())
-    hit = matched.select(
-        "row", F.col("best.id").alias("match_id"), F.col("best.o").alias("offset"), (-F.col("best.v")).alias("votes"), F.col("best.e").alias("bit_errors"),
-        (F.col("matches") - F.col("itself").cast("long")).alias("n_matches"),
-    )
+    matched = with_best.withColumn("best", F.least(F.col("other"), in_own)).withColumn("itself", (F.col("query") & F.col("own").isNotNull()).cast("long"))
+    many = F.coalesce("matches", F.lit(0)) + F.coalesce("queries", F.lit(0)) - F.col("itself")
+    hit = matched.select("row", F.col("best.id").alias("match_id"), F.col("best.o").alias("offset"), (-F.col("best.v")).alias("votes"), F.col("best.e").alias("bit_errors"), many.alias("n_matches"))
     every = rows.select("id", "row", F.floor(F.coalesce(F.length("prints"), F.lit(0)) / 4).cast("long").alias("n_prints"))
     out = every.join(hit, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_prints", "match_id", "offset", "votes", "bit_errors", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 
-def alignments(found: DataFrame, is_query: Column, id_col: str = "rec_id", salted: int = SALTED) -> DataFrame:
+def alignments(found: DataFrame, is_query: Column, id_col: str = "rec_id", block: int = BLOCK) -> DataFrame:
     """All rows of ``found`` (id, prints) with ``matches``: every query that aligns, with offset, votes and bit errors, the best first.
 
     This expands copies: a row lists each query of a class.  :func:`search` doesn't.
     """
     rows, classes, queries = _classes(found, is_query, id_col)
-    aligned = pairs(classes, queries, salted)
+    found_pairs = pairs(classes, queries, block)
     asked = rows.where("query AND class IS NOT NULL").select(F.col("class").alias("query"), F.col("id").alias("match_id"), F.col("row").alias("match_row"))
     mine = rows.where("class IS NOT NULL").select("row", "class")
-    listed = mine.join(aligned, "class").join(asked, "query").where("row <> match_row")
+    listed = mine.join(found_pairs, "class").join(asked, "query").where("row <> match_row")
     item = F.struct(
         (-F.col("votes")).alias("v"), F.col("bit_errors").alias("e"), F.col("match_id").isNull().alias("nameless"),
         F.struct("match_id", "offset", "votes", "bit_errors").alias("m"),
@@ -302,7 +397,7 @@ def melodies(df: DataFrame, id_col: str = "vec_id", values_col: str = "embedding
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField(out_col, T.BinaryType())]))
 
 
-def matches(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", every: int = 20, salted: int = SALTED) -> DataFrame:
+def matches(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", every: int = 20, block: int = BLOCK) -> DataFrame:
     """Search all recordings with those whose id is divisible by ``every``."""
-    out = search(recording_prints(df, id_col, audio_col), F.col(id_col) % every == 0, id_col, salted)
+    out = search(recording_prints(df, id_col, audio_col), F.col(id_col) % every == 0, id_col, block)
     return out.withColumn("bit_errors", F.round("bit_errors", 6))

@@ -86,11 +86,12 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("salted", [audio.SALTED, 5])
-def test_search_is_that_of_all_pairs(spark, salted):
+@pytest.mark.parametrize(("block", "held"), [(audio.BLOCK, audio.HELD_BYTES), (2, 1_000)])
+def test_search_is_that_of_all_pairs(spark, monkeypatch, block, held):
+    monkeypatch.setattr(audio, "HELD_BYTES", held)
     rows, table = rows_of(spark)
     plain = [(name, n, hits[0] if hits else (None, None, None, None), len(hits)) for (name, _), (n, hits) in zip(rows, expected(rows), strict=True)]
-    found = [(r["rec_id"], r["n_prints"], (r["match_id"], r["offset"], r["votes"], r["bit_errors"]), r["n_matches"]) for r in audio.matches(table, salted=salted).collect()]
+    found = [(r["rec_id"], r["n_prints"], (r["match_id"], r["offset"], r["votes"], r["bit_errors"]), r["n_matches"]) for r in audio.matches(table, block=block).collect()]
     assert sorted(found, key=repr) == sorted(plain, key=repr)
     best = {r[0]: r[2][0] for r in found}
     assert best[25] == 0 and best[26] == 20 and best[29] == 40 and best[61] == 60

@@ -28,7 +28,7 @@ LICENSED = [
     "Released under the MIT License.", "under THE mit\nlicense; under-the mit license", "Apache License, Version 2.0", "apache license version 3", "CC BY-NC 4.0 and cc by nc",
     "licensed under the GNU General Public License, version 3", "under the m\u0130t license", "mit license under the", "ccc by nc", "\u212aapache license version 2",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "x " * 3000 + "under the mit license " * 50,
-    "under the mit license " * 4_000,
+    "under the mit license " * 4_000, "ma\u212ae the mit", "\u212bpache license version 2", "UNDER THE MIT LICENSE\u212a",
 ]
 
 
@@ -181,6 +181,16 @@ def test_texts_of_no_learned_language_are_rejected(docs_of):
     assert langid.known_language(docs_of(strange), model, 0.0).count() == len(strange)
 
 
+@pytest.mark.skipif(not BIG.exists(), reason="needs the test tables")
+def test_languages_of_held_out_rows(spark):
+    """The figures of the README, on rows that nothing was learned from; and the stage keeps all of them."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = langid.train(docs)
+    rows = langid.languages(docs.where(langid.held_out()), model).join(docs.where("lang IS NOT NULL"), "doc_id").select("lang", "lang_pred", "score").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.995 * len(rows) > 3_000
+    assert sum(r["score"] < model.least for r in rows if r["lang_pred"] != "und") == 0
+
+
 def test_hot_ids_and_texts_neither_fill_nor_starve_the_sample(spark):
     pick = random.Random(6)
     texts = [(invented(x, pick, 10), x) for x in SYLLABLES for _ in range(300)]
