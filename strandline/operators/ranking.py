@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -414,24 +416,75 @@ def answer_phrases(answers: DataFrame) -> DataFrame:
     return runs.where(F.size(F.array_except("phrase", plain)) > 0)
 
 
+#: What each word goes on with: the few words ahead of it, itself first, and their ends; not the whole text.
+_AHEAD = (
+    T.StructField("word", T.StringType()),
+    T.StructField("first", T.IntegerType()),
+    T.StructField("start", T.IntegerType()),
+    T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("ends", T.ArrayType(T.IntegerType())),
+)
+#: Words that a worker holds at once, besides a text's own Arrow batch.
+HELD = 1 << 15
+
+
+def _ahead(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), *columns], names=["id", *(f.name for f in _AHEAD)])
+
+
+def words_ahead(batches: Iterable[pa.RecordBatch], firsts: frozenset[str] | None = None, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows of each word (with ``firsts``, of those alone) of texts (id, text), however long a text is or many a batch has."""
+    for batch in batches:
+        rows: list[tuple] = []
+        at: list[int] = []
+
+        for row, value in enumerate(batch.column("text")):
+            found = _ANSWER.finditer(value.as_py() or "")
+            words: list[str] = []
+            places: list[tuple[int, int]] = []
+            passed = 0  # words before the first of `words`
+            while True:
+                more = list(itertools.islice(found, held))
+                words += [m.group().lower() for m in more]
+                places += [m.span() for m in more]
+                # The last words wait for those ahead of them, if the text goes on.
+                ready = len(words) if len(more) < held else max(0, len(words) - PHRASE[1] + 1)
+                for i in range(ready) if firsts is None else [i for i in range(ready) if words[i] in firsts]:
+                    end = i + PHRASE[1]
+                    rows.append((words[i], passed + i, places[i][0], words[i:end], [e for _, e in places[i:end]]))
+                    at.append(row)
+                    if len(rows) * PHRASE[1] >= held:
+                        yield _ahead(batch, at, rows)
+                        at, rows = [], []
+                passed += ready
+                del words[:ready], places[:ready]
+                if len(more) < held:
+                    break
+        if rows:
+            yield _ahead(batch, at, rows)
+
+
 def answer_places(docs: DataFrame, answers: DataFrame, answers_known: int | None = None) -> DataFrame:
     """Where phrases of answers (query_id, answer) stand in documents (id, text), none inside a longer one.
 
     Words of the documents join phrases by their first word, and the rest is compared
-    where they met.  Rows: query_id, id, phrase, first (the number of its first word),
+    where they met.  ``answers_known`` is a bound of the answers' words: if they are few,
+    only words that begin a phrase leave the Python worker.  Rows: query_id, id, phrase, first (the number of its first word),
     start, end.
     """
     phrases = answer_phrases(answers).withColumn("word", F.element_at("phrase", 1))
+    firsts = None
     # An answer of n words has fewer than 11 n phrases.
-    phrases = phrases if answers_known is None else recall.small(phrases, 11 * answers_known)
-    texts = docs.select("id", answer_words_udf("text").alias("w"))
-    # Each word goes with the few ahead of it, not with the whole text.
-    each = F.expr(f"transform(w, (x, i) -> named_struct('word', x.word, 'first', i, 'w', slice(w, i + 1, {PHRASE[1]})))")
-    there = texts.select("id", F.explode(each).alias("x")).select("id", "x.word", "x.first", "x.w")
-    met = there.join(phrases, "word").where(F.slice(F.transform("w", lambda w: w["word"]), F.lit(1), F.size("phrase")) == F.col("phrase"))
-    places = met.select(
-        "query_id", "id", F.array_join("phrase", " ").alias("phrase"), "first", F.element_at("w", 1)["start"].alias("start"), F.element_at("w", F.size("phrase"))["end"].alias("end")
-    )
+    if answers_known is not None and 11 * answers_known <= recall.BROADCAST_ROWS:
+        firsts = frozenset(r["word"] for r in phrases.select("word").distinct().collect())
+        phrases = F.broadcast(phrases)
+    texts = docs.select("id", "text")
+    schema = T.StructType([texts.schema["id"], *_AHEAD])
+    there = texts.mapInArrow(functools.partial(words_ahead, firsts=firsts), schema)
+    met = there.join(phrases, "word").where(F.slice("words", F.lit(1), F.size("phrase")) == F.col("phrase"))
+    places = met.select("query_id", "id", F.array_join("phrase", " ").alias("phrase"), "first", "start", F.element_at("ends", F.size("phrase")).alias("end"))
     # In the order of beginnings, the longer first, a place is inside another if one before it reaches as far.
     before = Window.partitionBy("query_id", "id").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return places.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached < end").drop("reached")

@@ -163,3 +163,25 @@ def test_traces(spark, tmp_path):
     results = spark.createDataFrame([("s", "a", "n"), ("s", "q", "n")], "session_id string, call_id string, name string")
     known = spark.createDataFrame([("s", "a", "n")], "session_id string, call_id string, name string")
     assert [r["call_id"] for r in traces.unmatched_results(known, results).collect()] == ["q"]
+
+
+def test_places_of_answers_hold_few_words_at_once(spark):
+    """Many texts, and one long one, in a batch: only words that begin a phrase leave the worker, and it never holds them all."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"some words {i} of the MIT license and the mit, license" for i in range(300)] + ["filler " * 200_000 + "the mit license " * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in ranking.words_ahead([batch], frozenset({"the", "mit"})))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4 * 300 + 2 * 3 and peak < 40 << 20
+    every = [r for b in ranking.words_ahead([batch.slice(299)], held=50) for r in b.to_pylist()]
+    assert [r["first"] for r in every if r["id"] == 300] == list(range(200_009))
+    assert every[-9]["words"] == ["the", "mit", "license"] * 3 and every[-20]["words"] == ["filler"] * 11 + ["the"] and every[-1]["ends"] == [len(texts[-1]) - 1]
+    docs = spark.createDataFrame(list(enumerate(texts[290:])), "id long, text string")
+    answers = spark.createDataFrame([("q", "The MIT license")], "query_id string, answer string")
+    known, unknown = (sorted(map(tuple, ranking.answer_places(docs, answers, n).collect())) for n in (3, None))
+    assert known == unknown and len(known) == 2 * 10 + 3
