@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,15 @@ def weights(index: Index, frequencies: DataFrame, phrases: int) -> DataFrame:
     )
 
 
+def summed(by: str, weight: Column) -> Column:
+    """The sum of weights in the order of ``by``, whatever order rows come in: equal documents have equal scores to the last bit.
+
+    Rows of a group are as few as a query's phrases.  Null weights don't count; of none the sum is null.
+    """
+    rows = F.array_sort(F.collect_list(F.when(weight.isNotNull(), F.struct(F.col(by).alias("by"), weight.alias("w")))))
+    return F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["w"]))
+
+
 def hits(index: Index, plans: Mapping[str, Plan], eligible: int | None = None) -> DataFrame:
     """Documents that match, by query, with ``score``.
 
@@ -138,11 +147,11 @@ def hits(index: Index, plans: Mapping[str, Plan], eligible: int | None = None) -
     by_branch = (
         scored.join(small(tables.branches, tables.rows), "phrase")
         .groupBy("query_id", "branch_id", "rowid", "branch", "grp", "size", "negative")
-        .agg(F.count("*").alias("have"), F.sum("weight").alias("weight"))
+        .agg(F.count("*").alias("have"), summed("phrase", F.col("weight")).alias("weight"))
         .where("have = size")
     )
     by_document = by_branch.groupBy("query_id", "branch_id", "rowid").agg(
-        F.sum(F.when(~F.col("negative"), F.col("weight"))).alias("weight"),
+        summed("branch", F.when(~F.col("negative"), F.col("weight"))).alias("weight"),
         F.count_distinct(F.when(~F.col("negative"), F.col("grp"))).alias("groups_met"),
         F.max("negative").alias("excluded"),
     )

@@ -185,3 +185,19 @@ def test_places_of_answers_hold_few_words_at_once(spark):
     answers = spark.createDataFrame([("q", "The MIT license")], "query_id string, answer string")
     known, unknown = (sorted(map(tuple, ranking.answer_places(docs, answers, n).collect())) for n in (3, None))
     assert known == unknown and len(known) == 2 * 10 + 3
+
+
+def test_equal_weights_have_equal_sums_in_any_order(spark):
+    """Copies whose weights come in another order tie to the last bit, so the order of a page is that of its later keys."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from strandline.operators import recall
+
+    weights = list(enumerate([7.675331203985278, 5.796021990542777, 7.142474850582529]))
+    rows = [(doc, *row) for doc, order in enumerate(itertools.permutations(weights)) for row in order] + [(9, 0, None)]
+    table = spark.createDataFrame(rows, "doc int, phrase int, weight double").coalesce(1)
+    plain, found = ({r["doc"]: r["s"] for r in table.groupBy("doc").agg(f.alias("s")).collect()} for f in (F.sum("weight"), recall.summed("phrase", F.col("weight"))))
+    assert len(set(plain.values()) - {None}) > 1
+    assert {found[doc] for doc in range(6)} == {20.613828045110587} and found[9] is None
