@@ -1,18 +1,17 @@
-"""Near duplicates by what texts share: the pipeline's stage, with segmented fingerprints as its filter.
+"""Near duplicates by what texts share: the pipeline's stage, SimHash with multi-index hashing and exact verification.
 
 Two texts are near duplicates if at least ``SIMILARITY`` of their different runs of
 five words (of those that either has) are in both; linked ones form components.
 
-Operator 3 at four bits finds few of these: at a similarity of 0.8 whole fingerprints
-differ by about ten bits of 64, and to meet within a bit segments would have to be so
-short that every text meets a fixed share of all others.  So here each of ``SEGMENTS``
-segments is a fingerprint (majority of bits) of a sample: the three runs of a text
-that come first in one of as many orderings.  Two texts have the same segment if they
-share the three first of both, at a similarity of 0.8 with a chance of a half; all
-sixteen differ for one pair in a hundred thousand.  Texts that meet in a segment are
-candidates; whole fingerprints within ``RADIUS`` bits and sizes that allow the
-similarity are asked next, and what is left is verified exactly, by the runs
-themselves (up to equal hashes of 32 bits).
+Operator 3 at four bits finds few of these: at a similarity of 0.8 fingerprints differ
+by about ten bits of 64.  So here a fingerprint is longer, ``WORDS_OF`` words of 64 bits
+by the same rule (majority of bits over all runs), and multi-index hashing cuts it into
+segments of ``BITS`` bits.  Texts that are equal in a segment are candidates.  At a
+similarity of 0.8 a bit is the same with a chance of 0.848, a segment of 0.1, and all 112
+segments differ for one pair in a hundred thousand (texts of up to five runs agree less
+and have twice the segments).  The distance of the first two words (``RADIUS``, ``BOTH``) and
+sizes that allow the similarity are asked next, and what is left is verified exactly, by
+the runs themselves (up to equal hashes of 32 bits).
 
 What keeps this linear:
 
@@ -50,14 +49,19 @@ from strandline.llm.components import components
 WORDS = 5
 SEED = 42
 SIMILARITY = 0.8
-SEGMENTS = 16
-#: Bits by which the fingerprints of candidates differ at most; at a similarity of 0.8 about 10, give or take 3.
-RADIUS = 20
+#: Words of a fingerprint, those of texts with up to ``TINY`` runs, segments of a word and their bits.
+WORDS_OF, WORDS_OF_TINY, TINY = 28, 56, 5
+SEGMENTS_OF, BITS = 4, 14
+SEGMENTS = WORDS_OF_TINY * SEGMENTS_OF
+#: Bits by which candidates differ at most in the first word, and in the first two; at a similarity of 0.8
+#: about 10, give or take 3, and 20, give or take 4.  Of tiny texts that differ more a few bits more.
+RADIUS, BOTH = 24, 38
+MORE, MORE_BOTH = 4, 8
 #: Texts of a group that one task compares, and their runs.
 GROUP = 16_384
 GROUP_RUNS = 4 << 20
 #: Segments that are verified together.
-ROUNDS = ((0, 1), (1, 4), (4, SEGMENTS))
+ROUNDS = ((0, 4), (4, 24), (24, SEGMENTS))
 #: Rows and candidates that are looked at at once, and groups that are compared many at once.
 ROWS, CANDIDATES, SMALL = 64, 1 << 15, 24
 SLACK = 1e-9
@@ -78,31 +82,37 @@ def runs(text: str) -> np.ndarray:
     return np.unique(np.array([hashed(line[a : b - 1], SEED) for a, b in zip(starts, starts[WORDS:])], np.uint64))
 
 
-def fingerprint(found: np.ndarray) -> int:
-    """The bits that over half of the runs have."""
-    if not len(found):
-        return 0
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        rows = found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * bits > len(found)).astype(np.uint8), bitorder="little").view("<u8")[0])
+#: What tells the hashes of a run for the words of a fingerprint apart, from a seeded generator.
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS_OF_TINY, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-#: What each ordering multiplies a run's hash by: odd numbers from a seeded generator.
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SEGMENTS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+def _hashes(found: np.ndarray, words: int) -> np.ndarray:
+    """A row of ``words`` hashes for each run."""
+    x = found[:, None] + _SALTS[:words]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The bits that over half of the runs have, as words of 64."""
+    words = WORDS_OF if len(found) > TINY else WORDS_OF_TINY
+    bits = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), 255):
+        rows = _hashes(found[at : at + 255], words).astype("<u8").view(np.uint8).reshape(-1, 8 * words)
+        bits += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)  # 255 at most
+    return np.packbits(2 * bits > len(found), bitorder="little").view("<u8")
+
+
+def cut(fp: np.ndarray) -> np.ndarray:
+    """The segments of a fingerprint, one after another."""
+    return ((fp[:, None] >> (np.arange(SEGMENTS_OF, dtype=np.uint64) * np.uint64(BITS))) & np.uint64((1 << BITS) - 1)).astype(np.int16).ravel()
 
 
 def segments(found: np.ndarray) -> list[int]:
-    """The segments of a text with these runs, as signed longs; texts with fewer than four runs have none."""
-    if len(found) < 4:
-        return []
-    out = np.zeros(SEGMENTS, np.uint64)
-    for i, factor in enumerate(_FACTORS):
-        order = found * factor
-        a, b, c = found[np.argpartition(order, 2)[:3]]
-        out[i] = (a & b) | (a & c) | (b & c)
-    return out.view(np.int64).tolist()
+    """The segments of a text with these runs; texts with fewer than four runs have none."""
+    return cut(fingerprint(found)).tolist() if len(found) >= 4 else []
 
 
 def _node(found: np.ndarray) -> int:
@@ -148,39 +158,39 @@ def _edges_of(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.r_[begins, len(k)])
 
 
-def _with_partner(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """For groups of the same size, one a row: which texts have a candidate in their group that they aren't linked to."""
-    near = np.bitwise_count(fps[:, :, None] ^ fps[:, None, :]) <= radius
-    near &= np.minimum(sizes[:, :, None], sizes[:, None, :]) >= similarity * np.maximum(sizes[:, :, None], sizes[:, None, :]) - SLACK
-    return (near & (roots[:, :, None] != roots[:, None, :])).any(2)
+def _near(fps, others, more, their_more, sizes, their_sizes, similarity: float, radius: int) -> np.ndarray:
+    """Whether distances and sizes allow the similarity."""
+    least, most = np.minimum(sizes, their_sizes), np.maximum(sizes, their_sizes)
+    first, tiny = np.bitwise_count(fps ^ others), least <= TINY
+    near = first <= radius + MORE * tiny
+    near &= first + np.bitwise_count(more ^ their_more) <= BOTH + MORE_BOTH * tiny
+    return near & (least >= similarity * most - SLACK)
 
 
 def candidates(table: pa.Table, similarity: float, radius: int) -> np.ndarray:
-    """Which rows (k, root, fp, size; sorted by k) have a candidate in their group that they aren't linked to."""
-    k, fps, sizes, roots = (table.column(c).to_numpy() for c in ("k", "fp", "size", "root"))
-    fps = fps.view(np.uint64)
+    """Which rows (k, root, fp, more, size; sorted by k) have a candidate in their group that they aren't linked to."""
+    k, fps, more, sizes, roots = (table.column(c).to_numpy() for c in ("k", "fp", "more", "size", "root"))
+    fps, more = fps.view(np.uint64), more.view(np.uint64)
     out = np.zeros(len(k), bool)
     begins, counts = _edges_of(k)
     for n in np.unique(counts[counts > 1]):
         at = begins[counts == n]
         if n <= SMALL:
-            for some in np.array_split(at, max(1, len(at) * n * n // 2_000_000)):
+            for some in np.array_split(at, max(1, len(at) * n * n // 500_000)):
                 rows = some[:, None] + np.arange(n)
-                out[rows] = _with_partner(fps[rows], sizes[rows], roots[rows], similarity, radius)
+                x, y = rows[:, :, None], rows[:, None, :]
+                near = _near(fps[x], fps[y], more[x], more[y], sizes[x], sizes[y], similarity, radius)
+                out[rows] = (near & (roots[x] != roots[y])).any(2)
         else:
             for begin in at:
                 every = slice(begin, begin + n)
                 for part in range(begin, begin + n, ROWS):
                     own = slice(part, min(begin + n, part + ROWS))
-                    out[own] = _with_partner_of(fps[own], sizes[own], roots[own], fps[every], sizes[every], roots[every], similarity, radius)
+                    near = _near(fps[own, None], fps[every], more[own, None], more[every], sizes[own, None], sizes[every], similarity, radius)
+                    out[own] = (near & (roots[own, None] != roots[every])).any(1)
     return out
 
 
-def _with_partner_of(fps, sizes, roots, others, their_sizes, their_roots, similarity: float, radius: int) -> np.ndarray:
-    near = (np.bitwise_count(fps[:, None] ^ others) <= radius) & (roots[:, None] != their_roots)
-    return (near & (np.minimum(sizes[:, None], their_sizes) >= similarity * np.maximum(sizes[:, None], their_sizes) - SLACK)).any(1)
-
-
 def links(nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[list[int], list[int]]:
     """Edges that span the links between texts of one group beyond those that ``roots`` has already."""
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -191,7 +201,7 @@ def links(nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.n
     for at in range(0, len(fps), ROWS):
         own = sizes[at : at + ROWS]
         end = int(np.searchsorted(sizes, own[-1] / similarity + SLACK, "right"))
-        a, b = np.nonzero(np.bitwise_count(fps[at : at + ROWS, None] ^ fps[None, at + 1 : end]) <= radius)
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + ROWS, None] ^ fps[None, at + 1 : end]) <= radius + MORE * (own[:, None] <= TINY))
         a, b = a + at, b + at + 1
         fits = (a < b) & (sizes[a] >= similarity * sizes[b] - SLACK)
         a, b = a[fits], b[fits]
@@ -212,7 +222,7 @@ def links(nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.n
 # ---------------------------------------------------------------- tables
 
 
-_LIGHT = "k long, node long, root long, fp long, size long"
+_LIGHT = "k long, node long, root long, fp long, more long, size long"
 
 
 def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_runs: int) -> DataFrame:
@@ -250,7 +260,7 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
     # Each of these groups has over `group` texts or `group_runs` runs, so there are few.
     dealt = large.join(F.broadcast(sums.select("k", count.alias("blocks"))), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "size")
+    keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size")
     return met.unionByName(searched(keyed, 1 << 62, 1 << 62).select("k", "node", "root"))
 
 
@@ -297,16 +307,17 @@ def _verify(similarity: float, radius: int) -> Callable:
 
 
 def rooted(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, group: int = GROUP, group_runs: int = GROUP_RUNS) -> DataFrame | None:
-    """Nodes that are linked to others, with ``root``; ``nodes`` have node, fp, size, segs and place, ``rows`` have text, node and place."""
+    """Nodes that are linked to others, with ``root``; ``nodes`` have node, fp, more, size, segs and place, ``rows`` have text, node and place."""
     edges = found = None
     for first, last in ROUNDS:
-        known = nodes.select("node", "fp", "size", "segs", "place")
+        known = nodes.select("node", "fp", "more", "size", "segs")
         if found is None:
             known = known.withColumn("root", F.col("node"))
         else:
             known = known.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        some = known.select("node", "root", "fp", "size", F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
-        met = _meeting(some.select(F.xxhash64(F.col("segment") + first, "s").alias("k"), "node", "root", "fp", "size"), similarity, radius, group, group_runs)
+        some = known.select("node", "root", "fp", "more", "size", F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
+        value = ((F.col("segment") + first) * (1 << BITS) + F.col("s")).cast("long")
+        met = _meeting(some.select(value.alias("k"), "node", "root", "fp", "more", "size"), similarity, radius, group, group_runs)
         if met.isEmpty():
             continue
         wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "place")
@@ -333,29 +344,32 @@ def one_of_each(
 
     The rows are written once, with what the search needs of them, and read again for the choice.
     """
-    place, key, bits, count, parts = (unused(df, name) for name in ("kept_place", "kept_node", "kept_fp", "kept_size", "kept_segments"))
+    place, key, bits, others, count, parts = (unused(df, name) for name in ("kept_place", "kept_node", "kept_fp", "kept_more", "kept_size", "kept_segments"))
     names = df.columns
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (key, bits, count)), T.StructField(parts, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (key, bits, others, count)), T.StructField(parts, T.ArrayType(T.ShortType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, text_col):
                 sets = [runs(x or "") for x in part.column(text_col).to_pylist()]
-                fps = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
+                fps = [fingerprint(x) for x in sets]
+                two = np.array([x[:2] for x in fps], np.uint64).reshape(-1, 2).view(np.int64)
+                cuts = [cut(fp) if len(x) >= 4 else np.zeros(0, np.int16) for fp, x in zip(fps, sets, strict=True)]
                 columns = [
                     pa.array([_node(x) for x in sets], pa.int64()),
-                    pa.array(fps),
+                    pa.array(two[:, 0]),
+                    pa.array(two[:, 1]),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([segments(x) for x in sets], pa.list_(pa.int64())),
+                    pa.array(cuts, pa.list_(pa.int16())),
                 ]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, key, bits, count, parts])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, key, bits, others, count, parts])
 
     rows = written(df.mapInArrow(run, schema).withColumn(place, F.monotonically_increasing_id()), "documents")
     plain = rows.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key).alias("node"), F.col(bits).alias("fp"), F.col(count).alias("size"), F.col(parts).alias("segs"), F.col(place).alias("place")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key).alias("node"), F.col(bits).alias("fp"), F.col(others).alias("more"), F.col(count).alias("size"), F.col(parts).alias("segs"), F.col(place).alias("place")
     )
     least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "place")).alias("least")
-    about = [F.first(c).alias(c) for c in ("fp", "size", "segs")]
+    about = [F.first(c).alias(c) for c in ("fp", "more", "size", "segs")]
     # Two different sets share fewer than (smaller set) / (smaller set + 1) of their members.
     fewest = math.ceil(similarity / max(1 - similarity, SLACK) - 1e-6)
     nodes = written(plain.drop("text").groupBy("node").agg(least, *about).withColumn("place", F.col("least.place")), "nodes")
