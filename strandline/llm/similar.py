@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import bitmap, by_bytes, dropped, in_bitmap, slot, unused, written
+from strandline.llm.common import bitmap, by_bytes, in_bitmap, slot, unused, written
 from strandline.llm.components import components
 
 WORDS = 5
@@ -222,6 +222,11 @@ def links(nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, sets: list[np.n
 # ---------------------------------------------------------------- tables
 
 
+def _few_files(df: DataFrame) -> DataFrame:
+    """What many tasks found, a few rows each, dealt out to as many files as there are cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 _LIGHT = "k long, node long, root long, fp long, more long, size long"
 
 
@@ -248,7 +253,7 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
         return run
 
     def searched(keyed: DataFrame, most: int, most_runs: int) -> DataFrame:
-        return written(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search(most, most_runs), f"{_LIGHT}, large boolean"), "meeting")
+        return written(_few_files(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search(most, most_runs), f"{_LIGHT}, large boolean")), "meeting")
 
     found = searched(rows, group, group_runs)
     large = found.where("large")
@@ -321,11 +326,10 @@ def rooted(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, ra
         if met.isEmpty():
             continue
         wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "place")
-        sets = written(_runs_table(rows, wanted.select("place")), "runs")
+        sets = _runs_table(rows, wanted.select("place"))
         about = wanted.select("node", "fp").join(sets.groupBy("node").agg(F.first("runs").alias("runs")), "node")
         sorted_rows = met.join(about, "node").select("k", "node", "root", "fp", "runs").repartition("k").sortWithinPartitions("k")
-        new = written(sorted_rows.mapInArrow(_verify(similarity, radius), "a long, b long"), "links")
-        dropped(sets)
+        new = written(_few_files(sorted_rows.mapInArrow(_verify(similarity, radius), "a long, b long")), "links")
         edges = new if edges is None else edges.union(new)
         found = written(components(edges), "roots")
     return found
