@@ -167,11 +167,29 @@ def _near(fps, others, more, their_more, sizes, their_sizes, similarity: float,
     return near & (least >= similarity * most - SLACK)
 
 
-def candidates(table: pa.Table, similarity: float, radius: int) -> np.ndarray:
-    """Which rows (k, root, fp, more, size; sorted by k) have a candidate in their group that they aren't linked to."""
+def _met_before(first: np.ndarray, second: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Whether pairs, by the bits in which their first two words differ, are equal in a segment of those before this one."""
+    out = np.zeros(len(first), bool)
+    for number in range(2 * SEGMENTS_OF):
+        word, at = (first, second)[number // SEGMENTS_OF], np.uint64(number % SEGMENTS_OF * BITS)
+        out |= ((word >> at & np.uint64((1 << BITS) - 1)) == 0) & (number < segment)
+    return out
+
+
+def candidates(table: pa.Table, similarity: float, radius: int, by_segment: bool = False) -> np.ndarray:
+    """Which rows (k, root, fp, more, size; sorted by k) have a candidate in their group that they aren't linked to.
+
+    With ``by_segment`` the key tells the segment; pairs that are equal in an earlier one were verified there.
+    """
     k, fps, more, sizes, roots = (table.column(c).to_numpy() for c in ("k", "fp", "more", "size", "root"))
     fps, more = fps.view(np.uint64), more.view(np.uint64)
     out = np.zeros(len(k), bool)
+
+    def mark(a: np.ndarray, b: np.ndarray) -> None:
+        if by_segment:
+            a = a[~_met_before(fps[a] ^ fps[b], more[a] ^ more[b], k[a] >> BITS)]
+        out[a] = True
+
     begins, counts = _edges_of(k)
     for n in np.unique(counts[counts > 1]):
         at = begins[counts == n]
@@ -180,14 +198,16 @@ def candidates(table: pa.Table, similarity: float, radius: int) -> np.ndarray:
                 rows = some[:, None] + np.arange(n)
                 x, y = rows[:, :, None], rows[:, None, :]
                 near = _near(fps[x], fps[y], more[x], more[y], sizes[x], sizes[y], similarity, radius)
-                out[rows] = (near & (roots[x] != roots[y])).any(2)
+                group, i, j = np.nonzero(near & (roots[x] != roots[y]))
+                mark(rows[group, i], rows[group, j])
         else:
             for begin in at:
                 every = slice(begin, begin + n)
                 for part in range(begin, begin + n, ROWS):
                     own = slice(part, min(begin + n, part + ROWS))
                     near = _near(fps[own, None], fps[every], more[own, None], more[every], sizes[own, None], sizes[every], similarity, radius)
-                    out[own] = (near & (roots[own, None] != roots[every])).any(1)
+                    i, j = np.nonzero(near & (roots[own, None] != roots[every]))
+                    mark(part + i, begin + j)
     return out
 
 
@@ -237,7 +257,7 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
     blocks is a group.
     """
 
-    def search(most: int, most_runs: int) -> Callable:
+    def search(most: int, most_runs: int, by_segment: bool) -> Callable:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, large in _groups(batches, most):
                 passed = np.full(table.num_rows, large)
@@ -246,16 +266,16 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
                     runs_of = np.add.reduceat(table.column("size").to_numpy(), begins)
                     passed = np.repeat((counts > most) | (runs_of > most_runs) & (counts > 1), counts)
                 kept = passed.copy()
-                kept[~passed] = candidates(table.filter(pa.array(~passed)), similarity, radius)
+                kept[~passed] = candidates(table.filter(pa.array(~passed)), similarity, radius, by_segment)
                 out = table.append_column("large", pa.array(passed)).filter(pa.array(kept))
                 yield from out.to_batches()
 
         return run
 
-    def searched(keyed: DataFrame, most: int, most_runs: int) -> DataFrame:
-        return written(_few_files(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search(most, most_runs), f"{_LIGHT}, large boolean")), "meeting")
+    def searched(keyed: DataFrame, most: int, most_runs: int, by_segment: bool) -> DataFrame:
+        return written(_few_files(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search(most, most_runs, by_segment), f"{_LIGHT}, large boolean")), "meeting")
 
-    found = searched(rows, group, group_runs)
+    found = searched(rows, group, group_runs, True)
     large = found.where("large")
     met = found.where("NOT large").select("k", "node", "root")
     if large.isEmpty():
@@ -266,7 +286,7 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
     dealt = large.join(F.broadcast(sums.select("k", count.alias("blocks"))), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size")
-    return met.unionByName(searched(keyed, 1 << 62, 1 << 62).select("k", "node", "root"))
+    return met.unionByName(searched(keyed, 1 << 62, 1 << 62, False).select("k", "node", "root"))
 
 
 def _runs_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -109,3 +109,16 @@ def test_copies_are_no_hot_task(spark):
     table = spark.range(6_000).selectExpr("id AS doc_id", f"CASE id % 3 WHEN 0 THEN '{words}' WHEN 1 THEN concat('{words} and ', id) ELSE concat_ws(' ', transform(sequence(1, 30), x -> concat('u', id, x))) END AS text")
     kept = {r["doc_id"] for r in similar.one_of_each(table, group=500).collect()}
     assert kept == {0, *range(2, 6_000, 3)}
+
+
+def test_segments_are_those_of_the_whole_fingerprint():
+    """Multi-index hashing cuts one SimHash fingerprint over all runs; a pair goes on from the first segment that it shares."""
+    found = np.random.default_rng(5).integers(0, 1 << 63, 300, dtype=np.uint64)
+    words = similar.fingerprint(found)
+    assert len(words) == similar.WORDS_OF and len(similar.segments(found)) == similar.WORDS_OF * similar.SEGMENTS_OF
+    assert similar.segments(found)[:5] == [*(int(words[0]) >> 14 * i & 0x3FFF for i in range(4)), int(words[1]) & 0x3FFF]
+    votes = similar._hashes(found, similar.WORDS_OF)[:, 3]
+    assert [int(words[3]) >> b & 1 for b in range(64)] == [int(2 * sum(int(v) >> b & 1 for v in votes) > 300) for b in range(64)]
+    low = np.array([(1 << 14) - 1 << 14], np.uint64)  # equal in segments 0, 2 and 3 of the first word
+    full = np.array([(1 << 56) - 1], np.uint64)
+    assert [bool(similar._met_before(x, full, np.array([n]))[0]) for x, n in ((low, 0), (low, 1), (full, 7), (full, 90))] == [False, True, False, False]
