@@ -9,9 +9,15 @@ by the same rule (majority of bits over all runs), and multi-index hashing cuts
 segments of ``BITS`` bits.  Texts that are equal in a segment are candidates.  At a
 similarity of 0.8 a bit is the same with a chance of 0.848, a segment of 0.1, and all 112
 segments differ for one pair in a hundred thousand (texts of up to five runs agree less
-and have twice the segments).  The distance of the first two words (``RADIUS``, ``BOTH``) and
-sizes that allow the similarity are asked next, and what is left is verified exactly, by
-the runs themselves (up to equal hashes of 32 bits).
+and have twice the segments).  The distance of the first two words (``RADIUS``, ``BOTH``),
+sizes and parities that allow the similarity are asked next, and what is left is verified
+exactly, by the runs themselves (up to equal hashes of 32 bits).
+
+A text's parities are ``64 * ODD`` bits: whether the number of its runs at each of so many
+places is odd.  A run that two texts share changes both alike, so they differ in no more bits
+than there are runs which only one of them has; a pair whose parities differ in more bits than
+the similarity allows such runs is surely none.  That leaves out most texts which are near a
+large group but not similar enough, and meet its members in segment after segment.
 
 What keeps this linear:
 
@@ -57,6 +63,8 @@ SEGMENTS = WORDS_OF_TINY * SEGMENTS_OF
 #: about 10, give or take 3, and 20, give or take 4.  Of tiny texts that differ more a few bits more.
 RADIUS, BOTH = 24, 38
 MORE, MORE_BOTH = 4, 8
+#: Words of a text's parities; they tell the most of texts with up to some 64 * ODD runs, and nothing of very long ones.
+ODD = 3
 #: Texts of a group that one task compares, and their runs.
 GROUP = 16_384
 GROUP_RUNS = 4 << 20
@@ -110,6 +118,12 @@ def cut(fp: np.ndarray) -> np.ndarray:
     return ((fp[:, None] >> (np.arange(SEGMENTS_OF, dtype=np.uint64) * np.uint64(BITS))) & np.uint64((1 << BITS) - 1)).astype(np.int16).ravel()
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ``64 * ODD`` places whether the number of runs there is odd, as words of 64."""
+    counts = np.bincount((found % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD)
+    return np.packbits(counts & 1 == 1, bitorder="little").view("<u8")
+
+
 def segments(found: np.ndarray) -> list[int]:
     """The segments of a text with these runs; texts with fewer than four runs have none."""
     return cut(fingerprint(found)).tolist() if len(found) >= 4 else []
@@ -177,18 +191,26 @@ def _met_before(first: np.ndarray, second: np.ndarray, segment: np.ndarray) -> n
 
 
 def candidates(table: pa.Table, similarity: float, radius: int, by_segment: bool = False) -> np.ndarray:
-    """Which rows (k, root, fp, more, size; sorted by k) have a candidate in their group that they aren't linked to.
+    """Which rows (k, root, fp, more, size, parities; sorted by k) have a candidate in their group that they aren't linked to.
 
     With ``by_segment`` the key tells the segment; pairs that are equal in an earlier one were verified there.
     """
     k, fps, more, sizes, roots = (table.column(c).to_numpy() for c in ("k", "fp", "more", "size", "root"))
     fps, more = fps.view(np.uint64), more.view(np.uint64)
+    odd = [table.column(c).to_numpy().view(np.uint64) for c in _ODD]
     out = np.zeros(len(k), bool)
 
     def mark(a: np.ndarray, b: np.ndarray) -> None:
-        if by_segment:
-            a = a[~_met_before(fps[a] ^ fps[b], more[a] ^ more[b], k[a] >> BITS)]
-        out[a] = True
+        for at in range(0, len(a), CANDIDATES):
+            x, y = a[at : at + CANDIDATES], b[at : at + CANDIDATES]
+            apart = np.zeros(len(x), np.int64)
+            for word in odd:
+                apart += np.bitwise_count(word[x] ^ word[y])
+            # Of n and m runs, so many at most are in one of two similar texts only.
+            kept = apart <= (sizes[x] + sizes[y]) * ((1 - similarity) / (1 + similarity)) + SLACK
+            if by_segment:
+                kept &= ~_met_before(fps[x] ^ fps[y], more[x] ^ more[y], k[x] >> BITS)
+            out[x[kept]] = True
 
     begins, counts = _edges_of(k)
     for n in np.unique(counts[counts > 1]):
@@ -247,7 +269,8 @@ def _few_files(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-_LIGHT = "k long, node long, root long, fp long, more long, size long"
+_ODD = [f"odd{i}" for i in range(ODD)]
+_LIGHT = ", ".join(f"{c} long" for c in ("k", "node", "root", "fp", "more", "size", *_ODD))
 
 
 def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_runs: int) -> DataFrame:
@@ -285,7 +308,7 @@ def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_
     # Each of these groups has over `group` texts or `group_runs` runs, so there are few.
     dealt = large.join(F.broadcast(sums.select("k", count.alias("blocks"))), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size")
+    keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size", *_ODD)
     return met.unionByName(searched(keyed, 1 << 62, 1 << 62, False).select("k", "node", "root"))
 
 
@@ -332,17 +355,17 @@ def _verify(similarity: float, radius: int) -> Callable:
 
 
 def rooted(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, group: int = GROUP, group_runs: int = GROUP_RUNS) -> DataFrame | None:
-    """Nodes that are linked to others, with ``root``; ``nodes`` have node, fp, more, size, segs and place, ``rows`` have text, node and place."""
+    """Nodes that are linked to others, with ``root``; ``nodes`` have node, fp, more, size, parities, segs and place, ``rows`` have text, node and place."""
     edges = found = None
     for first, last in ROUNDS:
-        known = nodes.select("node", "fp", "more", "size", "segs")
+        known = nodes.select("node", "fp", "more", "size", *_ODD, "segs")
         if found is None:
             known = known.withColumn("root", F.col("node"))
         else:
             known = known.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        some = known.select("node", "root", "fp", "more", "size", F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
+        some = known.select("node", "root", "fp", "more", "size", *_ODD, F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
         value = ((F.col("segment") + first) * (1 << BITS) + F.col("s")).cast("long")
-        met = _meeting(some.select(value.alias("k"), "node", "root", "fp", "more", "size"), similarity, radius, group, group_runs)
+        met = _meeting(some.select(value.alias("k"), "node", "root", "fp", "more", "size", *_ODD), similarity, radius, group, group_runs)
         if met.isEmpty():
             continue
         wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "place")
@@ -369,8 +392,9 @@ def one_of_each(
     The rows are written once, with what the search needs of them, and read again for the choice.
     """
     place, key, bits, others, count, parts = (unused(df, name) for name in ("kept_place", "kept_node", "kept_fp", "kept_more", "kept_size", "kept_segments"))
+    odd = [unused(df, f"kept_{c}") for c in _ODD]
     names = df.columns
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (key, bits, others, count)), T.StructField(parts, T.ArrayType(T.ShortType()))])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (key, bits, others, count, *odd)), T.StructField(parts, T.ArrayType(T.ShortType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,22 +402,24 @@ def one_of_each(
                 sets = [runs(x or "") for x in part.column(text_col).to_pylist()]
                 fps = [fingerprint(x) for x in sets]
                 two = np.array([x[:2] for x in fps], np.uint64).reshape(-1, 2).view(np.int64)
+                parity = np.array([parities(x) for x in sets], np.uint64).reshape(-1, ODD).view(np.int64)
                 cuts = [cut(fp) if len(x) >= 4 else np.zeros(0, np.int16) for fp, x in zip(fps, sets, strict=True)]
                 columns = [
                     pa.array([_node(x) for x in sets], pa.int64()),
                     pa.array(two[:, 0]),
                     pa.array(two[:, 1]),
                     pa.array([len(x) for x in sets], pa.int64()),
+                    *(pa.array(parity[:, i]) for i in range(ODD)),
                     pa.array(cuts, pa.list_(pa.int16())),
                 ]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, key, bits, others, count, parts])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, key, bits, others, count, *odd, parts])
 
     rows = written(df.mapInArrow(run, schema).withColumn(place, F.monotonically_increasing_id()), "documents")
     plain = rows.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key).alias("node"), F.col(bits).alias("fp"), F.col(others).alias("more"), F.col(count).alias("size"), F.col(parts).alias("segs"), F.col(place).alias("place")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key).alias("node"), F.col(bits).alias("fp"), F.col(others).alias("more"), F.col(count).alias("size"), *(F.col(c).alias(o) for c, o in zip(odd, _ODD, strict=True)), F.col(parts).alias("segs"), F.col(place).alias("place")
     )
     least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "place")).alias("least")
-    about = [F.first(c).alias(c) for c in ("fp", "more", "size", "segs")]
+    about = [F.first(c).alias(c) for c in ("fp", "more", "size", *_ODD, "segs")]
     # Two different sets share fewer than (smaller set) / (smaller set + 1) of their members.
     fewest = math.ceil(similarity / max(1 - similarity, SLACK) - 1e-6)
     nodes = written(plain.drop("text").groupBy("node").agg(least, *about).withColumn("place", F.col("least.place")), "nodes")

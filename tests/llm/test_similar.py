@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -122,3 +123,37 @@ def test_segments_are_those_of_the_whole_fingerprint():
     low = np.array([(1 << 14) - 1 << 14], np.uint64)  # equal in segments 0, 2 and 3 of the first word
     full = np.array([(1 << 56) - 1], np.uint64)
     assert [bool(similar._met_before(x, full, np.array([n]))[0]) for x, n in ((low, 0), (low, 1), (full, 7), (full, 90))] == [False, True, False, False]
+
+
+def test_parities_leave_out_no_similar_pair():
+    """Sets of all sizes at the least similarity, or a little above: their parities never differ in too many bits."""
+    pick = np.random.default_rng(7)
+    for own in [*range(1, 40), 60, 100, 400]:
+        for both in (8 * own, 8 * own + 1, 9 * own):
+            shared, a, b = (pick.integers(0, 1 << 63, n, dtype=np.uint64) for n in (both, own, own))
+            sets = [np.unique(np.r_[shared, a]), np.unique(np.r_[shared, b]), shared, np.unique(np.r_[shared, a, b])]
+            for x, y in ((0, 1), (2, 3)):
+                x, y = sets[x], sets[y]
+                assert similarity(set(x.tolist()), set(y.tolist())) >= 0.8
+                columns = {c: np.zeros(2, np.int64) for c in ("k", "fp", "more")} | {"root": np.arange(2), "size": np.array([len(x), len(y)])}
+                odd = np.array([similar.parities(x), similar.parities(y)]).view(np.int64)
+                table = pa.table(columns | {f"odd{i}": odd[:, i] for i in range(similar.ODD)})
+                assert similar.candidates(table, 0.8, similar.RADIUS).all()
+
+
+def test_texts_near_a_large_group_are_not_searched_again(docs_of, monkeypatch):
+    """Texts at 0.5 to 0.7 from a large group meet its members in many segments; few go on, and no link is lost."""
+    pick, rows = random.Random(11), []
+    group = family(150, 3, 150, 2)
+    near = []
+    for i in range(150):
+        words = group[0].split()
+        for at in pick.sample(range(0, 150, 6), 8):
+            words[at] = f"n{i}x{at}"
+        near.append(" ".join(words))
+    real = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: (out := real(df, name), rows.append(out.count()) if name == "meeting" else None)[0])
+    texts = group + near
+    kept = similar.one_of_each(docs_of(texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots(len(texts), linked(texts))))
+    assert 0 < sum(rows) < 3_000
