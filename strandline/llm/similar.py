@@ -29,7 +29,8 @@ What keeps this linear:
 * runs are only fetched for those texts, found by a bitmap of fixed size;
 * a group verifies a pair only if it isn't linked yet, and gives edges that span its
   links, never all its pairs; a group beyond ``GROUP`` texts or ``GROUP_RUNS`` runs is
-  compared by pairs of blocks, each in a task's group of its own.
+  dealt into blocks, each pair of which is a task's group of its own: first one block with
+  all others, then those texts that aren't linked to most of the group with all.
 
 Definitions for odd rows: null and blank texts have no runs and are all alike.  A
 text of up to five words has one run, all its words; texts with fewer than four runs
@@ -45,7 +46,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,43 +274,48 @@ _ODD = [f"odd{i}" for i in range(ODD)]
 _LIGHT = ", ".join(f"{c} long" for c in ("k", "node", "root", "fp", "more", "size", *_ODD))
 
 
-def _meeting(rows: DataFrame, similarity: float, radius: int, group: int, group_runs: int) -> DataFrame:
-    """Rows (k, node, root) of texts that have a candidate in a group ``k`` that they aren't linked to; ``rows`` are as ``_LIGHT``.
+def _searched(keyed: DataFrame, similarity: float, radius: int, most: int = 1 << 62, most_runs: int = 1 << 62, by_segment: bool = False) -> DataFrame:
+    """Rows, as ``_LIGHT``, of texts that have a candidate in a group ``k`` that they aren't linked to; those of groups too large for a task as they are, marked ``large``."""
 
-    Groups too large for a task are passed on, dealt into blocks, and each pair of
-    blocks is a group.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, large in _groups(batches, most):
+            passed = np.full(table.num_rows, large)
+            if not large:
+                begins, counts = _edges_of(table.column("k").to_numpy())
+                runs_of = np.add.reduceat(table.column("size").to_numpy(), begins)
+                passed = np.repeat((counts > most) | (runs_of > most_runs) & (counts > 1), counts)
+            kept = passed.copy()
+            kept[~passed] = candidates(table.filter(pa.array(~passed)), similarity, radius, by_segment)
+            out = table.append_column("large", pa.array(passed)).filter(pa.array(kept))
+            yield from out.to_batches()
+
+    return written(_few_files(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, f"{_LIGHT}, large boolean")), "meeting")
+
+
+def _dealt(large: DataFrame, group: int, group_runs: int, star: bool) -> DataFrame:
+    """Rows of large groups, as ``_LIGHT``, dealt into blocks, where each pair of blocks that is compared is a group.
+
+    As a ``star`` only the first block is compared with all, which links most of a
+    cluster and takes twice its rows.  Else all pairs are, but for those of the root
+    that most rows of a group have: they are linked to each other.
     """
 
-    def search(most: int, most_runs: int, by_segment: bool) -> Callable:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, large in _groups(batches, most):
-                passed = np.full(table.num_rows, large)
-                if not large:
-                    begins, counts = _edges_of(table.column("k").to_numpy())
-                    runs_of = np.add.reduceat(table.column("size").to_numpy(), begins)
-                    passed = np.repeat((counts > most) | (runs_of > most_runs) & (counts > 1), counts)
-                kept = passed.copy()
-                kept[~passed] = candidates(table.filter(pa.array(~passed)), similarity, radius, by_segment)
-                out = table.append_column("large", pa.array(passed)).filter(pa.array(kept))
-                yield from out.to_batches()
-
-        return run
-
-    def searched(keyed: DataFrame, most: int, most_runs: int, by_segment: bool) -> DataFrame:
-        return written(_few_files(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search(most, most_runs, by_segment), f"{_LIGHT}, large boolean")), "meeting")
-
-    found = searched(rows, group, group_runs, True)
-    large = found.where("large")
-    met = found.where("NOT large").select("k", "node", "root")
-    if large.isEmpty():
-        return met
-    sums = large.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    count = F.greatest(F.ceil(2 * F.col("n") / group), F.ceil(2 * F.col("s") / group_runs)).cast("int")
+    def blocks(n: str, size: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(2 * F.col(n) / group), F.ceil(2 * F.col(size) / group_runs)).cast("int")
+
+    roots = large.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sums = roots.groupBy("k").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "root", "s")).alias("main")).where("roots > 1")
+    rest = sums.withColumns({"rest_n": F.expr("n - main.n"), "rest_s": F.expr("s - main.s")})
+    counts = rest.select("k", F.col("main.root").alias("main"), blocks("n", "s").alias("all"), blocks("main.n", "main.s").alias("mains"), blocks("rest_n", "rest_s").alias("rests"))
     # Each of these groups has over `group` texts or `group_runs` runs, so there are few.
-    dealt = large.join(F.broadcast(sums.select("k", count.alias("blocks"))), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size", *_ODD)
-    return met.unionByName(searched(keyed, 1 << 62, 1 << 62, False).select("k", "node", "root"))
+    rows = large.join(F.broadcast(counts), "k").withColumn("hash", F.xxhash64("node"))
+    if star:
+        own, others = F.expr("pmod(hash, all)"), F.expr("IF(own = 0, sequence(0, all - 1), array(0))")
+    else:
+        own = F.expr("IF(root = main, -1 - pmod(hash, mains), pmod(hash, rests))")
+        others = F.expr("IF(root = main, sequence(0, rests - 1), sequence(-mains, rests - 1))")
+    paired = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(others))
+    return paired.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node", "root", "fp", "more", "size", *_ODD)
 
 
 def _runs_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -357,17 +363,14 @@ def _verify(similarity: float, radius: int) -> Callable:
 def rooted(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, group: int = GROUP, group_runs: int = GROUP_RUNS) -> DataFrame | None:
     """Nodes that are linked to others, with ``root``; ``nodes`` have node, fp, more, size, parities, segs and place, ``rows`` have text, node and place."""
     edges = found = None
-    for first, last in ROUNDS:
-        known = nodes.select("node", "fp", "more", "size", *_ODD, "segs")
-        if found is None:
-            known = known.withColumn("root", F.col("node"))
-        else:
-            known = known.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        some = known.select("node", "root", "fp", "more", "size", *_ODD, F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
-        value = ((F.col("segment") + first) * (1 << BITS) + F.col("s")).cast("long")
-        met = _meeting(some.select(value.alias("k"), "node", "root", "fp", "more", "size", *_ODD), similarity, radius, group, group_runs)
+
+    def now(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("root", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def link(met: DataFrame) -> None:
+        nonlocal edges, found
         if met.isEmpty():
-            continue
+            return
         wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "place")
         sets = _runs_table(rows, wanted.select("place"))
         about = wanted.select("node", "fp").join(sets.groupBy("node").agg(F.first("runs").alias("runs")), "node")
@@ -375,6 +378,20 @@ def rooted(nodes: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, ra
         new = written(_few_files(sorted_rows.mapInArrow(_verify(similarity, radius), "a long, b long")), "links")
         edges = new if edges is None else edges.union(new)
         found = written(components(edges), "roots")
+
+    for first, last in ROUNDS:
+        known = now(nodes.select("node", "fp", "more", "size", *_ODD, "segs"))
+        some = known.select("node", "root", "fp", "more", "size", *_ODD, F.posexplode(F.slice("segs", first + 1, last - first)).alias("segment", "s"))
+        value = ((F.col("segment") + first) * (1 << BITS) + F.col("s")).cast("long")
+        keyed = some.select(value.alias("k"), "node", "root", "fp", "more", "size", *_ODD)
+        met = _searched(keyed, similarity, radius, group, group_runs, True)
+        link(met.where("NOT large").select("k", "node", "root"))
+        large = met.where("large").drop("large")
+        if large.isEmpty():
+            continue
+        for star in (True, False):
+            dealt = _dealt(now(large.drop("root")), group, group_runs, star)
+            link(_searched(dealt, similarity, radius).select("k", "node", "root"))
     return found
 
 

@@ -157,3 +157,14 @@ def test_texts_near_a_large_group_are_not_searched_again(docs_of, monkeypatch):
     kept = similar.one_of_each(docs_of(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots(len(texts), linked(texts))))
     assert 0 < sum(rows) < 3_000
+
+
+def test_blocks_of_a_linked_group_are_not_all_paired(docs_of, monkeypatch):
+    """A group of near copies beyond what a task compares is linked through one block of it, and its rows aren't dealt to all pairs."""
+    rows = []
+    texts = [*family(400, 3, 150, 2), *family(6, 4)]
+    real = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: (out := real(df, name), rows.append(out.where("NOT large").count()) if name == "meeting" else None)[0])
+    kept = similar.one_of_each(docs_of(texts), group=40)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots(len(texts), linked(texts))))
+    assert 400 < sum(rows) < 2_000
